@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing
+from . import chat, decontam, mixing, near_dup, secret_scan, token_files
 
 
 def queries():
     return {
+        "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_token_files": token_files.op5_token_files,
         "op6_chat_format": chat.op6_chat_format,
         "op7_decontaminate": decontam.op7_decontaminate,
+        "op10_simhash": near_dup.op10_simhash,
     }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -78,7 +79,7 @@ def block_table(t: pa.Table) -> pa.Table:
 
 
 REQUEST = "block int, part int, kind int, keys binary, counts binary"
-REPLY = "block int, part int, kind int, totals binary, first binary"
+REPLY = "block int, part int, kind int, totals binary, first binary, n_total long, n_keys long"
 
 
 def request_rows(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[dict]:
@@ -91,7 +92,7 @@ def request_rows(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, pa
     bounds = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64) if parts > 1 else np.empty(0, np.uint64)
     cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
     return [
-        {"block": block, "part": p, "kind": kind, "keys": keys[a:b].astype("<u8").tobytes(), "counts": counts[a:b].astype("<u4").tobytes()}
+        {"block": block, "part": p, "kind": kind, "keys": keys[a:b].astype("<u8").tobytes(), "counts": zlib.compress(counts[a:b].astype("<u4").tobytes(), 1)}
         for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
         if b > a
     ]
@@ -102,13 +103,13 @@ def rows_table(rows: list[dict], schema: pa.Schema) -> pa.Table:
 
 
 REQUEST_ARROW = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-REPLY_ARROW = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("totals", pa.binary()), ("first", pa.binary())])
+REPLY_ARROW = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("totals", pa.binary()), ("first", pa.binary()), ("n_total", pa.int64()), ("n_keys", pa.int64())])
 
 
 def _answer(group: pa.Table) -> pa.Table:
     rows = group.to_pylist()
     keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
-    counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]).astype(np.int64)
+    counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), "<u4") for r in rows]).astype(np.int64)
     sizes = [len(r["keys"]) // 8 for r in rows]
     blocks = np.repeat(np.array([r["block"] for r in rows], np.int64), sizes)
     order = np.lexsort((blocks, keys))
@@ -122,7 +123,9 @@ def _answer(group: pa.Table) -> pa.Table:
     first[order] = new
     out, at = [], 0
     for r, n in zip(rows, sizes, strict=True):
-        out.append({"block": r["block"], "part": r["part"], "kind": r["kind"], "totals": totals[at : at + n].astype("<u8").tobytes(), "first": np.packbits(first[at : at + n]).tobytes()})
+        own, lead = totals[at : at + n], first[at : at + n].astype(bool)
+        sums = {"n_total": int(own[lead].sum()), "n_keys": int((own[lead] > 0).sum())}
+        out.append({"block": r["block"], "part": r["part"], "kind": r["kind"], "totals": zlib.compress(own.astype("<u8").tobytes(), 1), "first": np.packbits(lead).tobytes()} | sums)
         at += n
     return rows_table(out, REPLY_ARROW)
 
@@ -130,6 +133,7 @@ def _answer(group: pa.Table) -> pa.Table:
 def answers(requests: DataFrame) -> DataFrame:
     """For each request row, its keys' totals over all blocks, and whether the block is the first that has the key.
 
+    n_total and n_keys are the sums over the keys that the row is first for, so they can be summed over all rows.
     A block sends a key once, whatever its count, so a key that a third of all rows hold makes one entry per block.
     """
     return requests.groupBy("kind", "part").applyInArrow(lambda t: _answer(t), REPLY)
@@ -138,7 +142,7 @@ def answers(requests: DataFrame) -> DataFrame:
 def reply_arrays(rows: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's replies of one kind, aligned with its sorted keys: totals, and first flags."""
     own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])
-    totals = [np.frombuffer(r["totals"], "<u8") for r in own]
+    totals = [np.frombuffer(zlib.decompress(r["totals"]), "<u8") for r in own]
     first = [np.unpackbits(np.frombuffer(r["first"], np.uint8), count=len(t)) for r, t in zip(own, totals, strict=True)]
     if not own:
         return np.empty(0, np.uint64), np.empty(0, np.uint8)

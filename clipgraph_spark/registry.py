@@ -1,11 +1,475 @@
-"""Queries of the reference's operators over the driver tables, and their SQL."""
+"""Queries of the analytic operators over the driver tables, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import sql
+from .functions import text as T
+from .operators import candidates as C
+from .operators import dedup as D
+from .operators import evaluation as EV
+from .operators import features as FE
+from .operators import graph as G
+from .operators import objectives as O
+from .operators import ranking as R
+from .operators import telemetry as P
+from .operators import topics as TP
+from .operators import transcript as TR
+from .plans import bindings as B
+from .sources import tables as S
+from .streaming import events as ST
+
+QUERIES, SQL = {}, {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            SQL[name] = oracle
+        return f
+
+    return add
+
+
+@query("b_text_functions", sql.B_TEXT)
+def _(spark, d):
+    t = F.col("text")
+    return B.chunks(spark, d).select(
+        "job_id", "chunk_idx", F.size(T.split_sentences(t)).alias("n_sentences"), T.snippet([t], 5).alias("snippet"), F.round(T.speech_density(t), 6).alias("speech_density"),
+        T.word_count(t).alias("words"), F.round(T.unique_ratio(t), 6).alias("unique_ratio"), T.has_digit(t).alias("has_digit"), T.has_any(t, ("ion", "schw")).alias("has_sub"),
+        T.has_any_token(t, ("the", "der")).alias("has_token"), T.starts_with_any(t, ("the", "la")).alias("starts"), F.size(T.title_tokens(t)).alias("titles"),
+        T.token_estimate(t).cast("long").alias("tokens3"), T.token_estimate(t, 4).cast("long").alias("tokens4"), F.round(T.db_to_energy(F.col("start_s") - 60), 6).alias("energy"),
+        F.size(T.content_words(t, ("the", "of", "and"))).alias("content"), T.signature(F.col("chunk_id"), F.split(t, " ")).alias("signature"),
+    )
+
+
+@query("b10_jaccard", sql.B_JACCARD)
+def _(spark, d):
+    o = B.order_sets(spark, d, 50)
+    w = Window.partitionBy("job_id").orderBy("ord")
+    return o.withColumn("p", F.lag("event_ids").over(w)).where(F.col("p").isNotNull()).select("id", F.round(T.jaccard(F.col("event_ids"), F.col("p")), 6).alias("jaccard"))
+
+
+@query("b11_cosine", sql.B_COSINE)
+def _(spark, d):
+    w = Window.partitionBy("job_id").orderBy("ord")
+    v = B.vectors(spark, d).withColumn("p", F.lag("embedding").over(w)).where(F.col("p").isNotNull())
+    return v.select("ord", F.round(T.cosine(F.col("embedding"), F.col("p")), 6).alias("cosine"), F.round(T.vector_norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("b12_hash_buckets", sql.B_HASH)
+def _(spark, d):
+    c = B.chunks(spark, d).select("job_id", "chunk_idx", F.explode(T.hash_buckets(F.col("text"))).alias("bucket"))
+    return c.groupBy("job_id", "bucket").agg(F.count("*").alias("n"))
+
+
+@query("c1_chunk_plan", sql.C_PLAN)
+def _(spark, d):
+    return TR.chunk_plan(_media(spark, d)).select("job_id", "duration", "chunk_s", "overlap_s", "workers")
+
+
+def _media(spark, d) -> DataFrame:
+    return B.chunks(spark, d).groupBy("job_id").agg(F.max("end_s").alias("duration"))
+
+
+@query("c2_overlapping_ranges", sql.C_RANGES)
+def _(spark, d):
+    return TR.overlapping_ranges(TR.chunk_plan(_media(spark, d)))
+
+
+@query("c3_merge_transcripts", sql.C_MERGE)
+def _(spark, d):
+    return TR.merge_transcripts(B.chunks(spark, d))
+
+
+@query("c4_atomic_segments", sql.C_SEGMENTS)
+def _(spark, d):
+    return B.segments(spark, d)
+
+
+@query("c5_classify_english", sql.C_ENGLISH)
+def _(spark, d):
+    return TR.atomic_segments(B.chunks(spark, d)).groupBy("job_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("c6_merge_short", sql.C_SHORT)
+def _(spark, d):
+    return TR.merge_short(B.segments(spark, d))
+
+
+@query("c7_detect_role", sql.C_ROLE)
+def _(spark, d):
+    return TR.detect_role(B.segments(spark, d)).select("job_id", "ord", "role")
+
+
+@query("c8_pack_windows")
+def _(spark, d):
+    return TR.window_signals(TR.pack_windows(B.segments(spark, d)))
+
+
+@query("c10_pack_text")
+def _(spark, d):
+    docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("job_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return TR.split_allocation(TR.pack_text(docs, 400), 2000)
+
+
+@query("c12_validate_payload", sql.C_PAYLOAD)
+def _(spark, d):
+    t = B.table(spark, d, "documents").select(F.col("doc_id").alias("job_id"), T.token_estimate(F.col("text")).cast("long").alias("input_tokens"), (F.length("text") % 3000).cast("long").alias("output_tokens"))
+    return TR.validate_payload(t, 1000, 2500)
+
+
+def _blocks(spark, d) -> DataFrame:
+    return B.segments(spark, d).withColumn("block_idx", F.floor(F.col("ord") / 25).cast("int"))
+
+
+@query("c13_annotation_batches")
+def _(spark, d):
+    return TR.annotation_batches(_blocks(spark, d))
+
+
+@query("c14_parse_annotations")
+def _(spark, d):
+    s = B.segments(spark, d)
+    item = F.struct("segment_id", F.lit("t").alias("topic"), (F.col("ord") / 10).alias("importance_score"))
+    raw = s.groupBy("job_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("annotations"))).alias("raw"))
+    return TR.parse_annotations(raw)[0]
+
+
+@query("c16_prompt_text")
+def _(spark, d):
+    return TR.prompt_text(TR.annotation_batches(_blocks(spark, d)), B.segments(spark, d))
+
+
+@query("c17_chunk_confidence", sql.C_CONFIDENCE)
+def _(spark, d):
+    e = B.events(spark, d)
+    return TR.chunk_confidence(e.select("job_id", F.col("stage").alias("chunk_id"), (-F.col("elapsed_ms") / 500).alias("avg_logprob"))).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("c18_rtf_summary", sql.C_RTF)
+def _(spark, d):
+    e = B.events(spark, d).select("job_id", F.col("elapsed_ms").alias("total_ms"), F.col("tokens").alias("inference_ms"), (F.col("tokens") + 1).cast("double").alias("audio_s"))
+    r = TR.rtf_summary(e)
+    return r.select("job_id", *[F.round(c, 6).alias(c) for c in ("avg_rtf", "peak_rtf", "avg_ms")], "inference_ms", "audio_s", "n_chunks")
+
+
+@query("d1_segment_features", sql.D_FEATURES)
+def _(spark, d):
+    return FE.non_fallback_count(B.features(spark, d))
+
+
+@query("d3_block_priority", sql.D_PRIORITY)
+def _(spark, d):
+    return FE.block_priority(_blocks(spark, d))
+
+
+@query("d4_frequent_terms", sql.D_TERMS)
+def _(spark, d):
+    return FE.frequent_terms(B.segments(spark, d))
+
+
+@query("d5_named_entities", sql.D_ENTITIES)
+def _(spark, d):
+    return FE.named_entities(B.segments(spark, d))
+
+
+@query("d6_synopsis")
+def _(spark, d):
+    return FE.synopsis(_blocks(spark, d), ("job_id", "block_idx"))
+
+
+@query("d7_representative_excerpt")
+def _(spark, d):
+    v = B.vectors(spark, d).withColumns({"segment_id": F.col("ord").cast("string"), "text": F.concat(F.lit("vector "), "ord"), "start_s": F.col("ord").cast("double"), "end_s": F.col("ord") + 2.0})
+    return FE.representative_excerpt(v)
+
+
+@query("e2_dynamic_windows")
+def _(spark, d):
+    return TP.dynamic_windows(B.segments(spark, d))
+
+
+@query("e3_adjacent_similarity", sql.E_ADJACENT)
+def _(spark, d):
+    v = B.vectors(spark, d).withColumn("window_idx", F.row_number().over(Window.partitionBy("job_id").orderBy("ord")) - 1).withColumn("start_ord", F.col("window_idx"))
+    s = TP.smooth(TP.adjacent_similarity(v, T.cosine, "embedding"))
+    return s.select("job_id", "idx", F.round("sim", 6).alias("sim"), F.round("smoothed", 6).alias("smoothed"))
+
+
+@query("e5_boundaries", sql.E_BOUNDARIES)
+def _(spark, d):
+    v = B.vectors(spark, d).withColumn("window_idx", F.row_number().over(Window.partitionBy("job_id").orderBy("ord")) - 1).withColumn("start_ord", F.col("window_idx"))
+    b = TP.boundaries(TP.smooth(TP.adjacent_similarity(v, T.cosine, "embedding")))
+    return b.select("job_id", "at", F.round("structural_confidence", 5).alias("structural_confidence"), F.round("z_score", 5).alias("z_score"))
+
+
+@query("e6_topic_blocks")
+def _(spark, d):
+    t = TP.segment_topics(B.segments(spark, d), tail="keep")
+    return t.groupBy("job_id", "block_idx").agg(F.count("*").alias("n"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.round(F.max("structural_confidence"), 6).alias("structural_confidence"))
+
+
+@query("e7_centroid", sql.E_CENTROID)
+def _(spark, d):
+    return TP.centroid(B.vectors(spark, d)).select("job_id", F.posexplode("centroid").alias("dim", "v")).select("job_id", "dim", F.round("v", 6).alias("v"))
+
+
+@query("f1_knowledge_graph_nodes", sql.F_NODES)
+def _(spark, d):
+    s = B.segments(spark, d)
+    return G.knowledge_graph(s, FE.segment_features(s))[0]
+
+
+@query("f1_knowledge_graph_edges", sql.F_EDGES)
+def _(spark, d):
+    return G.knowledge_graph(B.segments(spark, d))[1]
+
+
+@query("f2_evidence_graph")
+def _(spark, d):
+    n, e = G.evidence_graph(TR.pack_windows(B.segments(spark, d)))
+    return n.groupBy("job_id").agg(F.count("*").alias("nodes")).join(e.groupBy("job_id").agg(F.count("*").alias("edges")), "job_id", "left").fillna(0)
+
+
+@query("g1_prune_by_kind", sql.G_PRUNE)
+def _(spark, d):
+    s = B.segments(spark, d)
+    return C.prune_by_kind(s, FE.segment_features(s))[0].select("job_id", "segment_id", "kind", "score", "rank")
+
+
+@query("g1_prune_stats", sql.G_STATS)
+def _(spark, d):
+    s = B.segments(spark, d)
+    return C.prune_by_kind(s, FE.segment_features(s))[1]
+
+
+@query("g2_clip_triples", sql.G_TRIPLES)
+def _(spark, d):
+    s = B.segments(spark, d)
+    return C.clip_triples(C.prune_by_kind(s, FE.segment_features(s))[0]).groupBy("job_id").agg(F.count("*").alias("n"), F.round(F.sum("h_start_s"), 3).alias("starts"))
+
+
+@query("g5_generate_candidates", sql.G_CANDIDATES)
+def _(spark, d):
+    return B.clips(spark, d).select("job_id", "id", "duration", "flow_score", "total_score", "snippet", "rank")
+
+
+@query("g9_merge_strategies", sql.G_STRATEGIES)
+def _(spark, d):
+    return C.merge_strategies(B.segments(spark, d)).groupBy("job_id", "strategy").agg(F.count("*").alias("n"), F.round(F.sum("end_s"), 3).alias("ends"))
+
+
+@query("h_score_objectives", sql.H_OBJECTIVES)
+def _(spark, d):
+    o = O.score_objectives(C.to_scored(B.clips(spark, d)))
+    return o.select("job_id", "id", *[F.round(F.col(n)["score"], 6).alias(n) for n in O.REGISTRY], "overall_score")
+
+
+@query("i1_greedy_dedup")
+def _(spark, d):
+    return D.greedy_dedup(B.order_sets(spark, d), threshold=0.2)[1].select("job_id", "id", "similar_to", "similarity")
+
+
+@query("i3_blueprint_dedup")
+def _(spark, d):
+    c = B.clips(spark, d).select("job_id", "id", F.col("rank").alias("ord"), F.split("id", "_").alias("segment_ids"), F.concat_ws(" ", "hook_text", "body_text", "ending_text").alias("text"))
+    return D.blueprint_dedup(c.withColumn("signature", T.signature(F.lit("s"), F.col("segment_ids"))))[1].select("job_id", "id", "reason")
+
+
+@query("i4_overlap_clusters")
+def _(spark, d):
+    o = B.order_sets(spark, d, 40)
+    c = F.col("score")
+    b = o.select(F.floor(F.col("ord") / 40).alias("job_id"), F.col("ord").alias("idx"), F.col("event_ids").alias("segments"), *[c.alias(f"{n}_confidence") for n in ("start", "end", "boundary", "structural")])
+    return D.best_of_cluster(D.overlap_clusters(b)).select("job_id", "idx", "cluster")
+
+
+@query("i7_content_hash_dedup", sql.I_CONTENT)
+def _(spark, d):
+    return D.content_hash_dedup(B.table(spark, d, "documents").withColumnRenamed("doc_id", "id"))
+
+
+@query("m1_hard_constraints", sql.M_CONSTRAINTS)
+def _(spark, d):
+    ok, gone = R.hard_constraints(B.ranking_candidates(spark, d))
+    x = ok.select("job_id", "id", F.lit("").alias("reasons")).unionByName(gone.select("job_id", "id", F.array_join("reasons", ",").alias("reasons")))
+    return x
+
+
+@query("m_stage_scores", sql.M_STAGES)
+def _(spark, d):
+    c = R.retention(R.density(R.hook_quality(R.context(B.ranking_candidates(spark, d)))))
+    cols = [f"{s}_{k}" for s in ("context", "hook_quality", "density", "retention") for k in ("score", "confidence")]
+    return c.select("job_id", "id", *cols)
+
+
+@query("m2_narrative")
+def _(spark, d):
+    return R.narrative(R.with_vectors(B.ranking_candidates(spark, d))).select("job_id", "id", "narrative_score", "narrative_confidence", "raw_score")
+
+
+@query("m13_rank")
+def _(spark, d):
+    return R.rank(B.ranking_candidates(spark, d), 5)[0].select("job_id", "id", "final_rank", "final_score", "overall_confidence", "novelty_score", "explanation")
+
+
+@query("m13_funnel")
+def _(spark, d):
+    return R.rank(B.ranking_candidates(spark, d), 5)[2]
+
+
+@query("m14_preview")
+def _(spark, d):
+    c = B.ranking_candidates(spark, d)
+    return R.preview(c, R.rank(c, 5)[0], 3).select("job_id", "id", "preview_pos")
+
+
+@query("n2_portfolio")
+def _(spark, d):
+    return R.portfolio_select(R.narrative_order(B.order_sets(spark, d)), 10, "diverse").select("job_id", "id", "final_rank", "narrative_pos")
+
+
+@query("n3_portfolio_summary")
+def _(spark, d):
+    s = R.narrative_order(B.order_sets(spark, d))
+    return R.portfolio_summary(R.portfolio_select(s, 10), s)
+
+
+@query("o1_evaluation_records", sql.O_RECORDS)
+def _(spark, d):
+    return EV.evaluation_records(B.order_sets(spark, d)).select("job_id", "clip_id", "lifecycle", "overall_score", "portfolio_rank")
+
+
+@query("o2_ground_truth", sql.O_TRUTH)
+def _(spark, d):
+    docs = B.table(spark, d, "documents").select((F.col("doc_id") % 10).alias("job_id"), F.col("doc_id").cast("string").alias("id"), (F.col("n_chars") / 1e6).alias("score"))
+    truth = B.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("clip_id"), "quality", "toxic", F.lit(1).alias("seq"))
+    return EV.apply_ground_truth(EV.evaluation_records(docs), truth).select("clip_id", "lifecycle", F.col("ground_truth.quality").alias("quality"))
+
+
+@query("o3_learning_labels")
+def _(spark, d):
+    c = B.ranking_candidates(spark, d)
+    r = R.rank(c, 10)[0]
+    return EV.learning_labels(R.preview(c, r), r)
+
+
+@query("o4_job_analytics", sql.O_ANALYTICS)
+def _(spark, d):
+    c = B.clips(spark, d)
+    a = EV.job_analytics(B.chunks(spark, d), c, c.where("rank <= 3"), TR.chunk_plan(_media(spark, d)))
+    return a.withColumn("utilisation", F.round("utilisation", 6))
+
+
+@query("a4_pending", sql.A_PENDING)
+def _(spark, d):
+    return S.pending(B.table(spark, d, "documents").select("doc_id"), B.table(spark, d, "labels"), ["doc_id"])
+
+
+@query("a4_pending_batches", sql.A_BATCHES)
+def _(spark, d):
+    docs = B.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 3).alias("batch"), "doc_id")
+    return S.pending_batches(docs, B.table(spark, d, "labels"), ["batch"], "doc_id")
+
+
+@query("a5_lineage")
+def _(spark, d):
+    return EV.lineage(B.table(spark, d, "documents"), "documents")
+
+
+@query("a6_snapshot", sql.A_SNAPSHOT)
+def _(spark, d):
+    return EV.snapshot(B.chunks(spark, d), "chunks", {"pace": "2.5"}).select("stage", "job_id", "n_rows")
+
+
+@query("a7_allowed_media", sql.A_MEDIA)
+def _(spark, d):
+    p = B.table(spark, d, "pages")
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".mp4", ".MOV", ".txt", ".webm", ".html")]), (F.col("page_id") % 5 + 1).cast("int"))
+    return S.allowed_media(p.select("page_id", F.concat("url", ext).alias("path"), (F.length("html") * (F.col("page_id") % 3)).cast("long").alias("length")))
+
+
+@query("p1_latency_stats", sql.P_LATENCY)
+def _(spark, d):
+    return P.latency_stats(B.events(spark, d))
+
+
+_STAGES = {"view": 100, "error": 200, "click": 50}
+
+
+@query("p2_budget_status", sql.P_BUDGET)
+def _(spark, d):
+    return P.budget_status(B.events(spark, d), _STAGES).select("seq", "stage", "budget_ms", "status")
+
+
+@query("p3_budget_enforcement", sql.P_ENFORCE)
+def _(spark, d):
+    return P.budget_enforcement(B.events(spark, d), _STAGES).select("seq", "warnings", "disabled")
+
+
+@query("p4_run_summary", sql.P_RUNS)
+def _(spark, d):
+    e = B.events(spark, d)
+    outcome = F.when(F.col("stage") == "error", "failed").when(F.col("stage") == "view", "skipped").otherwise("succeeded")
+    return P.run_summary(e.select(F.col("key").alias("run_id"), "elapsed_ms", outcome.alias("outcome")))
+
+
+@query("p5_usage_60s", sql.P_USAGE)
+def _(spark, d):
+    e = B.events(spark, d).withColumn("key", F.lit(0).cast("long") + F.col("key") % 5)
+    return P.usage_60s(e).select("seq", "tokens_60s", "requests_60s", "token_room", "request_room")
+
+
+_NAMES = {"signup": "queued", "view": "started", "purchase": "completed", "click": "queued", "error": "failed"}
+
+
+def _requests(spark, d) -> DataFrame:
+    e = B.events(spark, d)
+    name = F.create_map(*[F.lit(x) for kv in _NAMES.items() for x in kv])[F.col("name")]
+    return e.select("seq", "ts", (F.col("key") % 20).alias("key"), F.col("key").alias("request_id"), name.alias("name"))
+
+
+@query("p6_queue_times", sql.P_QUEUE)
+def _(spark, d):
+    return P.queue_times(_requests(spark, d))
+
+
+@query("p7_queue_depth", sql.P_DEPTH)
+def _(spark, d):
+    return P.queue_depth(_requests(spark, d))
+
+
+@query("p8_failure_runs", sql.P_FAILURES)
+def _(spark, d):
+    return P.failure_runs(B.events(spark, d)).select("key", "run", "weight", "failures")
+
+
+@query("p9_job_status", sql.P_STATUS)
+def _(spark, d):
+    e = B.events(spark, d)
+    s = F.when(F.col("name") == "purchase", "complete").when(F.col("name") == "error", "failed").otherwise("running")
+    return P.job_status(e.select("job_id", "seq", "ts", s.alias("status"), (F.col("elapsed_ms") / 200).alias("progress"))).select("job_id", "status", F.round("progress", 6).alias("progress"), F.col("completed_at").isNotNull().alias("done"))
+
+
+@query("p10_event_counts", sql.P_COUNTS)
+def _(spark, d):
+    c = ST.event_counts(B.events(spark, d), "1 hour")
+    return c.select(F.unix_seconds("window_start").alias("window_start"), "name", "n")
+
+
+@query("p11_job_sessions", sql.P_SESSIONS)
+def _(spark, d):
+    s = ST.job_sessions(B.events(spark, d), "6 hours")
+    return s.select("job_id", F.unix_micros("session_start").alias("session_start"), "n_events", "duration_us")
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)

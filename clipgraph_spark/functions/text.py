@@ -164,3 +164,13 @@ def mean_of(*signals: Column) -> Column:
     """The mean of the signals that are not null."""
     kept = F.filter(F.array(*signals), lambda s: s.isNotNull())
     return F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(kept), F.lit(1))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once: lambdas of higher-order functions share no subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def round4(c: Column) -> Column:
+    """Four decimals; halves go up, also where the double lies a little below them."""
+    return F.floor(c * 10000 + 0.500001) / 10000

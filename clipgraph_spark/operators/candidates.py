@@ -62,7 +62,7 @@ def generate_candidates(segments: DataFrame, features: DataFrame, top_k: int = 2
     w = CLIP_WEIGHTS
     t = t.withColumns({"duration": duration, "flow_score": flow})
     total = duration_penalty(F.col("h_score") * w["hook"] + F.col("b_score") * w["body"] + F.col("e_score") * w["ending"] + F.col("flow_score") * w["flow"], F.col("duration"))
-    t = t.withColumn("total_score", F.round(total, 4)).where(F.round(total, 9) >= min_score)
+    t = t.withColumn("total_score", T.round4(total)).where(F.round(total, 9) >= min_score)
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("total_score"), "h_rank", "b_rank", "e_rank"))
     t = t.withColumn("rank", rank).where(F.col("rank") <= top_k)
     names = [F.col(f"{p}_{c}").alias(f"{k}_{n}") for k, p in SPANS.items() for c, n in (("start_s", "start"), ("end_s", "end"), ("score", "score"), ("text", "text"))]

@@ -30,7 +30,7 @@ def segment_features(segments: DataFrame, energy: DataFrame | None = None) -> Da
         F.when(F.col("energy").isNull(), "text_heuristic").otherwise("real").alias("audio_energy_source"), words.alias("word_count"), F.round(F.greatest(seconds, F.lit(0.1)), 4).alias("duration_seconds"),
     )
     total = F.col("audio_intensity") + F.col("text_density") + F.col("structure_score") + F.col("pattern_score")
-    return f.withColumn("total_score", F.round(total / 4, 4))
+    return f.withColumn("total_score", T.round4(total / 4))
 
 
 def non_fallback_count(features: DataFrame) -> DataFrame:

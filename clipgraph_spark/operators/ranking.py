@@ -49,7 +49,7 @@ def narrative(c: DataFrame) -> DataFrame:
     fresh = T.starts_with_any(F.col("ending_text"), NEW_TOPIC)
     score = F.least(F.lit(0.6), semantic) + T.steps(((r > 0.3) & (hb > 0.3), 0.15), (r > 0.1, 0.08), otherwise=0.0) + T.steps((claim, 0.15), otherwise=0.05) + T.steps((fresh, 0.02), otherwise=0.10)
     conf = T.steps((hb > 0.3, 0.9), otherwise=0.6) + F.least(F.lit(0.8), 0.5 + r) + T.steps((claim, 0.85), otherwise=0.5) + T.steps((fresh, 0.45), otherwise=0.8)
-    c = c.withColumns({"narrative_score": F.round(F.least(F.lit(1.0), score), 4), "narrative_confidence": F.round(conf / 4, 4)})
+    c = c.withColumns({"narrative_score": T.round4(F.least(F.lit(1.0), score)), "narrative_confidence": T.round4(conf / 4)})
     return c.withColumn("raw_score", F.when(F.col("narrative_score") < 0.3, F.col("raw_score") * 0.7).otherwise(F.col("raw_score"))).drop("_hb", "_be", "_ratio")
 
 
@@ -59,7 +59,7 @@ def context(c: DataFrame) -> DataFrame:
     lost = (F.size(hp) > 0) & (F.size(bp) > 0) & ~F.arrays_overlap(hp, bp)
     shared = F.size(F.array_intersect(T.content_words(F.col("hook_text"), STOP_WORDS), T.content_words(F.col("body_text"), STOP_WORDS))) > 0
     score = T.steps((gap < 2, 0.4), (gap < 5, 0.3), (gap < 10, 0.2), otherwise=0.1) + T.steps((lost, 0.0), otherwise=0.3) + T.steps((shared, 0.3), otherwise=0.1)
-    c = c.withColumns({"context_score": F.round(F.least(F.lit(1.0), score), 4), "context_confidence": F.lit(0.75)})
+    c = c.withColumns({"context_score": T.round4(F.least(F.lit(1.0), score)), "context_confidence": F.lit(0.75)})
     return c.withColumn("raw_score", F.when(F.col("context_score") < 0.3, F.col("raw_score") * 0.8).otherwise(F.col("raw_score")))
 
 
@@ -70,7 +70,7 @@ def hook_quality(c: DataFrame) -> DataFrame:
     none = F.lit(None).cast("double")
     score = T.steps((d.between(3, 7), 0.25), (d.between(2, 10), 0.15), otherwise=0.05) + T.steps((ask, 0.25), otherwise=0.0) + T.steps((you, 0.15), otherwise=0.0) + T.steps((curious, 0.2), otherwise=0.0) + T.steps((n <= 10, 0.15), (n <= 15, 0.1), otherwise=0.05)
     conf = T.mean_of(T.steps((d.between(3, 7), 0.9), (d.between(2, 10), 0.7), otherwise=0.4), F.when(ask, 0.95).otherwise(none), F.when(you, 0.85).otherwise(none), F.when(curious, 0.8).otherwise(none), T.steps((n <= 10, 0.9), (n <= 15, 0.75), otherwise=0.5))
-    return c.withColumns({"hook_quality_score": F.round(F.least(F.lit(1.0), score), 4), "hook_quality_confidence": F.round(conf, 4)})
+    return c.withColumns({"hook_quality_score": T.round4(F.least(F.lit(1.0), score)), "hook_quality_confidence": T.round4(conf)})
 
 
 def density(c: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def density(c: DataFrame) -> DataFrame:
     pace = T.words_per_second(t, F.col("duration"))
     score = T.steps((pace.between(2.5, 3.5), 0.9), (pace.between(1.5, 4.5), 0.7), (pace.between(1.0, 5.0), 0.5), otherwise=0.3)
     score = score + T.steps((T.has_digit(t), 0.1), otherwise=0.0) + T.steps((F.size(T.title_tokens(t)) > 0, 0.05), otherwise=0.0)
-    return c.withColumns({"density_score": F.round(F.least(F.lit(1.0), score), 4), "density_confidence": F.lit(0.8)})
+    return c.withColumns({"density_score": T.round4(F.least(F.lit(1.0), score)), "density_confidence": F.lit(0.8)})
 
 
 def retention(c: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def retention(c: DataFrame) -> DataFrame:
     closes = T.has_any_token(F.col("ending_text"), (*CALLS, *SUMMARIES))
     score = T.steps((d.between(30, 60), 0.3), (d.between(20, 75), 0.2), (d.between(15, 90), 0.1), otherwise=0.0) + T.steps((closes, 0.25), otherwise=0.1) + F.col("flow_score") * 0.25 + T.steps((gap < 1, 0.2), (gap < 3, 0.15), otherwise=0.05)
     conf = T.steps((d.between(30, 60), 0.85), (d.between(20, 75), 0.7), (d.between(15, 90), 0.5), otherwise=0.3) + T.steps((closes, 0.8), otherwise=0.5) + 0.7 + T.steps((gap < 1, 0.9), (gap < 3, 0.75), otherwise=0.4)
-    return c.withColumns({"retention_score": F.round(F.least(F.lit(1.0), score), 4), "retention_confidence": F.round(conf / 4, 4)})
+    return c.withColumns({"retention_score": T.round4(F.least(F.lit(1.0), score)), "retention_confidence": T.round4(conf / 4)})
 
 
 def novelty(c: DataFrame, threshold: float = 0.75, hook_gap: float = 2.0, body_gap: float = 5.0) -> DataFrame:
@@ -100,15 +100,20 @@ def novelty(c: DataFrame, threshold: float = 0.75, hook_gap: float = 2.0, body_g
 
     def step(acc, x):
         best = F.aggregate(acc["kept"], F.lit(0.0), lambda m, k: F.when(m >= threshold, m).otherwise(F.greatest(m, F.round(T.bucket_cosine(x["v"], k), 9))))
-        alike = best >= threshold
         near = F.exists(acc["seen"], lambda s: (F.abs(x["hook_start"] - s["h"]) < hook_gap) & (F.abs(x["body_start"] - s["b"]) < body_gap))
-        score = T.steps((alike, F.greatest(F.lit(0.1), 1 - best)), (near, 0.25), otherwise=0.9)
-        conf = T.steps((alike, 0.92), (near, 0.95), otherwise=0.88)
-        return F.struct(
-            F.when(alike | near, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x["v"]))).alias("kept"),
-            F.concat(acc["seen"], F.array(F.struct(x["hook_start"].alias("h"), x["body_start"].alias("b")))).alias("seen"),
-            F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), score.alias("score"), conf.alias("conf")))).alias("out"),
-        )
+
+        def note(m):
+            best, near_ = m["best"], m["near"]
+            alike = best >= threshold
+            score = T.steps((alike, F.greatest(F.lit(0.1), 1 - best)), (near_, 0.25), otherwise=0.9)
+            conf = T.steps((alike, 0.92), (near_, 0.95), otherwise=0.88)
+            return F.struct(
+                F.when(alike | near_, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x["v"]))).alias("kept"),
+                F.concat(acc["seen"], F.array(F.struct(x["hook_start"].alias("h"), x["body_start"].alias("b")))).alias("seen"),
+                F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), score.alias("score"), conf.alias("conf")))).alias("out"),
+            )
+
+        return T.let(F.struct(best.alias("best"), near.alias("near")), note)
 
     out = jobs.select("job_id", F.explode(F.aggregate("a", zero, step, lambda acc: acc["out"])).alias("n"))
     return c.join(out.select("job_id", F.col("n.id").alias("id"), F.round("n.score", 6).alias("novelty_score"), F.col("n.conf").alias("novelty_confidence")), ["job_id", "id"])
@@ -172,10 +177,14 @@ def mmr_top_k(c: DataFrame, k: int = 20, quality: float = 0.7, diversity: float
 
     def pick(acc, _):
         first = F.get(acc["left"], F.lit(0))
-        best = F.aggregate(acc["left"], first, lambda b, x: F.when(value(x) > value(b), x).otherwise(b))
-        rest = F.filter(acc["left"], lambda x: x["id"] != best["id"])
-        rest = F.transform(rest, lambda x: F.struct(x["o"].alias("o"), x["id"].alias("id"), x["s"].alias("s"), x["v"].alias("v"), F.greatest(x["m"], F.round(similarity(x["v"], best["v"]), 9)).alias("m")))
-        return F.when(F.size(acc["left"]) == 0, acc).otherwise(F.struct(F.concat(acc["out"], F.array(best["id"])).alias("out"), rest.alias("left")))
+        best_of = F.aggregate(acc["left"], first, lambda b, x: F.when(value(x) > value(b), x).otherwise(b))
+
+        def take(best):
+            rest = F.filter(acc["left"], lambda x: x["id"] != best["id"])
+            rest = F.transform(rest, lambda x: F.struct(x["o"].alias("o"), x["id"].alias("id"), x["s"].alias("s"), x["v"].alias("v"), F.greatest(x["m"], F.round(similarity(x["v"], best["v"]), 9)).alias("m")))
+            return F.struct(F.concat(acc["out"], F.array(best["id"])).alias("out"), rest.alias("left"))
+
+        return F.when(F.size(acc["left"]) == 0, acc).otherwise(T.let(best_of, take))
 
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.col("a").alias("left"))
     chosen = F.aggregate(F.sequence(F.lit(1), F.lit(k)), zero, pick, lambda acc: acc["out"])

@@ -44,7 +44,7 @@ f1 AS (
                + (CASE WHEN contains(text, '?') THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN regexp_matches(text, '\p{Nd}') THEN 0.05::DOUBLE ELSE 0::DOUBLE END + CASE WHEN len(w) <= 10 THEN 0.05::DOUBLE ELSE 0::DOUBLE END), 0.1::DOUBLE), 1::DOUBLE), 4) AS pattern_score,
          len(w)::INTEGER AS word_count, round(greatest(d, 0.1::DOUBLE), 4) AS duration_seconds
   FROM f0),
-features AS (SELECT *, round((audio_intensity + text_density + structure_score + pattern_score) / 4, 4) AS total_score FROM f1)
+features AS (SELECT *, floor((audio_intensity + text_density + structure_score + pattern_score) / 4 * 10000 + 0.500001::DOUBLE) / 10000 AS total_score FROM f1)
 """
 )
 _PRUNED = (
@@ -71,7 +71,7 @@ _CLIPS = (
 k0 AS (SELECT *, greatest(e_end - h_start, 1::DOUBLE) AS dur, round(greatest(0.1::DOUBLE, 0.95::DOUBLE - least(0.6::DOUBLE, (greatest(b_start - h_end, 0::DOUBLE) + greatest(e_start - b_end, 0::DOUBLE)) / 300)), 4) AS flow_score FROM triples),
 k1 AS (SELECT *, (h_score * 0.35::DOUBLE + b_score * 0.25::DOUBLE + e_score * 0.2::DOUBLE + flow_score * 0.2::DOUBLE)
         * CASE WHEN dur < 15 THEN 0.5 WHEN dur < 30 THEN 0.8 WHEN dur <= 60 THEN 1.0 WHEN dur <= 90 THEN 0.9 ELSE 0.7 END::DOUBLE AS total FROM k0),
-k2 AS (SELECT *, round(total, 4) AS total_score FROM k1 WHERE round(total, 9) >= 0.35),
+k2 AS (SELECT *, floor(total * 10000 + 0.500001::DOUBLE) / 10000 AS total_score FROM k1 WHERE round(total, 9) >= 0.35),
 k3 AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY total_score DESC, h_rank, b_rank, e_rank)::INTEGER AS rank FROM k2),
 clips AS (SELECT *, concat_ws('_', 'clip', h_id, b_id, e_id) AS id, round(dur, 3) AS duration FROM k3 WHERE rank <= 20)
 """
@@ -241,13 +241,13 @@ M_STAGES = _with(
 u AS (SELECT *, len(string_split(h_text, ' ')) AS hn, len(string_split(al, ' ')) / greatest(duration, 0.1::DOUBLE) AS pace, contains(h_text, '?') AS ask, list_contains(hw, 'you') AS you, regexp_matches(lower(h_text), 'secret|truth|why|how|never|always|actually') AS cur,
   list_has_any(ew, ['subscribe','follow','like','comment','share','so','therefore','that''s','basically']) AS closes FROM t)
 SELECT job_id, id,
- round(least(1::DOUBLE, CASE WHEN gap < 2 THEN 0.4 WHEN gap < 5 THEN 0.3 WHEN gap < 10 THEN 0.2 ELSE 0.1 END::DOUBLE + CASE WHEN list_has_any(hw, pr) AND list_has_any(bw, pr) AND NOT list_has_any(list_intersect(hw, pr), list_intersect(bw, pr)) THEN 0 ELSE 0.3 END::DOUBLE
-   + CASE WHEN len(list_filter(list_intersect(hw, bw), lambda x: NOT list_contains(st, x))) > 0 THEN 0.3 ELSE 0.1 END::DOUBLE), 4) AS context_score, 0.75::DOUBLE AS context_confidence,
- round(least(1::DOUBLE, CASE WHEN hd BETWEEN 3 AND 7 THEN 0.25 WHEN hd BETWEEN 2 AND 10 THEN 0.15 ELSE 0.05 END::DOUBLE + CASE WHEN ask THEN 0.25 ELSE 0 END::DOUBLE + CASE WHEN you THEN 0.15 ELSE 0 END::DOUBLE + CASE WHEN cur THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN hn <= 10 THEN 0.15 WHEN hn <= 15 THEN 0.1 ELSE 0.05 END::DOUBLE), 4) AS hook_quality_score,
- round(list_avg(list_filter([CASE WHEN hd BETWEEN 3 AND 7 THEN 0.9 WHEN hd BETWEEN 2 AND 10 THEN 0.7 ELSE 0.4 END::DOUBLE, CASE WHEN ask THEN 0.95::DOUBLE END, CASE WHEN you THEN 0.85::DOUBLE END, CASE WHEN cur THEN 0.8::DOUBLE END, CASE WHEN hn <= 10 THEN 0.9 WHEN hn <= 15 THEN 0.75 ELSE 0.5 END::DOUBLE], lambda x: x IS NOT NULL)), 4) AS hook_quality_confidence,
- round(least(1::DOUBLE, CASE WHEN pace BETWEEN 2.5 AND 3.5 THEN 0.9 WHEN pace BETWEEN 1.5 AND 4.5 THEN 0.7 WHEN pace BETWEEN 1 AND 5 THEN 0.5 ELSE 0.3 END::DOUBLE + CASE WHEN regexp_matches(al, '\p{{Nd}}') THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN len(list_filter(string_split(al, ' '), lambda x: length(x) > 2 AND regexp_matches(x, '^\p{{Lu}}'))) > 0 THEN 0.05 ELSE 0 END::DOUBLE), 4) AS density_score, 0.8::DOUBLE AS density_confidence,
- round(least(1::DOUBLE, CASE WHEN duration BETWEEN 30 AND 60 THEN 0.3 WHEN duration BETWEEN 20 AND 75 THEN 0.2 WHEN duration BETWEEN 15 AND 90 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN closes THEN 0.25 ELSE 0.1 END::DOUBLE + flow_score * 0.25::DOUBLE + CASE WHEN g1 < 1 THEN 0.2 WHEN g1 < 3 THEN 0.15 ELSE 0.05 END::DOUBLE), 4) AS retention_score,
- round((CASE WHEN duration BETWEEN 30 AND 60 THEN 0.85 WHEN duration BETWEEN 20 AND 75 THEN 0.7 WHEN duration BETWEEN 15 AND 90 THEN 0.5 ELSE 0.3 END::DOUBLE + CASE WHEN closes THEN 0.8 ELSE 0.5 END::DOUBLE + 0.7::DOUBLE + CASE WHEN g1 < 1 THEN 0.9 WHEN g1 < 3 THEN 0.75 ELSE 0.4 END::DOUBLE) / 4, 4) AS retention_confidence
+ floor(least(1::DOUBLE, CASE WHEN gap < 2 THEN 0.4 WHEN gap < 5 THEN 0.3 WHEN gap < 10 THEN 0.2 ELSE 0.1 END::DOUBLE + CASE WHEN list_has_any(hw, pr) AND list_has_any(bw, pr) AND NOT list_has_any(list_intersect(hw, pr), list_intersect(bw, pr)) THEN 0 ELSE 0.3 END::DOUBLE
+   + CASE WHEN len(list_filter(list_intersect(hw, bw), lambda x: NOT list_contains(st, x))) > 0 THEN 0.3 ELSE 0.1 END::DOUBLE) * 10000 + 0.500001::DOUBLE) / 10000 AS context_score, 0.75::DOUBLE AS context_confidence,
+ floor((least(1::DOUBLE, CASE WHEN hd BETWEEN 3 AND 7 THEN 0.25 WHEN hd BETWEEN 2 AND 10 THEN 0.15 ELSE 0.05 END::DOUBLE + CASE WHEN ask THEN 0.25 ELSE 0 END::DOUBLE + CASE WHEN you THEN 0.15 ELSE 0 END::DOUBLE + CASE WHEN cur THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN hn <= 10 THEN 0.15 WHEN hn <= 15 THEN 0.1 ELSE 0.05 END::DOUBLE)) * 10000 + 0.500001::DOUBLE) / 10000 AS hook_quality_score,
+ floor((list_avg(list_filter([CASE WHEN hd BETWEEN 3 AND 7 THEN 0.9 WHEN hd BETWEEN 2 AND 10 THEN 0.7 ELSE 0.4 END::DOUBLE, CASE WHEN ask THEN 0.95::DOUBLE END, CASE WHEN you THEN 0.85::DOUBLE END, CASE WHEN cur THEN 0.8::DOUBLE END, CASE WHEN hn <= 10 THEN 0.9 WHEN hn <= 15 THEN 0.75 ELSE 0.5 END::DOUBLE], lambda x: x IS NOT NULL))) * 10000 + 0.500001::DOUBLE) / 10000 AS hook_quality_confidence,
+ floor((least(1::DOUBLE, CASE WHEN pace BETWEEN 2.5 AND 3.5 THEN 0.9 WHEN pace BETWEEN 1.5 AND 4.5 THEN 0.7 WHEN pace BETWEEN 1 AND 5 THEN 0.5 ELSE 0.3 END::DOUBLE + CASE WHEN regexp_matches(al, '\p{{Nd}}') THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN len(list_filter(string_split(al, ' '), lambda x: length(x) > 2 AND regexp_matches(x, '^\p{{Lu}}'))) > 0 THEN 0.05 ELSE 0 END::DOUBLE)) * 10000 + 0.500001::DOUBLE) / 10000 AS density_score, 0.8::DOUBLE AS density_confidence,
+ floor((least(1::DOUBLE, CASE WHEN duration BETWEEN 30 AND 60 THEN 0.3 WHEN duration BETWEEN 20 AND 75 THEN 0.2 WHEN duration BETWEEN 15 AND 90 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN closes THEN 0.25 ELSE 0.1 END::DOUBLE + flow_score * 0.25::DOUBLE + CASE WHEN g1 < 1 THEN 0.2 WHEN g1 < 3 THEN 0.15 ELSE 0.05 END::DOUBLE)) * 10000 + 0.500001::DOUBLE) / 10000 AS retention_score,
+ floor(((CASE WHEN duration BETWEEN 30 AND 60 THEN 0.85 WHEN duration BETWEEN 20 AND 75 THEN 0.7 WHEN duration BETWEEN 15 AND 90 THEN 0.5 ELSE 0.3 END::DOUBLE + CASE WHEN closes THEN 0.8 ELSE 0.5 END::DOUBLE + 0.7::DOUBLE + CASE WHEN g1 < 1 THEN 0.9 WHEN g1 < 3 THEN 0.75 ELSE 0.4 END::DOUBLE) / 4) * 10000 + 0.500001::DOUBLE) / 10000 AS retention_confidence
 FROM u""",
 )
 O_RECORDS = _with(_SETS.format(m=500), "SELECT job_id, id AS clip_id, 'generated' AS lifecycle, score AS overall_score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, id)::INTEGER AS portfolio_rank FROM sets")

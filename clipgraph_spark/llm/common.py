@@ -60,17 +60,17 @@ def drop_row_key(df: DataFrame) -> str:
 # -- blocks of documents and keyed exchange ---------------------------------------------------
 
 
-def with_blocks(docs: DataFrame, block_mb: int = 16) -> tuple[DataFrame, int]:
-    """(block, doc_id, text) with null texts empty, and the number of blocks.
+def with_blocks(docs: DataFrame, block_mb: int = 16, part_mb: int = 8) -> tuple[DataFrame, int]:
+    """(block, doc_id, text) with null texts empty, and the number of parts among which keys are dealt.
 
     A block is a hash class of rows, about `block_mb` MB of text. All stages that group by block share one
-    exchange of the text.
+    exchange of the text. Parts follow from the size of the text alone, so that a part's keys stay about as many.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(2 * shuffle_partitions(docs.sparkSession), math.ceil(total / (block_mb << 20)))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    return d.select(block.alias("block"), "doc_id", "text"), n
+    return d.select(block.alias("block"), "doc_id", "text"), max(1, math.ceil(total / (part_mb << 20)))
 
 
 def block_table(t: pa.Table) -> pa.Table:
@@ -149,11 +149,6 @@ def reply_arrays(rows: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(totals), np.concatenate(first)
 
 
-def key_parts(n_blocks: int) -> int:
-    """Owners of keys; grows with the blocks, so that an owner's keys stay about as many."""
-    return n_blocks
-
-
 def arrow_batches(table: pa.Table, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     yield from table.to_batches(max_chunksize=rows)
 

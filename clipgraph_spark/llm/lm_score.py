@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REQUEST, REQUEST_ARROW, answers, block_table, key_parts, materialize, reply_arrays, request_rows, rows_table, table, with_blocks
+from .common import REQUEST, REQUEST_ARROW, answers, block_table, materialize, reply_arrays, request_rows, rows_table, table, with_blocks
 
 END = np.uint64(0x9E3779B97F4A7C15)
 START = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -123,8 +123,8 @@ def score(docs: DataFrame) -> DataFrame:
     Null texts are empty: only the end is a token. Null doc_ids are training rows. Repeated rows repeat. An empty
     table, or one without training rows, gives scores from add-one smoothing of nothing.
     """
-    blocks, n = with_blocks(docs)
-    requests = blocks.groupBy("block").applyInArrow(_requests(key_parts(n)), REQUEST)
+    blocks, parts = with_blocks(docs)
+    requests = blocks.groupBy("block").applyInArrow(_requests(parts), REQUEST)
     replies = answers(requests)
     totals = replies.where(F.col("kind") == UNIGRAM).agg(F.sum("n_total").alias("n"), F.sum("n_keys").alias("v"))
     replies = replies.withColumn("all_n", totals.select("n").scalar()).withColumn("all_v", totals.select("v").scalar())

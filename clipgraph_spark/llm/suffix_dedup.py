@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REQUEST, REQUEST_ARROW, answers, block_table, key_parts, materialize, reply_arrays, request_rows, rows_table, shuffle_partitions, table, with_blocks
+from .common import REQUEST, REQUEST_ARROW, answers, block_table, materialize, reply_arrays, request_rows, rows_table, shuffle_partitions, table, with_blocks
 
 GRAM = 8
 STEP = 1 << 19
@@ -262,12 +262,12 @@ def _bucket(rows: pa.Table, length: int) -> pa.Table:
 
 def repeated_intervals(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     """The blocks of the documents, and (block, ord, start, end): what repeated strings of `length` bytes cover."""
-    blocks, n = with_blocks(docs)
-    replies = answers(blocks.groupBy("block").applyInArrow(_requests(length, key_parts(n)), REQUEST))
+    blocks, parts = with_blocks(docs)
+    replies = answers(blocks.groupBy("block").applyInArrow(_requests(length, parts), REQUEST))
     settled = materialize(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_settle(length), SETTLED), "settled")
     suffixes = settled.where(F.col("string").isNotNull())
-    parts = max(shuffle_partitions(docs.sparkSession), -(-suffixes.count() // 40_000))
-    in_order = suffixes.repartitionByRange(parts, F.expr("substring(string, lead + 1)"), "string", "block", "ord", "low")
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-suffixes.count() // 40_000))
+    in_order = suffixes.repartitionByRange(buckets, F.expr("substring(string, lead + 1)"), "string", "block", "ord", "low")
 
     def run(batches):
         held = list(batches)
@@ -277,8 +277,8 @@ def repeated_intervals(docs: DataFrame, length: int = 400) -> tuple[DataFrame, D
     found = materialize(in_order.mapInArrow(run, FOUND), "sorted")
     edge = found.where(F.col("hash").isNotNull())
     twice = edge.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    parts_ = [settled.where(F.col("start").isNotNull()), found.where(F.col("hash").isNull()), edge.join(twice, "hash", "left_semi")]
-    a, b, c = [p.select("block", "ord", "start", "end") for p in parts_]
+    found_in = [settled.where(F.col("start").isNotNull()), found.where(F.col("hash").isNull()), edge.join(twice, "hash", "left_semi")]
+    a, b, c = [p.select("block", "ord", "start", "end") for p in found_in]
     return blocks, a.unionByName(b).unionByName(c)
 
 

@@ -195,12 +195,16 @@ def multikey_quicksort(words: np.ndarray, small: int = 48) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-FOUND = "block int, ord int, start int, end int, hash long"
-FOUND_ARROW = pa.schema([("block", pa.int32()), ("ord", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())])
+# An interval, or with `hashes` a suffix of a bucket's first or last group: its anchor in `start`, and the hashes of
+# the windows that begin `end`, `end` + 1, ... bytes before it.
+FOUND = "bucket int, block int, ord int, start int, end int, hashes binary"
+FOUND_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("ord", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hashes", pa.binary())])
+SPANS = "block int, ord int, start int, end int"
+SPANS_ARROW = pa.schema([("block", pa.int32()), ("ord", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def _bucket(rows: pa.Table, length: int) -> pa.Table:
-    """Sorts a bucket's suffixes and compares neighbours; the windows of its first and last group go out by hash."""
+def _bucket(rows: pa.Table, length: int, bucket: int = 0) -> pa.Table:
+    """Sorts a bucket's suffixes and compares neighbours; its first and last group go out to be compared with others'."""
     half = length // 2
     m = rows.num_rows
     low, lead = rows["low"].to_numpy(), rows["lead"].to_numpy()
@@ -232,7 +236,6 @@ def _bucket(rows: pa.Table, length: int) -> pa.Table:
             hashes[a : a + 2048, back] = _mix((c[:, s + length] - c[:, s]) * down[s] + np.uint64(back) * np.uint64(_BASE))
     lead_, last_back = lead[order], (lead - (size - length))[order]
     best = np.full((len(order), 2), -1)
-    out = [[], [], [], [], []]
     meta = [rows["block"].to_numpy()[order], rows["ord"].to_numpy()[order], low[order]]
     for back in range(half):
         valid = np.flatnonzero((back <= lead_) & (back >= last_back))
@@ -246,18 +249,43 @@ def _bucket(rows: pa.Table, length: int) -> pa.Table:
         rep = valid[hit]
         best[rep, 0] = back  # ends as the largest
         best[rep[best[rep, 1] < 0], 1] = back
-        far = valid[edge[valid]]
-        if len(far):
-            s = meta[2][far] + lead_[far] - back
-            for x, y in zip(out, (meta[0][far], meta[1][far], s, s + length, hashes[far, back].view(np.int64)), strict=True):
-                x.append(y)
-    ok = np.flatnonzero(best[:, 0] >= 0)
-    at = meta[2][ok] + lead_[ok]
-    for x, y in zip(out, (meta[0][ok], meta[1][ok], at - best[ok, 0], at - best[ok, 1] + length, np.zeros(len(ok), np.int64)), strict=True):
-        x.append(y)
-    cols = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
-    masks = [None] * 4 + [np.arange(len(cols[4])) >= len(cols[4]) - len(ok)]
-    return pa.Table.from_arrays([pa.array(c, f.type, mask=k) for c, f, k in zip(cols, FOUND_ARROW, masks, strict=True)], schema=FOUND_ARROW)
+    ok, far = np.flatnonzero(best[:, 0] >= 0), np.flatnonzero(edge & (lead_ >= last_back))
+    at = meta[2] + lead_
+    blobs = [hashes[i, a : b + 1].astype("<u8").tobytes() for i, a, b in zip(far.tolist(), last_back[far].tolist(), lead_[far].tolist(), strict=True)]
+    both = np.concatenate([ok, far])
+    cols = [
+        pa.array([bucket] * len(both), pa.int32()), pa.array(meta[0][both], pa.int32()), pa.array(meta[1][both], pa.int32()),
+        pa.array(np.concatenate([at[ok] - best[ok, 0], at[far]]), pa.int32()), pa.array(np.concatenate([at[ok] - best[ok, 1] + length, last_back[far]]), pa.int32()),
+        pa.array([None] * len(ok) + blobs, pa.binary()),
+    ]
+    return pa.Table.from_arrays(cols, schema=FOUND_ARROW)
+
+
+def _edge_requests(parts: int):
+    def run(rows: pa.Table) -> pa.Table:
+        own = np.concatenate([np.frombuffer(x, "<u8") for x in rows["hashes"].to_pylist()])
+        return rows_table(request_rows(rows["bucket"][0].as_py(), 0, *np.unique(own, return_counts=True), parts), REQUEST_ARROW)
+
+    return run
+
+
+def _edge_spans(length: int):
+    """The intervals of a bucket's edge suffixes, from how often their windows occur at the edges of all buckets."""
+
+    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x, "<u8") for x in rows["hashes"].to_pylist()]
+        if not blobs:
+            return SPANS_ARROW.empty_table()
+        _, at = np.unique(np.concatenate(blobs), return_inverse=True)
+        twice = reply_arrays(replies.to_pylist(), 0)[0][at] > 1
+        cut, found = np.cumsum([len(x) for x in blobs])[:-1], []
+        for block, ord_, anchor, back, hit in zip(*(rows[c].to_pylist() for c in ("block", "ord", "start", "end")), np.split(twice, cut), strict=True):
+            where = np.flatnonzero(hit)
+            if len(where):
+                found.append({"block": block, "ord": ord_, "start": anchor - back - int(where[-1]), "end": anchor - back - int(where[0]) + length})
+        return pa.Table.from_pylist(found, schema=SPANS_ARROW)
+
+    return run
 
 
 def repeated_intervals(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
@@ -270,16 +298,18 @@ def repeated_intervals(docs: DataFrame, length: int = 400) -> tuple[DataFrame, D
     in_order = suffixes.repartitionByRange(buckets, F.expr("substring(string, lead + 1)"), "string", "block", "ord", "low")
 
     def run(batches):
+        from pyspark import TaskContext
+
         held = list(batches)
         if held:
-            yield from _bucket(pa.Table.from_batches(held), length).to_batches()
+            yield from _bucket(pa.Table.from_batches(held), length, TaskContext.get().partitionId()).to_batches()
 
     found = materialize(in_order.mapInArrow(run, FOUND), "sorted")
-    edge = found.where(F.col("hash").isNotNull())
-    twice = edge.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    found_in = [settled.where(F.col("start").isNotNull()), found.where(F.col("hash").isNull()), edge.join(twice, "hash", "left_semi")]
-    a, b, c = [p.select("block", "ord", "start", "end") for p in found_in]
-    return blocks, a.unionByName(b).unionByName(c)
+    edge = found.where(F.col("hashes").isNotNull())
+    edge_replies = answers(edge.groupBy("bucket").applyInArrow(_edge_requests(-(-edge.count() // 10_000) or 1), REQUEST))
+    across = edge.groupBy("bucket").cogroup(edge_replies.groupBy("block")).applyInArrow(_edge_spans(length), SPANS)
+    settled_spans, own = settled.where(F.col("start").isNotNull()), found.where(F.col("hashes").isNull())
+    return blocks, settled_spans.select("block", "ord", "start", "end").unionByName(own.select("block", "ord", "start", "end")).unionByName(across)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import INVENTED
@@ -36,6 +36,35 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.segment_features(segments(spark, sf_dir))
 
 
+def _pair(i: int) -> Column:
+    """The i-th byte of a segment's hash."""
+    return F.conv(F.substring("h", 2 * i + 1, 2), 16, 10).cast("int")
+
+
+def annotations(segs: DataFrame) -> DataFrame:
+    """Annotations that follow from a segment's hash and words, in place of a model's."""
+    a = segs.withColumn("h", F.md5(F.concat_ws(":", F.col("job_id").cast("string"), "segment_id")))
+    words = F.filter(F.array_distinct(F.split("text", " ")), lambda w: F.length(w) >= 4)
+    words = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    scores = ("hook_strength", "ending_strength", "curiosity_score", "importance_score", "emotion_intensity", "confidence_score")
+    return a.select(
+        "job_id", "segment_id", *[(_pair(i) / 255.0).alias(n) for i, n in enumerate(scores)],
+        F.concat(F.lit("t"), _pair(6) % 7).alias("topic"), F.concat(F.lit("t"), _pair(7) % 7).alias("subtopic"),
+        F.when(_pair(8) % 5 == 0, "neutral").otherwise(F.concat(F.lit("e"), _pair(8) % 5)).alias("emotion"), F.col("kind").alias("story_role"),
+        F.when(_pair(9) % 3 == 0, "low").otherwise("high").alias("context_dependency"), F.slice(words, F.lit(1), 1 + _pair(10) % 3).alias("key_entities"), F.slice(words, 1, 3).alias("keywords"),
+    )
+
+
+def boundaries(segs: DataFrame) -> DataFrame:
+    """Stories of five neighbours, some left out, repeated or moved ahead by their hash, so that checks have work."""
+    b = segs.withColumn("h", F.md5(F.concat_ws(":", F.col("job_id").cast("string"), "segment_id"))).where(_pair(11) >= 40)
+    b = b.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(_pair(13) < 20, 2).otherwise(1))))
+    row = F.struct((F.col("ord") - F.when(_pair(12) < 20, 2).otherwise(0)).alias("k"), "ord", "copy", "segment_id")
+    b = b.groupBy("job_id", F.floor(F.col("ord") / 5).cast("int").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["segment_id"]).alias("segments"))
+    conf = [F.lit(0.8).alias(f"{c}_confidence") for c in ("start", "end", "boundary", "structural", "semantic")]
+    return b.select("*", F.concat(F.lit("Story "), "idx").alias("name"), F.when(F.col("idx") % 2 == 0, "summary").otherwise("").alias("summary"), *conf)
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
     return C.generate_candidates(s, FE.segment_features(s))

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .functions import text as T
+from .operators import blueprints as BP
 from .operators import candidates as C
+from .operators import composer as CO
 from .operators import dedup as D
 from .operators import evaluation as EV
 from .operators import features as FE
 from .operators import graph as G
 from .operators import objectives as O
 from .operators import ranking as R
+from .operators import stories as K
 from .operators import telemetry as P
 from .operators import topics as TP
 from .operators import transcript as TR
@@ -288,11 +291,132 @@ def _(spark, d):
     return D.best_of_cluster(D.overlap_clusters(b)).select("job_id", "idx", "cluster")
 
 
+@query("i6_merge_boundaries")
+def _(spark, d):
+    s = B.segments(spark, d)
+    b = B.boundaries(s).where(F.col("idx") % 3 != 0)
+    return D.merge_boundaries(b, s).select("job_id", "idx", F.array_join("segments", ",").alias("segment_ids"), "name", F.round("boundary_confidence", 6).alias("boundary_confidence"))
+
+
 @query("i7_content_hash_dedup", sql.I_CONTENT)
 def _(spark, d):
     return D.content_hash_dedup(B.table(spark, d, "documents").withColumnRenamed("doc_id", "id"))
 
 
+def _composed(spark, d):
+    s = B.segments(spark, d)
+    return CO.compose(s, B.annotations(s), S.materialize)
+
+
+@query("j_compose")
+def _(spark, d):
+    return _composed(spark, d)[0].select("job_id", "idx", F.array_join("segments", ",").alias("segment_ids"), "name", "summary", "boundary_confidence")
+
+
+@query("j15_story_health")
+def _(spark, d):
+    return _composed(spark, d)[2].drop("segments")
+
+
+@query("j16_composer_stats")
+def _(spark, d):
+    _, decisions, health = _composed(spark, d)
+    return CO.composer_stats(decisions, health)
+
+
+@query("j17_selection_entropy")
+def _(spark, d):
+    return CO.selection_entropy(_composed(spark, d)[1])
+
+
+@query("j18_composer_report")
+def _(spark, d):
+    return CO.composer_report(_composed(spark, d)[1])
+
+
+@query("j19_composed_clusters")
+def _(spark, d):
+    return D.best_of_cluster(D.overlap_clusters(_composed(spark, d)[0])).select("job_id", "idx", "cluster", F.size("segments").alias("n"))
+
+
+def _candidates(spark, d):
+    s = B.segments(spark, d)
+    a = B.annotations(s)
+    return s, a, K.verify(K.form_candidates(B.boundaries(s), s, a))
+
+
+def _as_stories(c):
+    return c.withColumn("story_id", F.regexp_replace("candidate_id", "^cand_", "story_")).withColumn("version", F.lit(1))
+
+
+def _validated(spark, d):
+    s, a, c = _candidates(spark, d)
+    repaired, rejected, records = K.repair(c, s, a)
+    return s, a, *K.validate(repaired, rejected, a), records
+
+
+@query("k2_verify", sql.K_VERIFY)
+def _(spark, d):
+    return _candidates(spark, d)[2].select("job_id", "candidate_id", F.array_join("issues", ",").alias("issues"), "verified")
+
+
+@query("k6_repair")
+def _(spark, d):
+    s, a, c = _candidates(spark, d)
+    ok, gone, _ = K.repair(c, s, a)
+    row = ["job_id", "story_id", "version", F.array_join("segment_ids", ",").alias("segment_ids"), F.array_join("repair_actions", ",").alias("actions")]
+    return ok.select(*row, F.lit("").alias("rejection")).unionByName(gone.select(*row, F.col("rejection_reason").alias("rejection")))
+
+
+@query("k6_repair_rate")
+def _(spark, d):
+    return K.repair_rate(_validated(spark, d)[4])
+
+
+@query("k7_story_quality", sql.K_QUALITY)
+def _(spark, d):
+    _, a, c = _candidates(spark, d)
+    return K.story_quality(_as_stories(c), a).withColumn("reason", F.coalesce(K.reject_reason(), F.lit(""))).select("job_id", "story_id", *K.QUALITY_WEIGHTS, "story_quality_score", "quality_explanation", "reason")
+
+
+@query("k10_validated_stories")
+def _(spark, d):
+    return _validated(spark, d)[2].select("job_id", "story_id", "story_priority", "story_quality_score", "validated_summary")
+
+
+@query("k11_coverage", sql.K_COVERAGE)
+def _(spark, d):
+    s, _, c = _candidates(spark, d)
+    return K.coverage(c.where("verified"), c.where("NOT verified"), s).withColumn("unused_segments", F.array_join("unused_segments", ","))
+
+
+@query("l4_build_blueprint", sql.L_BUILD)
+def _(spark, d):
+    s, a, c = _candidates(spark, d)
+    x = BP.build_blueprint(BP.story_cuts(BP.with_items(K.story_quality(_as_stories(c), a), a, s), cuts="full"))
+    total = F.round(F.aggregate("cut_timestamps", F.lit(0.0), lambda t, v: t + v), 3).alias("cut_sum")
+    return x.select("job_id", "blueprint_id", "story_id", "opening_segment", "ending_segment", "start_time", "end_time", F.size("cut_timestamps").alias("n_cuts"), total, "cut_confidence", "blueprint_confidence", "signature", F.size("story_arc").alias("arc_size"))
+
+
+@query("l3_story_cuts")
+def _(spark, d):
+    s, a, ok, _, _ = _validated(spark, d)
+    x = BP.build_blueprint(BP.story_cuts(BP.with_items(ok, a, s), short_max=15.0))
+    return x.select("job_id", "story_id", "cut", "notes", F.array_join("segment_ids", ",").alias("segment_ids"))
+
+
+@query("l5_blueprints")
+def _(spark, d):
+    s, a, ok, _, _ = _validated(spark, d)
+    return BP.generate_blueprints(ok, a, s)[0].select("job_id", "blueprint_id", "rank", "blueprint_confidence", "signature")
+
+
+@query("l5_segment_usage")
+def _(spark, d):
+    s, a, ok, _, _ = _validated(spark, d)
+    return BP.generate_blueprints(ok, a, s)[1].select("job_id", "segment_id", "usage_count", F.array_join("blueprint_ids", ",").alias("blueprint_ids"))
+
+
 @query("m1_hard_constraints", sql.M_CONSTRAINTS)
 def _(spark, d):
     ok, gone = R.hard_constraints(B.ranking_candidates(spark, d))

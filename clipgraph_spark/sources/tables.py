@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,15 @@ def allowed_media(files: DataFrame, most: int = 2 << 30) -> DataFrame:
     """Files (path, length) with a video extension and a size above 0 and at most 2 GiB."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
     return files.where(ext.isin(*MEDIA) & (F.col("length") > 0) & (F.col("length") <= most))
+
+
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Writes `df` to the folder that the cluster shares (spark.checkpoint.dir) and reads it back: cuts lineage.
+
+    A temporary folder stands in only where that setting is unset, as in tests.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/clipgraph-" + spark.sparkContext.applicationId
+    path = f"{base}/clipgraph/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -227,6 +227,58 @@ SELECT * REPLACE (round(narrative_coherence, 6) AS narrative_coherence, round(ho
  round((hook_delivery + standalone + ending + dead_time + narrative_coherence + information_density + temporal_flow + emotional_arc + creator_fit + visual_quality) / 10, 4) AS overall_score FROM o""",
 )
 I_CONTENT = "SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS id, count(*) AS \"references\" FROM documents GROUP BY 1"
+_PAIR = "('0x' || substr(h, {i}, 2))::INTEGER"
+_p = lambda i: _PAIR.format(i=2 * i + 1)
+_STORIES = (
+    _SEGMENTS
+    + f""",
+sh AS (SELECT *, md5(job_id || ':' || segment_id) AS h FROM segments),
+an AS (SELECT job_id, segment_id, {_p(0)} / 255.0::DOUBLE AS hook_strength, {_p(1)} / 255.0::DOUBLE AS ending_strength, {_p(5)} / 255.0::DOUBLE AS confidence,
+              't' || {_p(6)} % 7 AS topic, CASE WHEN {_p(8)} % 5 = 0 THEN 'neutral' ELSE 'e' || {_p(8)} % 5 END AS emotion, kind AS role, {_p(9)} % 3 <> 0 AS depends FROM sh),
+bo AS (SELECT *, ord // 5 AS idx, ord - CASE WHEN {_p(12)} < 20 THEN 2 ELSE 0 END AS k, unnest(range(CASE WHEN {_p(13)} < 20 THEN 2 ELSE 1 END)) AS copy FROM sh WHERE {_p(11)} >= 40),
+ca AS (SELECT job_id, idx, segment_id, start_s, end_s, dense_rank() OVER (PARTITION BY job_id ORDER BY idx) AS c,
+              row_number() OVER (PARTITION BY job_id, idx ORDER BY k, ord, copy) AS pos FROM bo),
+lagged AS (SELECT *, lag(segment_id) OVER w AS before, lag(end_s) OVER w AS before_end FROM ca WINDOW w AS (PARTITION BY job_id, c ORDER BY pos)),
+ve AS (SELECT job_id, c, list_concat(CASE WHEN bool_or(start_s < before_end - 0.5) THEN ['timestamp_overlap'] ELSE [] END,
+              coalesce(list('gap_at_' || before ORDER BY pos) FILTER (start_s - before_end > 5), []), CASE WHEN count(DISTINCT segment_id) < count(*) THEN ['duplicate_segments'] ELSE [] END,
+              CASE WHEN count(*) < 3 THEN ['too_few_segments'] ELSE [] END) AS issues FROM lagged GROUP BY 1, 2),
+q0 AS (SELECT job_id, c, count(*) AS n, count(DISTINCT topic) AS dt, coalesce(max(hook_strength) FILTER (role = 'hook'), 0.5::DOUBLE) AS hook_quality,
+              coalesce(max(ending_strength) FILTER (role = 'ending'), 0.5::DOUBLE) AS ending_quality, count(*) FILTER (depends) AS d, count(DISTINCT emotion) FILTER (emotion <> 'neutral') AS e
+       FROM ca JOIN an USING (job_id, segment_id) GROUP BY 1, 2),
+q1 AS (SELECT *, 1::DOUBLE AS completeness, 1::DOUBLE - dt / n AS coherence, CASE WHEN n >= 2 THEN least(1::DOUBLE, 0.3::DOUBLE + d / n) ELSE 0.5 END AS continuity,
+              CASE WHEN e > 0 THEN least(1::DOUBLE, e / 4) ELSE 0.3 END AS emotional_arc FROM q0),
+q2 AS (SELECT * EXCLUDE (completeness, coherence, hook_quality, ending_quality, continuity, emotional_arc), hook_quality AS hq, ending_quality AS eq, coherence AS co, completeness,
+              floor((completeness * 0.25 + coherence * 0.25 + hook_quality * 0.15 + ending_quality * 0.15 + continuity * 0.1 + emotional_arc * 0.1) * 10000 + 0.500001) / 10000 AS score,
+              floor(coherence * 10000 + 0.500001) / 10000 AS coherence, floor(hook_quality * 10000 + 0.500001) / 10000 AS hook_quality, floor(ending_quality * 10000 + 0.500001) / 10000 AS ending_quality,
+              floor(continuity * 10000 + 0.500001) / 10000 AS continuity, floor(emotional_arc * 10000 + 0.500001) / 10000 AS emotional_arc FROM q1)
+"""
+)
+K_VERIFY = _with(_STORIES, "SELECT job_id, printf('cand_%03d', c) AS candidate_id, array_to_string(issues, ',') AS issues, len(issues) = 0 AS verified FROM ve")
+K_QUALITY = _with(
+    _STORIES,
+    """SELECT job_id, printf('story_%03d', c) AS story_id, completeness, coherence, hook_quality, ending_quality, continuity, emotional_arc, score AS story_quality_score,
+ coalesce(nullif(concat_ws('; ', CASE WHEN co < 0.3 THEN 'low coherence' END, CASE WHEN hq < 0.3 THEN 'weak hook' END, CASE WHEN eq < 0.3 THEN 'weak ending' END), ''), 'acceptable') AS quality_explanation,
+ CASE WHEN score < 0.3 THEN 'quality_too_low' WHEN hook_quality < 0.2 THEN 'weak_hook' WHEN ending_quality < 0.2 THEN 'weak_ending' ELSE '' END AS reason FROM q2""",
+)
+K_COVERAGE = _with(
+    _STORIES,
+    """SELECT job_id, total_segments, covered_segments, fully_covered, partially_covered, unused, unused_segments, unused_duration, unused_stories,
+ floor(covered_segments / total_segments * 10000 + 0.500001) / 10000 AS coverage_score, floor(unused_duration / 30)::INTEGER AS potential_shorts
+ FROM (SELECT job_id, count(*) AS total_segments, count(n) AS covered_segments, count(*) FILTER (n = 1) AS fully_covered, count(*) FILTER (n > 1) AS partially_covered, count(*) FILTER (n IS NULL) AS unused,
+  coalesce(string_agg(segment_id, ',' ORDER BY segment_id) FILTER (n IS NULL), '') AS unused_segments, coalesce(round(sum(end_s - start_s) FILTER (n IS NULL), 3), 0) AS unused_duration
+  FROM segments LEFT JOIN (SELECT job_id, segment_id, count(*) AS n FROM ca GROUP BY 1, 2) USING (job_id, segment_id) GROUP BY 1)
+ LEFT JOIN (SELECT job_id, count(*) AS bad FROM ve WHERE len(issues) > 0 GROUP BY 1) USING (job_id), LATERAL (SELECT coalesce(bad, 0) AS unused_stories)""",
+)
+L_BUILD = _with(
+    _STORIES,
+    """SELECT job_id, 'bp_' || s || '_1_' || m AS blueprint_id, s AS story_id, coalesce(o, first_id) AS opening_segment, coalesce(z, last_id) AS ending_segment, start_time, end_time, n_cuts, cut_sum, cut_confidence,
+ score AS blueprint_confidence, s || ':' || substr(md5(ids), 1, 12) AS signature, arc_size
+ FROM (SELECT job_id, c, printf('story_%03d', c) AS s, count(*) AS m, arg_min(segment_id, pos) AS first_id, arg_max(segment_id, pos) AS last_id, arg_min(segment_id, pos) FILTER (pos <= 3 AND hook_strength > 0.5) AS o,
+   arg_max(segment_id, pos) FILTER (pos > size - 3 AND ending_strength > 0.5) AS z, arg_min(start_s, pos) AS start_time, arg_max(end_s, pos) AS end_time, (count(*) FILTER (role <> before))::INTEGER AS n_cuts,
+   coalesce(round(sum(start_s) FILTER (role <> before), 3), 0) AS cut_sum, floor(avg(confidence) * 10000 + 0.500001) / 10000 AS cut_confidence, string_agg(segment_id, '|' ORDER BY pos) AS ids, count(DISTINCT segment_id)::INTEGER AS arc_size
+  FROM (SELECT *, lag(role) OVER (PARTITION BY job_id, c ORDER BY pos) AS before, count(*) OVER (PARTITION BY job_id, c) AS size FROM ca JOIN an USING (job_id, segment_id)) GROUP BY 1, 2)
+ JOIN q2 USING (job_id, c)""",
+)
 M_CONSTRAINTS = _with(
     _CLIPS,
     """SELECT job_id, id, array_to_string(list_filter([CASE WHEN duration < 15 THEN 'duration_too_short' WHEN duration > 90 THEN 'duration_too_long' END,

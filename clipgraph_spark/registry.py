@@ -408,13 +408,13 @@ def _(spark, d):
 @query("l5_blueprints")
 def _(spark, d):
     s, a, ok, _, _ = _validated(spark, d)
-    return BP.generate_blueprints(ok, a, s)[0].select("job_id", "blueprint_id", "rank", "blueprint_confidence", "signature")
+    return BP.generate_blueprints(ok, a, s, S.materialize)[0].select("job_id", "blueprint_id", "rank", "blueprint_confidence", "signature")
 
 
 @query("l5_segment_usage")
 def _(spark, d):
     s, a, ok, _, _ = _validated(spark, d)
-    return BP.generate_blueprints(ok, a, s)[1].select("job_id", "segment_id", "usage_count", F.array_join("blueprint_ids", ",").alias("blueprint_ids"))
+    return BP.generate_blueprints(ok, a, s, S.materialize)[1].select("job_id", "segment_id", "usage_count", F.array_join("blueprint_ids", ",").alias("blueprint_ids"))
 
 
 @query("m1_hard_constraints", sql.M_CONSTRAINTS)

@@ -129,12 +129,13 @@ def _blocks(spark, d) -> DataFrame:
     return B.segments(spark, d).withColumn("block_idx", F.floor(F.col("ord") / 25).cast("int"))
 
 
-@query("c13_annotation_batches")
+@query("c13_annotation_batches", sql.C_BATCHES)
 def _(spark, d):
-    return TR.annotation_batches(_blocks(spark, d))
+    joined = {c: F.array_join(c, ",") for c in ("segment_ids", "context_before", "context_after")}
+    return TR.annotation_batches(_blocks(spark, d)).withColumns(joined)
 
 
-@query("c14_parse_annotations")
+@query("c14_parse_annotations", sql.C_PARSE)
 def _(spark, d):
     s = B.segments(spark, d)
     item = F.struct("segment_id", F.lit("t").alias("topic"), (F.col("ord") / 10).alias("importance_score"))
@@ -142,7 +143,7 @@ def _(spark, d):
     return TR.parse_annotations(raw)[0]
 
 
-@query("c16_prompt_text")
+@query("c16_prompt_text", sql.C_PROMPT)
 def _(spark, d):
     return TR.prompt_text(TR.annotation_batches(_blocks(spark, d)), B.segments(spark, d))
 
@@ -180,12 +181,12 @@ def _(spark, d):
     return FE.named_entities(B.segments(spark, d))
 
 
-@query("d6_synopsis")
+@query("d6_synopsis", sql.D_SYNOPSIS)
 def _(spark, d):
     return FE.synopsis(_blocks(spark, d), ("job_id", "block_idx"))
 
 
-@query("d7_representative_excerpt")
+@query("d7_representative_excerpt", sql.D_EXCERPT)
 def _(spark, d):
     v = B.vectors(spark, d).withColumns({"segment_id": F.col("ord").cast("string"), "text": F.concat(F.lit("vector "), "ord"), "start_s": F.col("ord").cast("double"), "end_s": F.col("ord") + 2.0})
     return FE.representative_excerpt(v)
@@ -441,7 +442,7 @@ def _(spark, d):
     return R.rank(B.ranking_candidates(spark, d), 5)[0].select("job_id", "id", "final_rank", "final_score", "overall_confidence", "novelty_score", "explanation")
 
 
-@query("m13_funnel")
+@query("m13_funnel", sql.M_FUNNEL)
 def _(spark, d):
     return R.rank(B.ranking_candidates(spark, d), 5)[2]
 

@@ -158,6 +158,30 @@ C_PAYLOAD = """
 WITH t AS (SELECT doc_id AS job_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 3) END::BIGINT AS input_tokens, (length(text) % 3000)::BIGINT AS output_tokens FROM documents)
 SELECT *, CASE WHEN input_tokens > 1000 THEN 'PAYLOAD_TOO_LARGE' WHEN output_tokens > 2500 THEN 'OUTPUT_TOO_LARGE' WHEN input_tokens + output_tokens > 3500 THEN 'PAYLOAD_EXCEEDS_LIMIT' END AS error_code,
        CASE WHEN input_tokens > 1000 THEN greatest(2, ceil(input_tokens / 900::DOUBLE))::BIGINT END AS split_hint FROM t"""
+_BATCHES = (
+    _SEGMENTS
+    + """,
+bk AS (SELECT job_id, ord // 25 AS block_idx, list(segment_id ORDER BY ord) AS ids FROM segments GROUP BY ALL),
+bn AS (SELECT *, coalesce(lag(ids) OVER w, []) AS prev, coalesce(lead(ids) OVER w, []) AS next FROM bk WINDOW w AS (PARTITION BY job_id ORDER BY block_idx)),
+ba AS (SELECT *, unnest(range(0, len(ids), 8)) AS start FROM bn)
+"""
+)
+C_BATCHES = _with(
+    _BATCHES,
+    """SELECT job_id, block_idx::INTEGER AS block_idx, (start // 8)::INTEGER AS batch_idx, array_to_string(ids[start + 1 : start + 10], ',') AS segment_ids,
+ array_to_string(prev[-2:] || CASE WHEN start = 0 THEN [] ELSE ids[start - 1 : start] END, ',') AS context_before, array_to_string(ids[start + 11 : start + 12] || next[1:2], ',') AS context_after,
+ CASE WHEN block_idx < 3 THEN 'HIGH' ELSE 'NORMAL' END AS priority FROM ba""",
+)
+C_PROMPT = _with(
+    _BATCHES,
+    """, ln AS (SELECT job_id, ord // 25 AS block_idx, ord % 25 AS pos, '[' || segment_id || ' | ' || round(start_s::DECIMAL(18, 3), 1) || '-' || round(end_s::DECIMAL(18, 3), 1) || '] ' || text AS line FROM segments)
+SELECT job_id, block_idx::INTEGER AS block_idx, (start // 8)::INTEGER AS batch_idx, string_agg(line, chr(10) ORDER BY pos) AS prompt FROM ba JOIN ln USING (job_id, block_idx) WHERE pos >= start AND pos < start + 10 GROUP BY ALL""",
+)
+C_PARSE = _with(
+    _SEGMENTS,
+    """SELECT job_id, segment_id, 't' AS topic, NULL::VARCHAR AS role, NULL::VARCHAR AS emotion, least(1::DOUBLE, ord / 10::DOUBLE) AS importance_score,
+ 0.5::DOUBLE AS hook_strength, 0.5::DOUBLE AS ending_strength, 0.5::DOUBLE AS confidence_score FROM segments""",
+)
 C_CONFIDENCE = _with(_EVENTS, "SELECT job_id, stage AS chunk_id, round(least(greatest(1 + avg(-elapsed_ms / 500), 0::DOUBLE), 1::DOUBLE), 6) AS confidence FROM ev GROUP BY ALL")
 C_RTF = _with(
     _EVENTS,
@@ -182,6 +206,25 @@ D_ENTITIES = _with(
     r""", n AS (SELECT DISTINCT job_id, t AS entity FROM tk WHERE length(t) > 2 AND regexp_matches(t, '^\p{Lu}')),
 r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY entity)::INTEGER AS rank FROM n) SELECT job_id, rank, entity FROM r WHERE rank <= 3""",
 )
+D_SYNOPSIS = _with(
+    _TOKENS,
+    r""", tb AS (SELECT *, ord // 25 AS b FROM tk),
+n AS (SELECT job_id, b, lower(t) AS term, count(*) AS n, min(ord * 1000000::BIGINT + pos) AS first FROM tb WHERE length(t) > 3 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id, b ORDER BY n DESC, first) AS rank FROM n),
+te AS (SELECT job_id, b, string_agg(term, ', ' ORDER BY rank) AS terms FROM r WHERE rank <= 5 GROUP BY 1, 2),
+ne AS (SELECT *, row_number() OVER (PARTITION BY job_id, b ORDER BY entity) AS rank FROM (SELECT DISTINCT job_id, b, t AS entity FROM tb WHERE length(t) > 2 AND regexp_matches(t, '^\p{Lu}'))),
+en AS (SELECT job_id, b, string_agg(entity, ', ' ORDER BY rank) AS entities FROM ne WHERE rank <= 3 GROUP BY 1, 2),
+g AS (SELECT job_id, ord // 25 AS b, max(end_s) - min(start_s) AS seconds, count(*) AS n, substr(arg_min(text, ord), 1, 100) AS f, substr(arg_max(text, ord), 1, 100) AS l FROM segments GROUP BY ALL)
+SELECT job_id, b::INTEGER AS block_idx, 'Duration: ' || round(seconds::VARCHAR::DECIMAL(38, 17), 1) || 's, Segments: ' || n || '. Starts: ' || f || ' Ends: ' || l || ' Terms: ' || coalesce(terms, '') || ' Entities: ' || coalesce(entities, '') AS synopsis
+FROM g LEFT JOIN te USING (job_id, b) LEFT JOIN en USING (job_id, b)""",
+)
+D_EXCERPT = _with(
+    _VECTORS,
+    """, x AS (SELECT job_id, unnest(e) AS u, unnest(range(len(e))) AS dim FROM v), a AS (SELECT job_id, dim, avg(u) AS u FROM x GROUP BY ALL),
+c AS (SELECT job_id, list(u ORDER BY dim) AS c FROM a GROUP BY 1), k AS (SELECT job_id, ord, round(list_cosine_similarity(e, c), 9) AS cos FROM v JOIN c USING (job_id)),
+b AS (SELECT *, max(cos) OVER (PARTITION BY job_id) AS best FROM k)
+SELECT job_id, min(ord)::VARCHAR AS segment_id, 'vector ' || min(ord) AS excerpt FROM b WHERE cos >= best - 0.02::DOUBLE GROUP BY 1""",
+)
 E_ADJACENT = _with(_VECTORS, "SELECT job_id, idx::INTEGER AS idx, round(sim, 6) AS sim, round(smoothed, 6) AS smoothed FROM smoothed")
 E_BOUNDARIES = _with(
     _VECTORS,
@@ -285,6 +328,12 @@ M_CONSTRAINTS = _with(
  CASE WHEN NOT (h_start <= b_start AND b_start <= e_start) THEN 'non_chronological' END, CASE WHEN h_end > b_start OR b_end > e_start THEN 'segment_overlap' END,
  CASE WHEN b_start - h_end > 30 OR e_start - b_end > 30 THEN 'excessive_gap' END, CASE WHEN total_score < 0.15 THEN 'score_too_low' END], lambda x: x IS NOT NULL), ',') AS reasons FROM clips""",
 )
+M_FUNNEL = _with(
+    _CLIPS,
+    """, ok AS (SELECT job_id, duration BETWEEN 15 AND 90 AND h_start <= b_start AND b_start <= e_start AND h_end <= b_start AND b_end <= e_start
+  AND b_start - h_end <= 30 AND e_start - b_end <= 30 AND total_score >= 0.15 AS ok FROM clips)
+SELECT job_id, count(*) AS n_in, count(*) FILTER (ok) AS n_passed, least(count(*) FILTER (ok), 5) AS n_ranked FROM ok GROUP BY 1""",
+)
 _STOP = "'the a an is are was were in on at to for of and or but it that this with as by from be been being have has had do does did will would can could may might shall should not no nor so if then than too very just about also more some any each every all both few most other into over such only own same'"
 M_STAGES = _with(
     _CLIPS,

@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_text
 from .common import drop_row_key, materialize, table, texts_of
 from .graph import components
 
@@ -126,13 +127,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return fps.join(classes(fps), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The documents that have their class's least doc_id; repeated rows of that id stay one."""
-    fps = materialize(fingerprints(docs, shingle=shingle), "simhash")
-    kept = fps.join(classes(fps), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    key = drop_row_key(docs)
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each class of documents that five-word similarity links (see near_text): the one with the
+    least doc_id. Repeated rows of that id stay one."""
+    key = ("_k1", "_k2")
+    rows = docs.select("doc_id", "text").withColumns(dict(zip(key, _row_hashes(), strict=True)))
+    placed = near_text.components_of(materialize(near_text.prefixes(rows, ("doc_id", *key)), "prefixes"), rows, key)
+    kept = placed.groupBy("component").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    only = drop_row_key(docs)
     out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return out.withColumn(key, F.col("doc_id")).dropDuplicates([key]).select(*docs.columns)
+    return out.withColumn(only, F.col("doc_id")).dropDuplicates([only]).select(*docs.columns)
+
+
+def _row_hashes() -> tuple[Column, Column]:
+    """128 bits that tell rows with another doc_id or text apart; null is not the empty text."""
+    cols = [F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"]
+    return F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols[::-1])
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

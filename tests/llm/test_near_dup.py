@@ -4,7 +4,7 @@ import random
 
 import xxhash
 
-from clipgraph_spark.llm import near_dup
+from clipgraph_spark.llm import near_dup, near_text
 from clipgraph_spark.llm.graph import components
 
 
@@ -74,3 +74,57 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in near_dup.keep_one(df).collect()) == [1, 7]
     assert near_dup.keep_one(df).columns == df.columns
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
+
+
+def jaccard_classes(texts):
+    """For each text, the least index of its component over all pairs with a five-word Jaccard of 0.8 or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if not x and not y or 5 * len(x & y) >= 4 * len(x | y):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def edited_texts(rng):
+    words = [f"w{i}" for i in range(400)]
+    texts = ["", "one", "One  two", "one two"]
+    for size in (30, 60, 150):
+        for _ in range(6):
+            base = rng.choices(words, k=size)
+            texts.append(" ".join(base))
+            for edits in (1, 1, 2, 3, 6):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[rng.randrange(size)] = rng.choice(words)
+                texts.append(" ".join(copy if edits % 2 else copy[:-edits]))
+    base = rng.choices(words, k=80)  # many copies of one text, some out of reach of each other
+    for _ in range(90):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            copy[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    passage = " ".join(rng.choices(words, k=20))
+    return texts + [" ".join([*rng.choices(words, k=6), passage]) for _ in range(40)]
+
+
+def test_edited_copies(spark):
+    texts = edited_texts(random.Random(5))
+    want = jaccard_classes(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_dup.keep_one(docs).collect()) == sorted(set(want))
+    rows = near_text.prefixes(docs, ("doc_id",)).cache()
+    of = {r["doc_id"]: r["node"] for r in rows.collect()}
+    for posting in (2, 32):
+        root = {r["node"]: r["root"] for r in components(near_text.links(rows, docs, ("doc_id",), posting)).collect()}
+        groups = {}
+        for i, w in enumerate(want):
+            groups.setdefault(w, set()).add(root.get(of[i], of[i]))
+        assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)

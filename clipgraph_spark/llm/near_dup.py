@@ -128,15 +128,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class of documents that five-word similarity links (see near_text): the one with the
-    least doc_id. Repeated rows of that id stay one."""
+    """One row of each class of documents that five-word similarity links (see near_text).
+
+    It is the row with the least doc_id, a null one only if there is no other, and of those with the same doc_id the
+    one with the least hash. Rows equal in doc_id and text stay one; no row goes for its doc_id alone.
+    """
     key = ("_k1", "_k2")
-    rows = docs.select("doc_id", "text").withColumns(dict(zip(key, _row_hashes(), strict=True)))
+    hashes = dict(zip(key, _row_hashes(), strict=True))
+    rows = docs.select("doc_id", "text").withColumns(hashes)
     placed = near_text.components_of(materialize(near_text.prefixes(rows, ("doc_id", *key)), "prefixes"), rows, key)
-    kept = placed.groupBy("component").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    only = drop_row_key(docs)
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return out.withColumn(only, F.col("doc_id")).dropDuplicates([only]).select(*docs.columns)
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", *key)
+    least = placed.groupBy("component").agg(F.min(row).alias("r")).select("r.*").select(*key)
+    copies = placed.groupBy(*key).agg((F.count("*") > 1).alias("copies"))
+    kept = materialize(least.join(copies, list(key)), "kept")
+    names = [drop_row_key(docs) + c for c in key]
+    keyed = docs.withColumns(dict(zip(names, hashes.values(), strict=True)))
+    of = lambda k: keyed.join(k.select(F.col(key[0]).alias(names[0]), F.col(key[1]).alias(names[1])), names, "left_semi")
+    return of(kept.where(~F.col("copies"))).unionByName(of(kept.where("copies")).dropDuplicates(names)).select(*docs.columns)
 
 
 def _row_hashes() -> tuple[Column, Column]:

@@ -128,3 +128,9 @@ def test_edited_copies(spark):
         for i, w in enumerate(want):
             groups.setdefault(w, set()).add(root.get(of[i], of[i]))
         assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
+
+
+def test_null_and_shared_ids(spark):
+    rows = [(None, "first text of words that nobody shares"), (None, "second one with other words in it"), (None, None), (5, "third text under the id of a fourth"), (5, "fourth that has its own words too"), (5, "fourth that has its own words too"), (9, "third text under the id of a fourth"), (None, "third text under the id of a fourth")]
+    got = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, {rows[0], rows[1], rows[2], rows[3], rows[4]}))

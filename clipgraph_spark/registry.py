@@ -295,8 +295,7 @@ def _(spark, d):
 @query("i6_merge_boundaries")
 def _(spark, d):
     s = B.segments(spark, d)
-    b = B.boundaries(s).where(F.col("idx") % 3 != 0)
-    return D.merge_boundaries(b, s).select("job_id", "idx", F.array_join("segments", ",").alias("segment_ids"), "name", F.round("boundary_confidence", 6).alias("boundary_confidence"))
+    return D.merge_boundaries(B.boundaries(s), s).select("job_id", "idx", F.array_join("segments", ",").alias("segment_ids"), "name", F.round("boundary_confidence", 6).alias("boundary_confidence"))
 
 
 @query("i7_content_hash_dedup", sql.I_CONTENT)

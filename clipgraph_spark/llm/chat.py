@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+#: Stands for a line end in a role.
+NEWLINE = "<|nl|>"
+
+
 @dataclass(frozen=True)
 class ChatTemplate:
     """What stands around a turn, which roles are learned, and which role may follow which.
 
     `moves` maps a state to {role: next state}; `accept` holds the states in which a conversation may end. A state
-    that no role leads out of, and any role that is not listed, is an error.
+    that no role leads out of, and any role that is not listed, is an error. start and end are control strings: they
+    differ, begin with "<|" and hold it once, as escaping makes sure that no text holds it.
     """
 
     start: str = "<|im_start|>"
@@ -31,6 +36,11 @@ class ChatTemplate:
     )
     accept: tuple[str, ...] = ("answered",)
 
+    def __post_init__(self):
+        controls = (self.start, self.end, NEWLINE)
+        if len(set(controls)) < 3 or any(c[:2] != "<|" or "<|" in c[1:] or "\n" in c or "\\E" in c for c in controls):
+            raise ValueError("start and end must begin with '<|', hold it once, have no line end, and differ")
+
 
 # Control strings all begin with "<|". A "<" before any number of backslashes and "|" gets one backslash more, so no
 # text holds "<|" and taking one away gives the text again.
@@ -42,9 +52,6 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"<\\(\\*)\|", r"<$1|")
 
 
-NEWLINE = "<|nl|>"
-
-
 def _role_out(c: Column) -> Column:
     return F.replace(escape(c), F.lit("\n"), F.lit(NEWLINE))
 
@@ -54,8 +61,8 @@ def _role_in(c: Column) -> Column:
 
 
 def conversations_of(turns: DataFrame) -> DataFrame:
-    """conv_id and turns, an array of (turn, role, text) by turn; null roles and texts are empty."""
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """conv_id and turns, an array by turn (null turns last), then role and text; null roles and texts are empty."""
+    row = F.struct(F.col("turn").isNull().alias("last"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return turns.select("conv_id", row.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
 

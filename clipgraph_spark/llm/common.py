@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="clipgraph-"))
     return _OWN_DIR[0]
@@ -49,12 +51,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def drop_row_key(df: DataFrame) -> str:
-    """A column name that no column of `df` has."""
-    name = "_k"
-    while name in df.columns:
-        name += "_"
-    return name
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of `df` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 # -- blocks of documents and keyed exchange ---------------------------------------------------
@@ -161,6 +167,17 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 8 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut where their texts reach about `size` bytes, so that what a task holds does not follow the rows' length."""
+    for b in batches:
+        ends, done = np.cumsum(pc.fill_null(pc.binary_length(b[name]), 0).to_numpy()), 0
+        while done < b.num_rows:
+            used = int(ends[done - 1]) if done else 0
+            upto = max(done + 1, int(np.searchsorted(ends, used + size, "right")))
+            yield b.slice(done, upto - done)
+            done = upto
+
+
 def texts_of(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[str]:
     col = batch[name]
     return pc.fill_null(col, "").to_pylist()

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_row_key, table
+from .common import ascii_lower, free_names, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 N = 10
 #: Up to this many windows the set goes to every task; beyond, windows are joined by shuffle.
 BROADCAST_WINDOWS = 200_000
+#: Beyond them, up to this many first words of windows (8 bytes each) still go to every task, to let few places on.
+BROADCAST_HEADS = 4_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -68,49 +70,68 @@ def hits(docs: DataFrame, items: DataFrame, n: int = N, keep: tuple[str, ...] =
                 heads[r["len"]], wholes[r["len"]] = r["h"], r["g"]
     finally:
         grams.unpersist()
-    d = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, words_of(F.col("text")).alias("_w")).withColumn("n_words", F.size("_w").cast("long"))
-    found = [_places(F.col("_w"), k, heads.get(k), wholes.get(k)) for k in lens]
+    row, w, p, i, k, gram = free_names(docs.select(*keep), "_row", "_w", "_p", "_i", "_len", "_gram")
+    d = docs.select(F.monotonically_increasing_id().alias(row), *keep, words_of(F.col("text")).alias(w)).withColumn("n_words", F.size(w).cast("long"))
+    found = [_places(F.col(w), n_, heads.get(n_), wholes.get(n_)) for n_ in lens]
     places = F.flatten(F.array(*found)) if found else F.array().cast("array<struct<i:int,len:int,gram:string>>")
-    d = d.select("_row", *keep, "n_words", F.explode_outer(places).alias("_p"))
-    d = d.select("_row", *keep, "n_words", F.col("_p.i").alias("_i"), F.col("_p.len").alias("_len"), F.col("_p.gram").alias("_gram"))
+    if not small:  # a place of its own for each row, so that rows without hits stay
+        places = F.concat(places, F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("len"), F.concat(F.lit("\n"), F.col(row).cast("string")).alias("gram"))))
+    d = d.select(row, *keep, "n_words", F.explode_outer(places).alias(p))
+    d = d.select(row, *keep, "n_words", F.col(f"{p}.i").alias(i), F.col(f"{p}.len").alias(k), F.col(f"{p}.gram").alias(gram))
+    if not small:
+        d = _with_known_heads(d, grams, i, gram)
     g = grams.groupBy("gram", "len").agg(F.collect_set("item").alias("_items")).select(F.col("gram").alias("_g"), F.col("len").alias("_l"), "_items")
-    joined = d.join(F.broadcast(g) if small else g, (F.col("_gram") == F.col("_g")) & (F.col("_len") == F.col("_l")), "left")
-    place = F.when(F.col("_items").isNotNull(), F.struct("_i", "_len"))
-    per = joined.groupBy("_row", *keep, "n_words").agg(F.collect_set(place).alias("_at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_found"))
-    covered = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(p["_i"], p["_i"] + p["_len"] - 1))))
+    joined = d.join(F.broadcast(g) if small else g, (F.col(gram) == F.col("_g")) & (F.col(k) == F.col("_l")), "left")
+    place = F.when(F.col("_items").isNotNull(), F.struct(F.col(i).alias("i"), F.col(k).alias("len")))
+    per = joined.groupBy(row, *keep, "n_words").agg(F.collect_set(place).alias("_at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_found"))
+    covered = F.array_distinct(F.flatten(F.transform("_at", lambda x: F.sequence(x["i"], x["i"] + x["len"] - 1))))
     return per.select(
         *keep, "n_words", F.size(covered).cast("long").alias("n_hit"), F.size("_found").cast("long").alias("n_items"),
         F.sha2(F.array_join("_found", ","), 256).alias("items_sha256"), (F.size("_at") > 0).alias("contaminated"),
     )
 
 
+def _with_known_heads(d: DataFrame, grams: DataFrame, i: str, gram: str) -> DataFrame:
+    """The places whose window's first two words begin a window of the set, and each row's own place."""
+    first_two = lambda c: F.xxhash64(F.substring_index(c, " ", 2))
+    known = grams.select(first_two(F.col("gram")).alias("_h")).distinct()
+    if known.limit(BROADCAST_HEADS + 1).count() > BROADCAST_HEADS:
+        return d
+    known = F.broadcast(known.withColumn("_known", F.lit(True)))
+    return d.join(known, first_two(F.col(gram)) == F.col("_h"), "left").where(F.col("_known") | (F.col(i) < 0)).drop("_h", "_known")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows as one column `row`, with the text and a key that rows of the same doc_id and text share."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("key"))
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """The documents without hits. Rows are named by their content, so repeated rows are decided alike."""
-    key = drop_row_key(docs)
-    keyed = docs.withColumn(key, F.struct(F.col("doc_id"), F.xxhash64("text")))
-    bad = hits(keyed, items, n, (key,)).where("contaminated").select(F.col(key).alias("_bad")).distinct()
-    return keyed.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
+    """The documents without hits, with their columns, whatever their names. Rows are named by their content, so
+    repeated rows are decided alike."""
+    keyed = _keyed(docs)
+    bad = hits(keyed, items, n, ("key",)).where("contaminated").select(F.col("key").alias("bad")).distinct()
+    return keyed.join(bad, F.col("key").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """The documents without the words that hits cover; what stands between two words goes with the later word."""
     grams = windows(items, n)
-    key = drop_row_key(docs)
-    keyed = docs.withColumn(key, F.struct(F.col("doc_id"), F.xxhash64("text")))
-    w = keyed.select(key, words_of(F.col("text")).alias("_w")).dropDuplicates([key])
+    keyed = _keyed(docs)
+    w = keyed.select("key", words_of(F.col("text")).alias("w")).dropDuplicates(["key"])
     spots = None
     for r in grams.select("len").distinct().collect():
-        part = w.select(key, F.explode(_places(F.col("_w"), r["len"])).alias("p")).select(key, "p.*")
+        part = w.select("key", F.explode(_places(F.col("w"), r["len"])).alias("p")).select("key", "p.*")
         spots = part if spots is None else spots.unionByName(part)
     if spots is None:
         return docs
     hit = spots.join(grams.select("gram", "len").distinct(), ["gram", "len"], "left_semi")
-    hit = hit.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("i"), F.col("i") + F.col("len") - 1)))).alias("_hit")).withColumnRenamed(key, "_bad")
-    out = keyed.join(hit, F.col(key).eqNullSafe(F.col("_bad")), "left")
+    hit = hit.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("i"), F.col("i") + F.col("len") - 1)))).alias("hit")).withColumnRenamed("key", "bad")
+    out = keyed.join(hit, F.col("key").eqNullSafe(F.col("bad")), "left")
     gaps, words = F.split("text", ANY_WORD, -1), F.regexp_extract_all("text", F.lit(ANY_WORD), F.lit(0))
-    kept = F.transform(words, lambda x, i: F.when(F.array_contains("_hit", i), F.lit("")).otherwise(F.concat(F.get(gaps, i), x)))
-    text = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), F.element_at(gaps, -1)))
-    return out.withColumn("text", text).select(*docs.columns)
+    kept = F.transform(words, lambda x, i: F.when(F.array_contains("hit", i), F.lit("")).otherwise(F.concat(F.get(gaps, i), x)))
+    text = F.when(F.col("hit").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), F.element_at(gaps, -1)))
+    return out.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -118,6 +139,7 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no window of a benchmark item occurs; null and empty texts stay."""
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from dataclasses import dataclass
 
@@ -10,16 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts_of
+from .common import free_names, materialize, slices, table, texts_of
 
 N = 4
-#: Slots of the filters. A slot holds one bit for each language, so their size is fixed: 8 bytes a slot.
-SLOTS_LOG2 = 20
 PROBES = 2
-MAX_LANGS = 64
 #: A language's filter takes an n-gram if its share among the language's n-grams is at least this part of its
-#: largest share in any language. The rule is in shares, so it is the same at every size.
+#: largest share in any language, and at least LEAST. The rules are in shares, so they are the same at every size, and
+#: no filter takes more than 1 / LEAST n-grams.
 SHARE = 0.2
+LEAST = 2.0**-20
+#: Slots for each n-gram of the largest filter, at least: 2 ** 23 slots at most, with a word of 8 bytes for each 64
+#: languages. With two probes at most one n-gram in twenty is wrongly found in a filter.
+ROOM = 8
+WORD = 64
 UND = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -78,26 +82,29 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, np.bincount(owner[inside], minlength=len(texts)), has
 
 
-def slots(code: np.ndarray) -> list[np.ndarray]:
-    return [(code >> np.uint64(SLOTS_LOG2 * i)).astype(np.int64) & ((1 << SLOTS_LOG2) - 1) for i in range(PROBES)]
+def slots(code: np.ndarray, log2: int) -> list[np.ndarray]:
+    return [(code >> np.uint64(32 * i)).astype(np.int64) & ((1 << log2) - 1) for i in range(PROBES)]
 
 
 @dataclass
 class Filters:
     langs: list[str]
-    masks: np.ndarray  # uint64 by slot
+    log2: int  # of the number of slots
+    masks: np.ndarray  # uint64 by slot and word of 64 languages
     false_rate: np.ndarray  # by language
 
     def counts(self, code: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         """For each text and language, how many n-grams the language's filter has."""
-        found = None
-        for s in slots(code):
-            found = self.masks[s] if found is None else found & self.masks[s]
+        at = slots(code, self.log2)
         ends = np.concatenate([[0], np.cumsum(per_text)])
         out = np.zeros((len(per_text), len(self.langs)), np.int64)
-        for i in range(len(self.langs)):
-            hit = np.concatenate([[0], np.cumsum((found >> np.uint64(i)) & np.uint64(1), dtype=np.int64)]) if len(code) else np.zeros(1, np.int64)
-            out[:, i] = hit[ends[1:]] - hit[ends[:-1]]
+        for word in range(self.masks.shape[1]):
+            found = self.masks[at[0], word]
+            for s in at[1:]:
+                found &= self.masks[s, word]
+            for i in range(WORD * word, min(WORD * word + WORD, len(self.langs))):
+                hit = np.concatenate([[0], np.cumsum((found >> np.uint64(i % WORD)) & np.uint64(1), dtype=np.int64)]) if len(code) else np.zeros(1, np.int64)
+                out[:, i] = hit[ends[1:]] - hit[ends[:-1]]
         return out
 
     def decide(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -120,9 +127,10 @@ def held_out(doc_id="doc_id", classes: int = 4, left_out: int = 2):
 def train(docs: DataFrame) -> Filters:
     """Filters from the text and lang of all rows with a non-null lang and text.
 
-    Tasks count n-grams by language; Spark sums the counts over all rows. A language's slots are the n-grams whose
-    share in it is near their largest share in any language. Only the slots come to the driver: 2**SLOTS_LOG2 rows of
-    16 bytes at most, whatever the corpus.
+    Tasks count n-grams by language; Spark sums the counts over all rows. A language's filter holds the n-grams whose
+    share in it is near their largest share in any language (SHARE, LEAST). Only the slots come to the driver: they
+    follow from the largest filter, 2 ** 23 rows at most, whatever the corpus; repeated rows count again, and other
+    columns, whatever their names, are not read.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
 
@@ -137,38 +145,36 @@ def train(docs: DataFrame) -> Filters:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([lang] * len(key)), pa.array(np.bincount(at, n).astype(np.int64))], names=["gram", "lang", "n"])
 
         held, waiting = defaultdict(list), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                langs, texts = b["lang"].to_pylist(), texts_of(b)
-                for lang in dict.fromkeys(langs):
-                    code, _, _ = grams([t for t, x in zip(texts, langs, strict=True) if x == lang])
-                    key, n = np.unique(code, return_counts=True)
-                    held[lang].append((key, n))
-                    waiting += len(key)
-                if waiting > 4_000_000:
-                    yield from out(held)
-                    held, waiting = defaultdict(list), 0
+        for b in slices(batches, 2 << 20):
+            langs, texts = b["lang"].to_pylist(), texts_of(b)
+            for lang in dict.fromkeys(langs):
+                code, _, _ = grams([t for t, x in zip(texts, langs, strict=True) if x == lang])
+                key, n = np.unique(code, return_counts=True)
+                held[lang].append((key, n))
+                waiting += len(key)
+            if waiting > 2_000_000:
+                yield from out(held)
+                held, waiting = defaultdict(list), 0
         yield from out(held)
 
     counts = materialize(rows.mapInArrow(count, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()}
-    if len(totals) > MAX_LANGS:
-        raise ValueError(f"a slot holds {MAX_LANGS} languages at most")
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row for each language
     langs = sorted(totals, key=lambda x: (-totals[x], x))  # so that ties go to the most frequent
     if not langs:
-        return Filters([], np.zeros(1 << SLOTS_LOG2, np.uint64), np.zeros(0))
+        return Filters([], 0, np.zeros((1, 1), np.uint64), np.zeros(0))
     known = counts.sparkSession.createDataFrame([(x, i, float(totals[x])) for i, x in enumerate(langs)], "lang string, bit int, total double")
-    shares = counts.join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("total"))
+    shares = counts.join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= LEAST)
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
-    taken = shares.join(most, "gram").where(F.col("share") >= SHARE * F.col("most"))
-    masks = taken.groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-    spread = F.explode(F.array(*[F.shiftrightunsigned("gram", SLOTS_LOG2 * i).bitwiseAND(F.lit((1 << SLOTS_LOG2) - 1)) for i in range(PROBES)]))
-    by_slot = masks.select(spread.alias("slot"), "mask").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(1 << SLOTS_LOG2, np.uint64)
-    out[by_slot["slot"].to_numpy()] = by_slot["mask"].to_numpy().view(np.uint64)
-    fill = np.array([float(((out >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(langs))])
-    return Filters(langs, out, fill**PROBES)
+    taken = materialize(shares.join(most, "gram").where(F.col("share") >= SHARE * F.col("most")).select("gram", "bit"), "taken")
+    largest = taken.groupBy("bit").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    log2 = max(10, math.ceil(math.log2(ROOM * largest)))
+    spread = F.explode(F.array(*[F.shiftrightunsigned("gram", 32 * i).bitwiseAND(F.lit((1 << log2) - 1)) for i in range(PROBES)]))
+    words = taken.select(spread.alias("slot"), F.floor(F.col("bit") / WORD).cast("int").alias("word"), F.expr(f"shiftleft(1L, bit % {WORD})").alias("mask"))
+    by_slot = words.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros((1 << log2, -(-len(langs) // WORD)), np.uint64)
+    out[by_slot["slot"].to_numpy(), by_slot["word"].to_numpy()] = by_slot["mask"].to_numpy().view(np.uint64)
+    fill = np.array([float(((out[:, i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean()) for i in range(len(langs))])
+    return Filters(langs, log2, out, fill**PROBES)
 
 
 def predict(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id",), cols: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -176,17 +182,16 @@ def predict(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id"
 
     The language with the largest share of the text's n-grams, after taking off the filter's false positives; the
     score is that share. Null texts and texts without a letter are `und` with score 0; so is everything where nothing
-    was learned. Ties, and texts too short for an n-gram, go to the language with the most n-grams.
+    was learned. Ties, and texts too short for an n-gram, go to the language with the most n-grams. Repeated rows
+    repeat, very long texts count whole, and an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     fields = docs.select(*keep).schema.fields
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                langs, scores = shared.value.decide(texts_of(b))
-                yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *cols])
+        for b in slices(batches, 2 << 20):
+            langs, scores = shared.value.decide(texts_of(b))
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *cols])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{cols[0]}` string, `{cols[1]}` double"
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
@@ -199,8 +204,9 @@ def op9_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that have a language; those that are `und`, without a letter, go."""
+    """Keeps the documents that have a language, with their columns as they are; those that are `und`, as they have no
+    letter, go. Nothing learned: all go, as all are `und`."""
     filters = train(docs.where(~held_out()))
-    pred = [c + "_" * 8 for c in ("lang_pred", "score")]
-    out = predict(docs.select(*docs.columns), filters, tuple(docs.columns), tuple(pred))
+    pred = free_names(docs, "lang_pred", "score")
+    out = predict(docs, filters, tuple(docs.columns), tuple(pred))
     return out.where(F.col(pred[0]) != UND).select(*docs.columns)

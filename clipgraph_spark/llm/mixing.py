@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import free_names, materialize, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
-BUCKETS = 1024
+#: Rank buckets of a source: about one for each 1,024 rows of the table, within these bounds.
+BUCKETS = (1 << 10, 1 << 20)
+OUT = ("size", "source_size", "target", "times", "taken")
 SOURCE_COLS = ["source", "source_size", "target"]
 
 
@@ -40,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
     return per.withColumn("target", F.least(F.col("stop"), F.coalesce(found, F.lit(float("inf"))) * F.col("w"))).select(*SOURCE_COLS)
 
 
-def _ranked(sized: DataFrame, targets: DataFrame, weight: str | None) -> DataFrame:
+def _ranked(sized: DataFrame, targets: DataFrame, weight: str | None, buckets: int) -> DataFrame:
     """Adds whole (certain copies), rest (words still to take in the source) and q, the Pareto rank."""
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     part = F.col("copies") - F.col("whole")
@@ -49,16 +51,16 @@ def _ranked(sized: DataFrame, targets: DataFrame, weight: str | None) -> DataFra
     out = sized.join(targets.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     out = out.withColumn("copies", copies).withColumn("whole", F.floor("copies").cast("long"))
     out = out.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("q", q)
-    return out.withColumn("bucket", F.least(F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS), F.lit(BUCKETS)).cast("int")).withColumn("bucket", F.coalesce("bucket", F.lit(BUCKETS)))
+    return out.withColumn("bucket", F.coalesce(F.least(F.floor(F.col("q") / (1 + F.col("q")) * buckets), F.lit(buckets)).cast("int"), F.lit(buckets)))
 
 
-def cuts(ranked: DataFrame) -> DataFrame:
+def cuts(ranked: DataFrame, buckets: int) -> DataFrame:
     """For each source, the last row in Pareto order that is taken: (source, cut_bucket, cut_q, cut_id).
 
     Sizes are summed by source and rank bucket first; only the bucket in which the sum reaches the rest is sorted. The
     row that crosses is taken if that brings the sum nearer.
     """
-    real = ranked.where(F.col("bucket") < BUCKETS)
+    real = ranked.where(F.col("bucket") < buckets)
     w = Window.partitionBy("source").orderBy("bucket")
     sums = real.groupBy("source", "bucket", "rest").agg(F.sum("size").alias("s")).withColumn("upto", F.sum("s").over(w))
     edge = sums.where((F.col("upto") - F.col("s") < F.col("rest")) & (F.col("upto") >= F.col("rest"))).select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), (F.col("upto") - F.col("s")).alias("base"))
@@ -69,7 +71,7 @@ def cuts(ranked: DataFrame) -> DataFrame:
     cut = taken.groupBy("source").agg(F.max(F.struct("q", "doc_id")).alias("cut"))
     out = edge.select(F.col("_s").alias("source"), "_b").join(cut.select(F.col("source").alias("_t"), "cut"), F.col("source").eqNullSafe(F.col("_t")), "left").drop("_t")
     out = out.select("source", F.col("_b").alias("cut_bucket"), "cut")
-    whole = last.where("everything").select("source", F.lit(BUCKETS).alias("cut_bucket"), F.lit(None).cast(cut.schema["cut"].dataType).alias("cut"))
+    whole = last.where("everything").select("source", F.lit(buckets).alias("cut_bucket"), F.lit(None).cast(cut.schema["cut"].dataType).alias("cut"))
     return out.unionByName(whole)
 
 
@@ -77,27 +79,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     """docs with size, source_size, target, times (how often the mix takes the row) and taken (words).
 
     Each row of a source has target/source_size expected copies. The whole part is certain; for the rest, rows are
-    ranked by random odds over inclusion odds (times `weight`, a positive column, where given) and taken in that order
-    until the source's words are reached: a sample of fixed size in words. Null sources are one source, null or empty
-    texts have size 0 and are never needed, repeated rows share a rank and are decided alike; columns with these
-    names are replaced. An empty table gives an empty result.
+    ranked by random odds over inclusion odds (times `weight`, a positive column, where given: without it all rows of a
+    source have the same odds) and taken in that order until the source's words are reached: a sample of fixed size in
+    words. Null sources are one source, null or empty texts have size 0 and are never needed, repeated rows share a
+    rank and are decided alike; columns of docs with the names in OUT are replaced, all others stay, whatever their
+    names. An empty table gives an empty result.
     """
-    return _apply(with_rank_key(docs, seed), weights, share, weight)
+    kept = [c for c in docs.columns if c.lower() not in OUT]
+    whole = F.struct(*kept) if kept else F.lit(None)
+    packed = docs.select(whole.alias("row"), "doc_id", "source", "text", *([F.col(weight).alias("given")] if weight else []))
+    return _apply(with_rank_key(packed, seed), weights, share, "given" if weight else None).select("row.*", *OUT)
 
 
 def _apply(sized: DataFrame, weights, share, weight) -> DataFrame:
     narrow = materialize(sized.select("doc_id", "source", "size", "u", *([weight] if weight else [])), "mix")
+    buckets = min(max(BUCKETS[0], narrow.count() >> 10), BUCKETS[1])
     targets = materialize(source_targets(narrow, weights, share), "mix-targets")
-    found = materialize(cuts(_ranked(narrow, targets, weight)), "mix-cuts")
-    return decide(_ranked(sized, targets, weight), found)
+    found = materialize(cuts(_ranked(narrow, targets, weight, buckets), buckets), "mix-cuts")
+    return decide(_ranked(sized, targets, weight, buckets), found, buckets)
 
 
-def decide(ranked: DataFrame, found: DataFrame) -> DataFrame:
+def decide(ranked: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     out = ranked.join(found.select(F.col("source").alias("_s"), "cut_bucket", "cut"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     before = (F.col("q") < F.col("cut.q")) | ((F.col("q") == F.col("cut.q")) & (F.coalesce(F.col("doc_id") <= F.col("cut.doc_id"), F.col("doc_id").isNull())))
     chosen = (F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & F.coalesce(before, F.lit(False)))
-    times = F.col("whole") + F.coalesce(chosen & (F.col("bucket") < BUCKETS), F.lit(False)).cast("long")
-    return out.withColumn("times", times).withColumn("taken", F.col("times") * F.col("size")).drop("cut_bucket", "cut", "bucket", "q", "rest", "whole", "copies", "u")
+    times = F.col("whole") + F.coalesce(chosen & (F.col("bucket") < buckets), F.lit(False)).cast("long")
+    return out.withColumn("times", times).withColumn("taken", F.col("times") * F.col("size"))
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -128,6 +135,8 @@ FROM c
 
 
 def stage_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: each row as often as it is taken."""
-    mixed = mix(docs)
-    return mixed.where(F.col("times") > 0).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    """The mix as documents: each row as often as it is taken, with the columns of docs, whatever their names."""
+    (row,) = free_names(docs, "row")
+    mixed = mix(docs.select(F.struct(*docs.columns).alias(row), "doc_id", "source", "text")).where(F.col("times") > 0)
+    copies = F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))
+    return mixed.select(row, copies.alias("copy")).select(f"{row}.*")

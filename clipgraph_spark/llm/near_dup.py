@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near_text
-from .common import drop_row_key, materialize, table, texts_of
+from .common import free_names, materialize, table, texts_of
 from .graph import components
 
 BYTES = 8
@@ -141,7 +141,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     least = placed.groupBy("component").agg(F.min(row).alias("r")).select("r.*").select(*key)
     copies = placed.groupBy(*key).agg((F.count("*") > 1).alias("copies"))
     kept = materialize(least.join(copies, list(key)), "kept")
-    names = [drop_row_key(docs) + c for c in key]
+    names = free_names(docs, *key)
     keyed = docs.withColumns(dict(zip(names, hashes.values(), strict=True)))
     of = lambda k: keyed.join(k.select(F.col(key[0]).alias(names[0]), F.col(key[1]).alias(names[1])), names, "left_semi")
     return of(kept.where(~F.col("copies"))).unionByName(of(kept.where("copies")).dropDuplicates(names)).select(*docs.columns)
@@ -158,4 +158,6 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates (keep_one); rows of no class, null and empty texts among them, stay by
+    the same rule: null and empty texts have the same (empty) set of shingles and are one class."""
     return keep_one(docs)

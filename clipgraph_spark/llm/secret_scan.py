@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_names, table
 
 # Fixed values of the contract: kind, pattern, the group whose length counts, and its least length.
 BASE = (
@@ -34,34 +35,53 @@ CLASSES = (
     EntropyClass("entropy_hex", "[0-9a-fA-F]", _DIGITS + "abcdef" + "ABCDEF", 20, 2.9),
     EntropyClass("entropy_base64", "[A-Za-z0-9+/_=-]", _LOWER + _UPPER + _DIGITS + "+/_=-", 20, 3.6),
 )
-#: Candidates that match any of these are no secrets: words, numbers, UUIDs, dates, paths of words, placeholders.
+#: Candidates that match any of these are no secrets: words, numbers, UUIDs, dates, paths of words. No part of them
+#: repeats a group or can give back what it took, so a match needs no stack in proportion to the text.
 ALLOW = (
-    r"^[A-Za-z_-]+$",
-    r"^[0-9_-]+$",
+    r"^[A-Za-z_-]++$",
+    r"^[0-9_-]++$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z]+([/_-][A-Za-z]*)+[0-9]{0,4}$",
-    r"(?i)(example|sample|dummy|placeholder|changeme|x{6,}|0{8,}|1234567890|abcdefghij)",
+    r"^(?=[A-Za-z]++[/_-])[A-Za-z/_-]++[0-9]{0,4}$",
 )
+#: Placeholders, by their length: no window that touches one counts.
+MASKED = ((5, "dummy"), (6, "sample|x{6}"), (7, "example"), (8, "changeme|0{8}"), (10, "1234567890|abcdefghij"), (11, "placeholder"))
+#: 2 ** SCANS matches of one kind in a text are more than a text can have.
+SCANS = 31
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def running(values: Column, add) -> Column:
+    """The array of add() over each prefix of an array, by doubling the reach: about log2(n) passes over n values."""
+    for k in range(SCANS):
+        values = _let(values, partial(_reach, add, 1 << k))
+    return values
+
+
+def _reach(add, step: int, a: Column) -> Column:
+    rest = F.size(a) - step
+    return F.when(rest > 0, F.concat(F.slice(a, 1, step), F.zip_with(F.slice(a, F.lit(1), rest), F.slice(a, F.lit(step + 1), rest), add))).otherwise(a)
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
     """Array of (s, e, n, v): start and end of each match in code points, the group's length, and the match.
 
-    The pieces that split() leaves between matches give the places.
+    The pieces that split() leaves between matches give the places, by running sums.
     """
-    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    empty = F.array().cast("array<struct<s:int,e:int,n:int,v:string>>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m)) if group else F.transform(found, lambda m: F.length(m))
-    parts = F.transform(found, lambda m, i: F.struct(F.get(pieces, i).alias("gap"), m.alias("v"), F.get(sizes, i).alias("n")))
-    empty = F.array().cast("array<struct<s:int,e:int,n:int,v:string>>")
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        stop = start + F.length(x["v"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), stop.alias("e"), x["n"].alias("n"), x["v"].alias("v")))).alias("out"))
+    def place(x):
+        ends = running(F.zip_with(x["gaps"], x["found"], lambda g, m: g + F.length(m)), lambda a, b: a + b)
+        return _let(ends, lambda e: F.transform(x["found"], lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("s"), F.get(e, i).alias("e"), F.get(x["sizes"], i).alias("n"), m.alias("v"))))
 
-    all_ = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), all_).otherwise(empty)
+    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    parts = _let(found, lambda f: F.struct(F.slice(gaps, F.lit(1), F.size(f)).alias("gaps"), f.alias("found"), sizes.alias("sizes")))
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(parts, place)).otherwise(empty)
 
 
 def _spans(matches: Column, kind: str, order: int, least: int) -> Column:
@@ -98,8 +118,14 @@ def dense_part(value: Column, c: EntropyClass) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
-def _entropy_spans(text: Column, c: EntropyClass, order: int) -> Column:
-    found = F.filter(_matches(text, f"{c.regex}{{{c.window},}}", 0), lambda m: ~_allowed(m["v"]))
+def _masked(text: Column) -> Column:
+    for n, words in MASKED:
+        text = F.regexp_replace(text, f"(?i)(?:{words})", "\0" * n)
+    return text
+
+
+def _entropy_spans(masked: Column, c: EntropyClass, order: int) -> Column:
+    found = F.filter(_matches(masked, f"{c.regex}{{{c.window},}}", 0), lambda m: ~_allowed(m["v"]))
     parts = F.transform(found, lambda m: F.struct(m["s"].alias("s"), dense_part(m["v"], c).alias("d")))
     good = F.filter(parts, lambda p: p["d"]["first"] >= 0)
     return F.transform(good, lambda p: F.struct((p["s"] + p["d"]["first"]).alias("s"), F.lit(order).alias("o"), (p["s"] + p["d"]["last"]).alias("e"), F.lit(c.kind).alias("kind")))
@@ -112,6 +138,19 @@ def _allowed(value: Column) -> Column:
     return out
 
 
+def _outside(more: Column, base: Column) -> Column:
+    """The spans of `more` that lie in no span of `base`: in order of their starts, the farthest base end so far tells."""
+    row = lambda kind: lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e"), x["o"].alias("o"), x["kind"].alias("kind"))
+    both = F.array_sort(F.concat(F.transform(base, row(0)), F.transform(more, row(1))))
+
+    def keep(x):
+        reach = running(F.transform(x, lambda y: F.when(y["k"] == 0, y["e"]).otherwise(F.lit(-1))), lambda a, b: F.greatest(a, b))
+        return _let(reach, lambda r: F.filter(x, lambda y, i: (y["k"] == 1) & (F.get(r, i) < y["e"])))
+
+    left = F.transform(_let(both, keep), lambda y: F.struct(y["s"].alias("s"), y["o"].alias("o"), y["e"].alias("e"), y["kind"].alias("kind")))
+    return F.when((F.size(more) == 0) | (F.size(base) == 0), more).otherwise(left)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
@@ -120,22 +159,24 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_assign, n_access, n_hex, base_sha256, spans and n_entropy of every row.
 
     The base patterns match from the left without overlap, each kind for itself. Entropy spans are added where they do
-    not lie within a base span; allow-listed candidates give none. Null and empty texts have no spans; repeated
-    rows repeat; whole texts are scanned, whatever their length.
+    not lie within a base span; allow-listed candidates give none, and windows that touch a placeholder do not count.
+    Null and empty texts have no spans; repeated rows repeat; an empty table gives an empty result; other columns than
+    `keep` and text are not read, and no name in `keep` clashes with those used inside. Whole texts are scanned,
+    whatever their length; the work grows with n log n of a text's matches.
     """
-    text = F.coalesce("text", F.lit(""))
-    d = docs.select(*keep, text.alias("_text"))
-    base = {k: _spans(_matches(F.col("_text"), p, g), k, i, least) for i, (k, p, g, least) in enumerate(BASE)}
-    d = d.select(*keep, "_text", *[c.alias(f"_{k}") for k, c in base.items()])
-    d = d.withColumn("_base", F.concat(*[F.col(f"_{k}") for k in base]))
-    more = F.concat(*[_entropy_spans(F.col("_text"), c, len(BASE) + i) for i, c in enumerate(CLASSES)])
-    # A text without a digit in a run of the least window has no candidate that the allow list would leave.
-    could = F.regexp_like("_text", F.lit(f"[A-Za-z0-9+/_=-]{{{min(c.window for c in CLASSES)},}}"))
-    d = d.withColumn("_more", F.when(could, more).otherwise(F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")))
-    d = d.withColumn("_more", F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["s"] <= m["s"]) & (m["e"] <= b["e"]))))
+    t, b, m, *own = free_names(docs.select(*keep), "_text", "_base", "_more", *[f"_{k}" for k, *_ in BASE])
+    d = docs.select(*keep, F.coalesce("text", F.lit("")).alias(t))
+    base = {n: _spans(_matches(F.col(t), p, g), k, i, least) for i, (n, (k, p, g, least)) in enumerate(zip(own, BASE, strict=True))}
+    d = d.select(*keep, t, *[c.alias(n) for n, c in base.items()])
+    d = d.withColumn(b, F.concat(*own))
+    more = _let(_masked(F.col(t)), lambda x: F.concat(*[_entropy_spans(x, c, len(BASE) + i) for i, c in enumerate(CLASSES)]))
+    # without a run of the least window's characters a text has no candidate
+    could = F.regexp_like(t, F.lit(f"[A-Za-z0-9+/_=-]{{{min(c.window for c in CLASSES)},}}"))
+    d = d.withColumn(m, F.when(could, more).otherwise(F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")))
+    d = d.withColumn(m, _outside(F.col(m), F.col(b)))
     return d.select(
-        *keep, *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in base],
-        F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.concat("_base", "_more")).alias("spans"), F.size("_more").cast("long").alias("n_entropy"),
+        *keep, *[F.size(n).cast("long").alias(f"n_{k}") for n, (k, *_) in zip(own, BASE, strict=True)],
+        F.sha2(_joined(F.col(b)), 256).alias("base_sha256"), _joined(F.concat(b, m)).alias("spans"), F.size(m).cast("long").alias("n_entropy"),
     )
 
 

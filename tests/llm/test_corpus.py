@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import zlib
 from collections import Counter
 
@@ -38,16 +39,48 @@ def test_mix_edge_cases(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+CLASHES = ("_s", "u", "q", "row", "size", "taken", "_id", "_bad", "_row", "_w", "_k", "_k1", "copy", "key", "lang_pred", "score", "node", "Target")
+
+
+def test_clashing_names(spark):
+    """Every stage passes on columns of any name, as they are."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(60).select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHES)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).count() == docs.count()
+
+
+def test_mix_weights(spark):
+    """A row of three times the odds is taken more often, and a source's words stay near its target."""
+    rows = [(i, "w " * 10, "x", 9.0 if i % 2 else 1.0) for i in range(4000)] + [(10000 + i, "w " * 10, "y", 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _s double")
+    got = mixing.mix(df, weights=(1.0, 6.0), share=0.3, weight="_s").where("source = 'x'").collect()
+    words = sum(r["taken"] for r in got)
+    assert abs(words - got[0]["target"]) <= 10
+    taken = Counter(r["_s"] for r in got if r["taken"])
+    assert taken[9.0] > 4 * taken[1.0]
+
+
 def test_chat_edge_cases(spark):
     rows = [(1, 0, "assistant", "<|x|> <\\|y|>"), (1, 1, None, None), (2, None, "user", "a"), (2, 1, "assistant", "<|im_end|>\n<|im_start|>user\n"), (3, 0, "user\n<|r|>", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = chat.format_chats(df)
     back = {r["conv_id"]: [tuple(x) for x in r["t"]] for r in got.select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
-    assert back == {1: [("assistant", rows[0][3]), ("", "")], 2: [("user", "a"), ("assistant", rows[3][3])], 3: [("user\n<|r|>", "x")]} or back[2][::-1] == [("user", "a"), ("assistant", rows[3][3])]
+    assert back == {1: [("assistant", rows[0][3]), ("", "")], 2: [("assistant", rows[3][3]), ("user", "a")], 3: [("user\n<|r|>", "x")]}
+    for bad in ({"start": "[INST]"}, {"end": "<|im_start|>"}, {"start": "<|a<|b"}, {"end": "<|nl|>"}):
+        with pytest.raises(ValueError):
+            chat.ChatTemplate(**bad)
+    own = chat.ChatTemplate("<|turn:", "<|/turn|>")
+    assert [tuple(x) for x in chat.format_chats(df, own).select(chat.read_turns(F.col("formatted"), own).alias("t")).where("size(t) = 1").first()["t"]] == [("user\n<|r|>", "x")]
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
 
 
-def test_decontamination_edge_cases(spark):
+def test_decontamination_edge_cases(spark, monkeypatch):
     long_ = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, f"X {long_.upper()}!", "q"), (2, None, "q"), (3, "short one", "q"), (3, "short one", "q"), (4, "w1 w2 w3", "q")], "doc_id long, text string, _k string")
     items = spark.createDataFrame([(7, long_), (8, "One"), (9, None), (10, "...")], "item_id long, text string")
@@ -55,6 +88,10 @@ def test_decontamination_edge_cases(spark):
     assert got == [(1, 31, 30, 1), (2, 0, 0, 0), (3, 2, 1, 1), (3, 2, 1, 1), (4, 3, 0, 0)]
     assert sorted(r["doc_id"] for r in decontam.clean_documents(docs, items).collect()) == [2, 4]
     assert {r["doc_id"]: r["text"] for r in decontam.remove_spans(docs, items).collect()}[1] == "X!"
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+    for heads in (decontam.BROADCAST_HEADS, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_HEADS", heads)
+        assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontam.hits(docs, items).collect()) == got
     assert decontam.hits(docs.limit(0), items).count() == 0 and decontam.hits(docs, items.limit(0)).where("contaminated").count() == 0
 
 
@@ -68,6 +105,47 @@ def test_language_accuracy(spark):
     assert langid.predict(odd, langid.train(docs.limit(0))).where("lang_pred != 'und'").count() == 0
 
 
+def plain_language(train, texts):
+    """The rule with plain sets in place of filters."""
+    counts = {}
+    for t, lang in train:
+        for g in plain_grams(t):
+            counts.setdefault(lang, Counter())[g] += 1
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    most = {}
+    for x, c in counts.items():
+        for g, n in c.items():
+            most[g] = max(most.get(g, 0), n / total[x])
+    sets = {x: {g for g, n in c.items() if n / total[x] >= 0.2 * most[g]} for x, c in counts.items()}
+    order = sorted(total, key=lambda x: (-total[x], x))
+    return [max(order, key=lambda x: (sum(g in sets[x] for g in plain_grams(t)), -order.index(x))) for t in texts]
+
+
+def plain_grams(text):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    return [f" {w} "[i : i + 4] for w in words for i in range(len(w) - 1)]
+
+
+def test_language_filters_equal_sets(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("text rlike '[a-z]{4}' AND lang IS NOT NULL").limit(160)
+    rows = [(r["text"], r["lang"]) for r in docs.orderBy("doc_id").collect()]
+    filters = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    got = [r["lang_pred"] for r in langid.predict(spark.createDataFrame(list(enumerate(t for t, _ in rows)), "doc_id long, text string"), filters).orderBy("doc_id").collect()]
+    assert sum(a != b for a, b in zip(got, plain_language(rows, [t for t, _ in rows]), strict=True)) <= 1
+    assert (filters.false_rate < 0.06).all()
+
+
+def test_many_languages(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    rows = [(" ".join(word() for _ in range(40)), f"l{k:03}", 5) for k in range(130)]
+    df = spark.createDataFrame(rows, "text string, lang string, gram int")
+    filters = langid.train(df)
+    assert len(filters.langs) == 130 and filters.masks.shape[1] == 3
+    got = langid.predict(df, filters, ("lang", "gram")).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) == 130
+
+
 def test_scores(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/documents.parquet").limit(120).collect()] + [(900, None), (901, ""), (902, "The the")]
     got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table, texts_of
+from .common import materialize, shuffle_partitions, slices, table
 
 END_ID = 2
 RANK_BITS = 512
@@ -65,18 +65,34 @@ class DacArray:
             at += a + b + 4 * c
         return cls(levels)
 
+    def rank(self, level: int, i: int) -> int:
+        """How many ids before place i of a level go on in the next."""
+        chunks, bits, ranks = self.levels[level]
+        if i >= len(chunks):
+            return len(self.levels[level + 1][0]) if level + 1 < len(self.levels) else 0
+        block = i // RANK_BITS
+        first, last = block * RANK_BITS >> 3, i >> 3
+        whole = int.from_bytes(bits[first : last + 1].tobytes(), "little")
+        return int(ranks[block]) + (whole & ((1 << (i - block * RANK_BITS)) - 1)).bit_count()
+
+    def part(self, a: int, b: int) -> np.ndarray:
+        """The ids from place a up to b: of each level just the bytes of these, found by rank."""
+        if not 0 <= a <= b <= len(self):
+            raise IndexError((a, b))
+        out, at, shift = np.zeros(b - a, np.uint32), np.arange(b - a), 0
+        for level, (chunks, bits, _) in enumerate(self.levels):
+            out[at] |= chunks[a:b].astype(np.uint32) << np.uint32(shift)
+            more = np.unpackbits(bits[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a].astype(bool)
+            if not more.any():
+                break
+            a = self.rank(level, a)
+            at, b, shift = at[more], a + int(more.sum()), shift + 8
+        return out
+
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < len(self):
             raise IndexError(i)
-        value = 0
-        for shift, (chunks, bits, ranks) in enumerate(self.levels):
-            value |= int(chunks[i]) << (8 * shift)
-            if not bits[i >> 3] >> (i & 7) & 1:
-                break
-            block = i // RANK_BITS
-            before = np.unpackbits(bits[block * RANK_BITS // 8 : (i >> 3) + 1], bitorder="little")[: i - block * RANK_BITS]
-            i = int(ranks[block]) + int(before.sum())
-        return value
+        return int(self.part(i, i + 1)[0])
 
     def decode(self) -> np.ndarray:
         """All ids at once, from the last level down."""
@@ -91,57 +107,109 @@ class DacArray:
 
 # -- tokens -----------------------------------------------------------------------------------
 
-_TOKENIZERS: dict[str, tuple] = {}
-#: str.split() also splits at these; the tokenizer does not.
-_OTHER_SPACE = re.compile("[\x1c-\x1f]")
-CACHE_WORDS = 400_000
+_TOKENIZERS: dict[str, Words] = {}
+#: Words that a generation of the cache takes; two are kept.
+CACHE_WORDS = 500_000
+#: Words of these characters have one lower case and one normal form, whatever stands beside them.
+SAFE = r"^[\x21-\x26\x28-\x7E\x{C0}-\x{12F}\x{131}-\x{17F}]+$"
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
+    """Copies pool[start : start + size] to out[at :], for all of them at once."""
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(at, size) + inside] = pool[np.repeat(start, size) + inside]
 
-    return public_tokenizers.path("word_bpe_49k.json")
 
+class Words:
+    """Words with their ids, each encoded once by the tokenizer while it is in one of the two latest generations."""
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
+        self.tok = Tokenizer.from_file(path)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and how many each has."""
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = []
+        for w in words:
+            if w not in new:
+                if w in old:
+                    new[w] = old[w]
+                else:
+                    missing.append(w)
+        for a in range(0, len(missing), 50_000):
+            part = missing[a : a + 50_000]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                new[w] = np.array(e.ids, "<u4").tobytes()
+        found = [new[w] for w in words]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ids(), for distinct words. Letters with punctuation after them are two words to the tokenizer, so they
+        are looked up in lower case and apart."""
+        safe = pc.match_substring_regex(words, SAFE)
+        low = pc.if_else(safe, pc.utf8_lower(words), words)
+        core = pc.ascii_rtrim(low, PUNCTUATION)
+        plain = pc.and_(safe, pc.match_substring_regex(core, r"^\p{L}+$"))
+        head = pc.if_else(plain, core, words).dictionary_encode()
+        both = pc.and_(plain, pc.less(pc.binary_length(core), pc.binary_length(low)))
+        tail = pc.replace_substring_regex(low.filter(both), r"^\p{L}+", "").dictionary_encode()
+        pool, size = np.empty(0, np.uint32), np.zeros(len(words), np.int64)
+        parts = []
+        for coded, where in ((head, np.arange(len(words))), (tail, np.flatnonzero(both.to_numpy(zero_copy_only=False)))):
+            ids, n = self.ids(coded.dictionary.to_pylist())
+            at = coded.indices.to_numpy()
+            parts.append((where, len(pool) + (np.cumsum(n) - n)[at], n[at]))
+            pool = np.concatenate([pool, ids])
+            size[where] += n[at]
+        out, begin = np.empty(int(size.sum()), np.uint32), np.cumsum(size) - size
+        for where, start, n in parts:
+            _gather(pool, start, n, out, begin[where])
+            begin[where] += n
+        return out, size
 
 
-def _le(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_texts(texts: list[str], path: str, end_id: int = END_ID) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers, with the end id.
+def encode_texts(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts with an end id after each, and the number of ids of each text.
 
-    The tokenizer drops white space and no token crosses it, so words are encoded once each and kept for a while.
+    The tokenizer drops white space and no token crosses it, so texts are split at ASCII white space, and each distinct
+    word (which may hold other white space) is encoded as it stands.
     """
-    tok, cache = _tokenizer(path)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    odd = {i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)}
-    words = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-    missing = list({w for ws in words for w in ws if w not in cache})
-    for a in range(0, len(missing), 50_000):
-        part = missing[a : a + 50_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[w] = _le(e.ids)
-    end, get = _le([end_id]), cache.__getitem__
-    return [(_le(tok.encode(t, add_special_tokens=False).ids) if i in odd else b"".join(map(get, ws))) + end for i, (t, ws) in enumerate(zip(texts, words, strict=True))]
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Words(path)
+    n = len(texts)
+    words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    coded = pc.list_flatten(words).dictionary_encode()
+    pool, size = _TOKENIZERS[path].of(coded.dictionary)
+    place, owner = coded.indices.to_numpy(), pc.list_parent_indices(words).to_numpy()
+    sizes, start = size[place], (np.cumsum(size) - size)[place]
+    per_text = np.bincount(owner, sizes, n).astype(np.int64) + 1
+    out = np.full(int(per_text.sum()), end_id, np.uint32)
+    _gather(pool, start, sizes, out, np.cumsum(sizes) - sizes + owner)  # one end id for each text before
+    return out, per_text
 
 
 SHARD = "part int, seq int, n_docs int, n_tokens long, doc_ids array<long>, lens binary, payload binary"
 
 
 def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = 2_000_000, part_mb: int = 64) -> DataFrame:
-    """Writes the documents' ids in ascending doc_id order (null first, then by text) to the shared folder.
+    """Writes the documents' ids in ascending doc_id order (null first, then by the text's hash) to the shared folder.
 
-    Spark range-partitions the rows by doc_id; each task writes shards of about shard_tokens ids. A shard is a row of
+    Spark range-partitions the rows by doc_id and hash, so that a doc_id of very many rows takes several tasks; each
+    task writes shards of about shard_tokens ids. A shard is a row of
     a Parquet table: its documents, their lengths, and the code bytes. Spark's commit keeps whole files only, so a
     lost or doubled task does no harm. Null texts are empty, repeated rows stay, other columns are ignored, an empty
     table gives no shard.
@@ -155,37 +223,41 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        ids: list[int | None] = []
-        blobs: list[bytes] = []
-        size = 0
+        doc_ids, lens, blobs = [], [], []
 
         def row():
-            lens = np.array([len(b) // 4 for b in blobs], "<u4")
-            body = DacArray.encode(np.frombuffer(b"".join(blobs), "<u4")).to_bytes()
+            n = np.concatenate(lens).astype("<u4")
+            body = DacArray.encode(np.concatenate(blobs)).to_bytes()
             names = ["part", "seq", "n_docs", "n_tokens", "doc_ids", "lens", "payload"]
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            values = [part, seq, len(ids), int(lens.sum()), list(ids), lens.tobytes(), body]
+            values = [part, seq, len(n), int(n.sum()), pa.concat_arrays(doc_ids).to_pylist(), n.tobytes(), body]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                for i, e in zip(b["doc_id"].to_pylist(), encode_texts(texts_of(b), path, end_id), strict=True):
-                    ids.append(i)
-                    blobs.append(e)
-                    size += len(e) // 4
-                    if size >= shard_tokens:
-                        yield row()
-                        seq, ids, blobs, size = seq + 1, [], [], 0
-        if ids:
+        waiting = 0
+        for b in slices(batches):
+            ids, n = encode_texts(b["text"], path, end_id)
+            ends, done = np.cumsum(n), 0
+            while done < len(n):
+                used = ends[done - 1] if done else 0
+                upto = min(len(n), int(np.searchsorted(ends, used + shard_tokens - waiting)) + 1)  # with the row that fills the shard
+                doc_ids.append(b["doc_id"].slice(done, upto - done))
+                lens.append(n[done:upto])
+                blobs.append(ids[used : ends[upto - 1]])
+                waiting, done = waiting + int(ends[upto - 1] - used), upto
+                if waiting >= shard_tokens:
+                    yield row()
+                    seq, waiting = seq + 1, 0
+                    doc_ids, lens, blobs = [], [], []
+        if doc_ids:
             yield row()
 
-    in_order = d.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    keys = F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")
+    in_order = d.repartitionByRange(parts, *keys[:2]).sortWithinPartitions(*keys).select("doc_id", "text")
     return materialize(in_order.mapInArrow(pack, SHARD), "tokens")
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the written shards."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, each read from its shard by its own place and length."""
     sizes = shards.select("part", "seq", "n_tokens")
     before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per_part = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).withColumn("base", before(Window.orderBy("part"))).select("part", "base")
@@ -198,10 +270,10 @@ def read_token_files(shards: DataFrame) -> DataFrame:
         for whole in batches:
             for k in range(whole.num_rows):
                 doc_ids, lens, payload, base = (whole[c][k].as_py() for c in ("doc_ids", "lens", "payload", "base"))
-                ids = DacArray.from_bytes(payload).decode().astype("<u4").tobytes()
+                ids = DacArray.from_bytes(payload)
                 n = np.frombuffer(lens, "<u4").astype(np.int64)
                 ends = np.cumsum(n)
-                crc = [zlib.crc32(ids[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+                crc = [zlib.crc32(ids.part(e - m, e).astype("<u4").tobytes()) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ends - n + base), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -212,4 +284,5 @@ def op5_token_files(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files of all rows (each row of a repeated document counts), read back as op5's columns."""
     return read_token_files(write_token_files(docs))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from clipgraph_spark.llm.token_files import DacArray, default_tokenizer, read_token_files, write_token_files
 
@@ -16,6 +17,7 @@ def test_codes_round_trip(ids):
     assert a.decode().tolist() == ids
     for i in range(0, len(ids), 37):
         assert a[i] == ids[i]
+        assert a.part(i, min(len(ids), i + 700)).tolist() == ids[i : i + 700]
     with pytest.raises(IndexError):
         a[len(ids)]
 
@@ -24,7 +26,7 @@ def plain(rows):
     from tokenizers import Tokenizer
 
     tok, start, out = Tokenizer.from_file(default_tokenizer()), 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, t in rows:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -35,6 +37,7 @@ def test_files(spark):
     rows = [(i, r["text"]) for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect())]
     rows += [(9, None), (500, ""), (501, "a\x1cb\x85c d é <|endoftext|> it's ΣΣ x"), (501, "z"), (None, "null id"), (502, "word " * 20000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    in_order = df.fillna("", ["text"]).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").collect()
     got = [tuple(r) for r in read_token_files(write_token_files(df, shard_tokens=3000)).collect()]
-    assert sorted(got, key=lambda r: r[1]) == plain(rows)
+    assert sorted(got, key=lambda r: r[1]) == plain([(r["doc_id"], r["text"]) for r in in_order])
     assert read_token_files(write_token_files(df.limit(0))).count() == 0

@@ -86,19 +86,48 @@ def block_table(t: pa.Table) -> pa.Table:
 
 REQUEST = "block int, part int, kind int, keys binary, counts binary"
 REPLY = "block int, part int, kind int, totals binary, first binary, n_total long, n_keys long"
+REQUEST_ARROW = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+REPLY_ARROW = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("totals", pa.binary()), ("first", pa.binary()), ("n_total", pa.int64()), ("n_keys", pa.int64())])
+#: Bytes of a difference of sorted keys that are as good as random, so that they are not worth compressing.
+RAW = 5
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts as their bytes by significance, compressed: mostly small ones take less than a byte each."""
+    return zlib.compress(_planes(x).tobytes(), 1)
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences: the low bytes as they are, the high ones compressed."""
+    p = _planes(np.diff(keys, prepend=np.uint64(0)))
+    return p[:RAW].tobytes() + zlib.compress(p[RAW:].tobytes(), 1)
+
+
+def unpack_keys(data: bytes, n: int) -> np.ndarray:
+    planes = data[: RAW * n] + zlib.decompress(data[RAW * n :])
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
 def request_rows(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[dict]:
     """Rows that carry a block's sorted distinct 64-bit keys to the tasks that own them.
 
-    The part is taken from the key's high bits, so each row holds one run of the sorted keys.
+    The part is taken from the key's high bits, so each row holds one run of the sorted keys. There are no more rows
+    than keys, and so no more than tokens, however many blocks and parts there are.
     """
     if not len(keys):
         return []
     bounds = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64) if parts > 1 else np.empty(0, np.uint64)
     cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
     return [
-        {"block": block, "part": p, "kind": kind, "keys": keys[a:b].astype("<u8").tobytes(), "counts": zlib.compress(counts[a:b].astype("<u4").tobytes(), 1)}
+        {"block": block, "part": p, "kind": kind, "keys": pack_keys(keys[a:b]), "counts": pack_counts(counts[a:b])}
         for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
         if b > a
     ]
@@ -108,15 +137,12 @@ def rows_table(rows: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=schema)
 
 
-REQUEST_ARROW = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-REPLY_ARROW = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("totals", pa.binary()), ("first", pa.binary()), ("n_total", pa.int64()), ("n_keys", pa.int64())])
-
-
 def _answer(group: pa.Table) -> pa.Table:
     rows = group.to_pylist()
-    keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
-    counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), "<u4") for r in rows]).astype(np.int64)
-    sizes = [len(r["keys"]) // 8 for r in rows]
+    each = [unpack_counts(r["counts"]).astype(np.int64) for r in rows]
+    sizes = [len(c) for c in each]
+    keys = np.concatenate([unpack_keys(r["keys"], n) for r, n in zip(rows, sizes, strict=True)])
+    counts = np.concatenate(each)
     blocks = np.repeat(np.array([r["block"] for r in rows], np.int64), sizes)
     order = np.lexsort((blocks, keys))
     ks = keys[order]
@@ -131,7 +157,7 @@ def _answer(group: pa.Table) -> pa.Table:
     for r, n in zip(rows, sizes, strict=True):
         own, lead = totals[at : at + n], first[at : at + n].astype(bool)
         sums = {"n_total": int(own[lead].sum()), "n_keys": int((own[lead] > 0).sum())}
-        out.append({"block": r["block"], "part": r["part"], "kind": r["kind"], "totals": zlib.compress(own.astype("<u8").tobytes(), 1), "first": np.packbits(lead).tobytes()} | sums)
+        out.append({"block": r["block"], "part": r["part"], "kind": r["kind"], "totals": pack_counts(own), "first": np.packbits(lead).tobytes()} | sums)
         at += n
     return rows_table(out, REPLY_ARROW)
 
@@ -148,7 +174,7 @@ def answers(requests: DataFrame) -> DataFrame:
 def reply_arrays(rows: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's replies of one kind, aligned with its sorted keys: totals, and first flags."""
     own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])
-    totals = [np.frombuffer(zlib.decompress(r["totals"]), "<u8") for r in own]
+    totals = [unpack_counts(r["totals"]) for r in own]
     first = [np.unpackbits(np.frombuffer(r["first"], np.uint8), count=len(t)) for r, t in zip(own, totals, strict=True)]
     if not own:
         return np.empty(0, np.uint64), np.empty(0, np.uint8)

@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import REQUEST, REQUEST_ARROW, answers, block_table, materialize, reply_arrays, request_rows, rows_table, shuffle_partitions, table, with_blocks
+from .passages import passage_words
 
 GRAM = 8
+#: Leading bytes of a suffix by which it is dealt to a bucket.
+PREFIX = 16
 STEP = 1 << 19
 HEAD, WHOLE = 0, 1
 _BASE = 0x9E3779B97F4A7C15
@@ -222,7 +225,10 @@ def _bucket(rows: pa.Table, length: int, bucket: int = 0) -> pa.Table:
     new[1:] = (top[1:] != top[:-1]).any(axis=1)
     group = np.cumsum(new) - 1
     n = np.bincount(group)
-    edge = (group == 0) | (group == group[-1])
+    # rows were dealt by leading bytes and the head's hash: only the groups that come first and last in this order can
+    # go on in another bucket
+    keyed = np.lexsort((rows["head"].to_numpy()[order], *words[order, : PREFIX // 8].T[::-1]))
+    edge = (group == group[keyed[0]]) | (group == group[keyed[-1]])
     keep = (n[group] > 1) | edge
     order, group, edge = order[keep], group[keep], edge[keep]
     up, down = _powers(length + half + 1)
@@ -288,14 +294,16 @@ def _edge_spans(length: int):
     return run
 
 
-def repeated_intervals(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
-    """The blocks of the documents, and (block, ord, start, end): what repeated strings of `length` bytes cover."""
-    blocks, parts = with_blocks(docs)
+def repeated_intervals(blocks: DataFrame, parts: int, length: int = 400) -> DataFrame:
+    """(block, ord, start, end) of the rows of with_blocks(): what repeated strings of `length` bytes cover."""
     replies = answers(blocks.groupBy("block").applyInArrow(_requests(length, parts), REQUEST))
     settled = materialize(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_settle(length), SETTLED), "settled")
     suffixes = settled.where(F.col("string").isNotNull())
-    buckets = max(shuffle_partitions(docs.sparkSession), -(-suffixes.count() // 40_000))
-    in_order = suffixes.repartitionByRange(buckets, F.expr("substring(string, lead + 1)"), "string", "block", "ord", "low")
+    buckets = max(shuffle_partitions(blocks.sparkSession), -(-suffixes.count() // 40_000))
+    suffixes = suffixes.withColumn("head", F.expr(f"xxhash64(substring(string, lead + 1, {length // 2}))"))
+    # splitters are sampled by leading bytes, so that what goes to the driver does not hold whole strings; the other
+    # keys share out suffixes that begin alike, even those of one head
+    in_order = suffixes.repartitionByRange(buckets, F.expr(f"substring(string, lead + 1, {PREFIX})"), "head", "block", "ord", "low")
 
     def run(batches):
         from pyspark import TaskContext
@@ -309,17 +317,20 @@ def repeated_intervals(docs: DataFrame, length: int = 400) -> tuple[DataFrame, D
     edge_replies = answers(edge.groupBy("bucket").applyInArrow(_edge_requests(-(-edge.count() // 10_000) or 1), REQUEST))
     across = edge.groupBy("bucket").cogroup(edge_replies.groupBy("block")).applyInArrow(_edge_spans(length), SPANS)
     settled_spans, own = settled.where(F.col("start").isNotNull()), found.where(F.col("hashes").isNull())
-    return blocks, settled_spans.select("block", "ord", "start", "end").unionByName(own.select("block", "ord", "start", "end")).unionByName(across)
+    return settled_spans.select("block", "ord", "start", "end").unionByName(own.select("block", "ord", "start", "end")).unionByName(across)
 
 
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept binary"
 
 
 def _cut(with_bytes: bool):
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         ids, data, offsets = _joined(docs)
-        out = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+        out = {c.split()[0]: [] for c in KEPT.split(", ")}
         ord_, start, end = (spans[c].to_numpy() if spans.num_rows else np.empty(0, np.int64) for c in ("ord", "start", "end"))
+        words = np.zeros(len(ids), np.int64)
+        words[ord_[start < 0]] = end[start < 0]
+        ord_, start, end = ord_[start >= 0], start[start >= 0], end[start >= 0]
         order = np.argsort(ord_, kind="stable")
         ord_, start, end = ord_[order], start[order], end[order]
         cut = np.searchsorted(ord_, np.arange(len(ids) + 1))
@@ -331,24 +342,26 @@ def _cut(with_bytes: bool):
                 kept.append(text[at:a])
                 at = b
             left = b"".join([*kept, text[at:]])
-            for c, v in zip(out, (doc_id, len(text), len(text) - len(left), len(s), hashlib.sha256(left).hexdigest(), left if with_bytes else None), strict=True):
+            for c, v in zip(out, (doc_id, len(text), len(text) - len(left), len(s), hashlib.sha256(left).hexdigest(), int(words[i]), left if with_bytes else None), strict=True):
                 out[c].append(v)
-        return pa.table([pa.array(out["doc_id"], pa.int64()), *[pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")], pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())], names=list(out))
+        return pa.table([pa.array(out["doc_id"], pa.int64()), *[pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")], pa.array(out["kept_sha256"], pa.string()), pa.array(out["n_passage_words"], pa.int64()), pa.array(out["kept"], pa.binary())], names=list(out))
 
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, with_bytes: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words and kept (the remaining bytes) of every row.
 
     A byte goes if any string of `length` bytes that covers it starts anywhere else too, in the same text or another,
     overlaps included. Strings never cross rows. Null and empty texts have no bytes; texts shorter than `length` stay
     whole; repeated rows count as copies; an empty table gives an empty result. Strings are told apart by 64-bit
-    hashes of the whole string.
+    hashes of the whole string. n_passage_words counts words in passages of over 50 words that another row has too,
+    which may be shorter than `length` bytes; it takes no part in what is removed.
     """
     if length < 4 * GRAM or length % 2:
         raise ValueError("length is even and at least 32")
-    blocks, spans = repeated_intervals(docs, length)
+    blocks, parts = with_blocks(docs)
+    spans = repeated_intervals(blocks, parts, length).unionByName(passage_words(blocks, parts))
     return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(with_bytes), KEPT)
 
 

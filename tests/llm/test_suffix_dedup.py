@@ -78,3 +78,21 @@ def test_sort():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(df).count() == 0
+
+
+def test_passages(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    text = lambda n: [word() for _ in range(n)]
+    shared, short, own = text(60), text(50), text(51)
+    rows = [text(5) + shared + text(9), shared, text(70) + short, short + text(80), own + text(3) + own, shared[:51] + ["x"] + shared[9:], text(200), [], ["w"] * 200]
+    rows += [rows[6]] + [text(30) + shared[i : i + 51 + i % 3] + text(20) for i in range(8)]
+    df = spark.createDataFrame([(i, (" " if i % 2 else "\n").join(r), 0) for i, r in enumerate(rows)] + [(99, None, 0)], "doc_id long, text string, block int").repartition(3)
+    got = {r["doc_id"]: r["n_passage_words"] for r in S.remove_repeats(df, 400).collect()}
+    where = {}
+    for i, r in enumerate(rows):
+        for k in range(len(r) - 50):
+            where.setdefault(tuple(r[k : k + 51]), set()).add(i)
+    for i, r in enumerate(rows):
+        assert got[i] == len({j for k in range(len(r) - 50) if len(where[tuple(r[k : k + 51])]) > 1 for j in range(k, k + 51)})
+    assert got[99] == 0 and got[0] == 60 and got[2] == got[4] == 0

@@ -146,20 +146,51 @@ def test_many_languages(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) == 130
 
 
+def plain_score(tokens, counts, n, v, rows):
+    """log10 probability by the recursion, without an automaton: counts by n-gram, rows in training."""
+    total = 0.0
+    seen = lambda h: rows if h == ("<start>",) else counts[h]
+    for i, w in enumerate(tokens):
+        p = (counts[(w,)] + 1) / (n + v + 1)
+        history = ("<start>", *tokens[:i])
+        h = history[-1:]
+        p = (counts[(*h, w)] + lm_score.K_WORD * p) / (seen(h) + lm_score.K_WORD)
+        h = history[-2:]
+        if len(h) == 2 and counts[h] >= lm_score.MIN_PAIR:
+            p = (counts[(*h, w)] + lm_score.K_PAIR * p) / (counts[h] + lm_score.K_PAIR)
+        total += math.log10(p)
+    return total
+
+
 def test_scores(spark):
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/documents.parquet").limit(120).collect()] + [(900, None), (901, ""), (902, "The the")]
-    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/documents.parquet").limit(120).collect()]
+    rows += [(900, None), (901, ""), (902, "The the"), (903, "a b c " * 4000), (903, "a b c " * 4000), (None, "a b d"), (904, "e f")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, block int")
+    got = sorted((tuple(r) for r in lm_score.score(df).collect()), key=repr)
     low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
-    tokens = {i: [w for w in low(t).replace("\n", " ").replace("\t", " ").split(" ") if w] + [None] for i, t in rows}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    c = Counter(w for i, t in tokens.items() if not held[i] for w in t)
-    n, v = sum(c.values()), len(c)
-    for i, t in tokens.items():
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-    assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
-    assert lm_score.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    tokens = [[w for w in low(t).replace("\n", " ").replace("\t", " ").split(" ") if w] + [None] for _, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    train = [t for t, h in zip(tokens, held, strict=True) if not h]
+    c = Counter(g for t in train for i in range(len(t)) for k in (1, 2, 3) if len(g := ("<start>", *t)[max(0, i + 2 - k) : i + 2]) == k)
+    n, v = sum(map(len, train)), len({w for t in train for w in t})
+    want = []
+    for (i, _), t, h in zip(rows, tokens, held, strict=True):
+        base = sum(math.log10((c[(w,)] + 1) / (n + v + 1)) for w in t)
+        want.append((i, h, len(t), sum(c[(w,)] > 0 for w in t), n, base, plain_score(t, c, n, v, len(train))))
+    for g, w in zip(got, sorted(want, key=repr), strict=True):
+        assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-9)
+    assert sum(w[6] for w in want) > sum(w[5] for w in want)
+    assert lm_score.score(df.limit(0)).count() == 0
+
+
+def test_probabilities_sum_to_one():
+    """In every context the words that were seen, the end and one unseen word have probability one together."""
+    train = [["a", "b", "a", "b", "a", "c", None]] * 5 + [["b", "b", "a", None]]
+    c = Counter(g for t in train for i in range(len(t)) for k in (1, 2, 3) if len(g := ("<start>", *t)[max(0, i + 2 - k) : i + 2]) == k)
+    n, v = sum(map(len, train)), 4
+    for context in ([], ["a"], ["a", "b"], ["zz"]):
+        before = plain_score(context, c, n, v, len(train))
+        assert math.isclose(sum(10 ** (plain_score([*context, w], c, n, v, len(train)) - before) for w in ("a", "b", "c", None, "unseen")), 1)
 
 
 def test_pipeline(spark):

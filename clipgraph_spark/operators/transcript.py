@@ -174,33 +174,71 @@ def annotation_batches(segments: DataFrame, size: int = 10, overlap: int = 2) ->
     return x.select("job_id", "block_idx", "batch_idx", F.slice("ids", F.col("at") + 1, F.lit(size)).alias("segment_ids"), before.alias("context_before"), after.alias("context_after"), F.when(F.col("block_idx") < 3, "HIGH").otherwise("NORMAL").alias("priority"))
 
 
-ANNOTATIONS = "annotations array<struct<segment_id:string,topic:string,role:string,emotion:string,importance_score:double,hook_strength:double,ending_strength:double,confidence_score:double>>, relationships array<struct<source_id:string,target_id:string,type:string,confidence:double>>"
-BOUNDARIES = "stories array<struct<segments:array<string>,start_confidence:double,end_confidence:double,boundary_confidence:double>>"
+# The fields of an annotation, and what a missing one becomes.
+TEXT_FIELDS = {
+    "story_id": "", "topic": "", "subtopic": "", "story_role": "body", "intent": "explain", "speaker_intent": "", "emotion": "neutral",
+    "context_dependency": "low", "previous_segment_dependency": "", "next_segment_expectation": "",
+}
+SCORE_FIELDS = {
+    "emotion_intensity": 0.5, "importance_score": 0.5, "hook_strength": 0.0, "ending_strength": 0.0, "curiosity_score": 0.0,
+    "information_density": 0.0, "standalone_score": 0.5, "completeness_score": 0.5, "confidence_score": 0.5,
+}
+LIST_FIELDS = {"key_entities": "string", "keywords": "string", "semantic_embedding": "double"}
+_ITEM = ", ".join(["segment_id:string", *[f"{c}:string" for c in TEXT_FIELDS], *[f"{c}:double" for c in SCORE_FIELDS], "topic_transition:boolean", *[f"{c}:array<{t}>" for c, t in LIST_FIELDS.items()]])
+ANNOTATIONS = f"annotations array<struct<{_ITEM}>>, relationships array<struct<source_id:string,target_id:string,relation_type:string,confidence:double,reason:string>>"
+# The confidences of a story boundary; a missing one is 0.5.
+CONFIDENCES = ("start_confidence", "end_confidence", "boundary_confidence", "structural_confidence")
+BOUNDARIES = "stories array<struct<block_id:int,boundary_segments:array<string>,story_summary:string,suggested_name:string," + ",".join(f"{c}:double" for c in CONFIDENCES) + ",ambiguous_segments:array<string>>>"
 
 
 def parse_annotations(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Annotations and relationships from JSON in `raw`, and the job_ids whose JSON is bad. Scores are clamped."""
+    """Annotations and relationships from JSON in `raw`, and what is bad: (job_id, place, reason).
+
+    Missing fields take their defaults and scores are clamped to 0..1. JSON that cannot be read is bad as a whole
+    (place -1); an annotation without segment_id, or a relationship without its ends and type, is bad by itself.
+    """
     p = raw.withColumn("_j", F.from_json("raw", ANNOTATIONS))
-    bad = p.where(F.col("_j").isNull() | F.col("_j.annotations").isNull()).select("job_id")
-    a = p.select("job_id", F.explode("_j.annotations").alias("a")).select("job_id", "a.*").where(F.col("segment_id").isNotNull())
-    for c in ("importance_score", "hook_strength", "ending_strength", "confidence_score"):
-        a = a.withColumn(c, T.clamp(F.coalesce(c, F.lit(0.5))))
-    r = p.select("job_id", F.explode("_j.relationships").alias("r")).select("job_id", "r.*")
-    return a, r.withColumn("confidence", T.clamp(F.coalesce("confidence", F.lit(0.5)))), bad
+    bad = p.where(F.col("_j").isNull() | (F.col("_j.annotations").isNull() & F.col("_j.relationships").isNull())).select("job_id", F.lit(-1).alias("place"), F.lit("invalid_json").alias("reason"))
+    a = p.select("job_id", F.posexplode("_j.annotations").alias("place", "a")).select("job_id", "place", "a.*")
+    lost = a.where(F.col("segment_id").isNull()).select("job_id", "place", F.lit("no_segment_id").alias("reason"))
+    a = a.where(F.col("segment_id").isNotNull()).select(
+        "job_id", "segment_id", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in TEXT_FIELDS.items()], *[T.clamp(F.coalesce(c, F.lit(d))).alias(c) for c, d in SCORE_FIELDS.items()],
+        F.coalesce("topic_transition", F.lit(False)).alias("topic_transition"), *[F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c) for c, t in LIST_FIELDS.items()],
+    )
+    r = p.select("job_id", F.posexplode("_j.relationships").alias("place", "r")).select("job_id", "place", "r.*")
+    whole = F.col("source_id").isNotNull() & F.col("target_id").isNotNull() & F.col("relation_type").isNotNull()
+    loose = r.where(~whole).select("job_id", "place", F.lit("no_relation").alias("reason"))
+    r = r.where(whole).select("job_id", "source_id", "target_id", "relation_type", F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.coalesce("reason", F.lit("")).alias("reason"))
+    return a, r, bad.unionByName(lost).unionByName(loose)
 
 
 def parse_boundaries(raw: DataFrame) -> DataFrame:
-    p = raw.select("job_id", F.posexplode(F.from_json("raw", BOUNDARIES)["stories"]).alias("idx", "s")).select("job_id", "idx", "s.*")
-    return p.fillna(0.5, ["start_confidence", "end_confidence", "boundary_confidence"])
+    """Story boundaries from JSON in `raw`: one row for each story, idx being its place; missing confidences are 0.5,
+    and the semantic confidence is that of the boundary."""
+    none = F.array().cast("array<string>")
+    s = raw.select("job_id", F.posexplode(F.from_json("raw", BOUNDARIES)["stories"]).alias("idx", "s")).select("job_id", "idx", "s.*")
+    s = s.withColumns({c: F.coalesce(c, F.lit(0.5)) for c in CONFIDENCES})
+    return s.select(
+        "job_id", "idx", F.array(F.coalesce("block_id", F.lit(0))).alias("block_ids"), F.coalesce("boundary_segments", none).alias("segments"), F.coalesce("suggested_name", F.lit("")).alias("name"),
+        F.coalesce("story_summary", F.lit("")).alias("summary"), *CONFIDENCES, F.col("boundary_confidence").alias("semantic_confidence"), F.coalesce("ambiguous_segments", none).alias("ambiguous_segments"),
+    )
 
 
-def prompt_text(batches: DataFrame, segments: DataFrame) -> DataFrame:
-    """(job_id, block_idx, batch_idx, prompt): a line `[id | start-end] text` for each segment of a batch, in order."""
-    x = batches.select("job_id", "block_idx", "batch_idx", F.posexplode("segment_ids").alias("pos", "segment_id"))
-    line = F.format_string("[%s | %.1f-%.1f] %s", "segment_id", "start_s", "end_s", "text")
-    x = x.join(segments.select("job_id", "segment_id", line.alias("line")), ["job_id", "segment_id"])
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"])
-    return x.groupBy("job_id", "block_idx", "batch_idx").agg(F.array_join(lines, "\n").alias("prompt"))
+def prompt_text(batches: DataFrame, segments: DataFrame, summaries: DataFrame | None = None, instructions: str = "") -> DataFrame:
+    """(job_id, block_idx, batch_idx, prompt): the instructions, the job's summary, and the segments before, after and
+    of the batch, each as a line `[id | start-end s] text`, in order. Parts without content are left out."""
+    keys = ["job_id", "block_idx", "batch_idx"]
+    parts = {"context_before": "Previous context:\n", "context_after": "Following context:\n", "segment_ids": "Segments:\n"}
+    sides = [batches.select(*keys, F.lit(i).alias("part"), F.posexplode(c).alias("pos", "segment_id")) for i, c in enumerate(parts)]
+    line = F.format_string("[%s | %.1f-%.1fs] %s", "segment_id", "start_s", "end_s", "text")
+    x = sides[0].unionByName(sides[1]).unionByName(sides[2]).join(segments.select("job_id", "segment_id", line.alias("line")), ["job_id", "segment_id"])
+    row = F.struct("pos", "line")
+    g = x.groupBy(*keys).agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == i, row))), lambda r: r["line"]), "\n").alias(c) for i, c in enumerate(parts)])
+    if summaries is not None:
+        g = g.join(summaries.select("job_id", "summary"), "job_id", "left")
+    heads = [("summary", "Full transcript summary:\n"), *parts.items()] if summaries is not None else list(parts.items())
+    text = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(h), c)) for c, h in heads]
+    return g.select(*keys, F.concat(F.lit(instructions), F.concat_ws("\n\n", *text)).alias("prompt"))
 
 
 def chunk_confidence(words: DataFrame) -> DataFrame:

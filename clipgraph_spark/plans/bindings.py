@@ -74,11 +74,38 @@ def ranking_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips(spark, sf_dir).withColumnRenamed("total_score", "raw_score")
 
 
+def raw_annotations(segs: DataFrame) -> DataFrame:
+    """Each job's annotations and the links between neighbours as a model's JSON; fields are missing in every third
+    segment, the first relation of a job lacks its type, and every tenth job's text is cut off."""
+    third = F.col("ord") % 3 == 0
+    item = F.struct(
+        F.when((F.col("ord") % 11 != 10), F.col("segment_id")).alias("segment_id"), F.when(~third, F.col("kind")).alias("story_role"), F.concat(F.lit("t"), F.col("ord") % 5).alias("topic"),
+        F.when(~third, F.col("ord") / 7).alias("emotion_intensity"), F.when(~third, F.col("ord") / 10).alias("importance_score"), F.when(~third, (F.col("ord") - 3) / 5).alias("hook_strength"),
+        F.when(~third, F.col("end_s") / 100).alias("ending_strength"), F.when(third, F.lit(0.25)).alias("standalone_score"), F.when(~third, F.col("ord") % 2 == 0).alias("topic_transition"),
+        F.when(~third, F.slice(F.split("text", " "), 1, 2)).alias("key_entities"),
+    )
+    link = F.struct(F.col("segment_id").alias("source_id"), F.lead("segment_id").over(Window.partitionBy("job_id").orderBy("ord")).alias("target_id"), F.when(F.col("ord") > 0, "follows").alias("relation_type"), F.when(F.col("ord") % 2 == 0, F.col("ord") / 8).alias("confidence"))
+    s = segs.select("job_id", "ord", item.alias("item"), link.alias("link"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c])
+    raw = s.groupBy("job_id").agg(F.to_json(F.struct(in_order("item").alias("annotations"), in_order("link").alias("relationships"))).alias("raw"))
+    return raw.withColumn("raw", F.when(F.col("job_id") % 10 == 0, F.concat(F.lit("not json "), "raw")).otherwise(F.col("raw")))
+
+
+def raw_boundaries(segs: DataFrame) -> DataFrame:
+    """The stories of boundaries() as a model's JSON, every other one without two of its confidences."""
+    odd = F.col("idx") % 2 == 1
+    item = F.struct(
+        "idx", (F.col("idx") % 3).alias("block_id"), F.col("segments").alias("boundary_segments"), F.col("summary").alias("story_summary"), F.col("name").alias("suggested_name"),
+        F.when(odd, F.col("start_confidence")).alias("start_confidence"), "end_confidence", F.when(odd, F.lit(0.9)).alias("boundary_confidence"), F.when(odd, F.slice("segments", 1, 1)).alias("ambiguous_segments"),
+    )
+    return boundaries(segs).groupBy("job_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("stories"))).alias("raw"))
+
+
 def order_sets(spark: SparkSession, sf_dir: str, m: int = 500) -> DataFrame:
     """orders as candidates of a customer: event_ids are part keys modulo m, the score is the price in 0..1."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set((F.col("l_partkey") % m).cast("string"))).alias("event_ids"))
     o = table(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
-    return o.select((F.col("o_custkey") % 50).alias("job_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("double").alias("start_s"), "event_ids", F.round(F.col("o_totalprice") / 500000, 4).alias("score"))
+    return o.select(F.col("o_custkey").alias("job_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("double").alias("start_s"), "event_ids", F.round(F.col("o_totalprice") / 500000, 4).alias("score"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def _(spark, d):
 
 @query("c5_classify_english", sql.C_ENGLISH)
 def _(spark, d):
-    return TR.atomic_segments(B.chunks(spark, d)).groupBy("job_id", "kind").agg(F.count("*").alias("n"))
+    return TR.atomic_segments(B.chunks(spark, d)).select("job_id", "ord", "kind")
 
 
 @query("c6_merge_short", sql.C_SHORT)
@@ -108,12 +108,12 @@ def _(spark, d):
     return TR.detect_role(B.segments(spark, d)).select("job_id", "ord", "role")
 
 
-@query("c8_pack_windows")
+@query("c8_pack_windows", sql.C_WINDOWS)
 def _(spark, d):
-    return TR.window_signals(TR.pack_windows(B.segments(spark, d)))
+    return TR.window_signals(TR.pack_windows(B.segments(spark, d))).withColumn("segment_ids", F.array_join("segment_ids", ","))
 
 
-@query("c10_pack_text")
+@query("c10_pack_text", sql.C_PIECES)
 def _(spark, d):
     docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("job_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return TR.split_allocation(TR.pack_text(docs, 400), 2000)
@@ -137,15 +137,31 @@ def _(spark, d):
 
 @query("c14_parse_annotations", sql.C_PARSE)
 def _(spark, d):
-    s = B.segments(spark, d)
-    item = F.struct("segment_id", F.lit("t").alias("topic"), (F.col("ord") / 10).alias("importance_score"))
-    raw = s.groupBy("job_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("annotations"))).alias("raw"))
-    return TR.parse_annotations(raw)[0]
+    a = TR.parse_annotations(B.raw_annotations(B.segments(spark, d)))[0]
+    return a.withColumns({c: F.array_join(c, ",") for c in ("key_entities", "keywords")} | {c: F.round(c, 6) for c in TR.SCORE_FIELDS}).drop("semantic_embedding")
+
+
+@query("c14_relationships", sql.C_RELATIONS)
+def _(spark, d):
+    return TR.parse_annotations(B.raw_annotations(B.segments(spark, d)))[1]
+
+
+@query("c14_bad_rows", sql.C_BAD)
+def _(spark, d):
+    return TR.parse_annotations(B.raw_annotations(B.segments(spark, d)))[2]
+
+
+@query("c15_parse_boundaries", sql.C_BOUNDARIES)
+def _(spark, d):
+    b = TR.parse_boundaries(B.raw_boundaries(B.segments(spark, d)))
+    return b.withColumns({c: F.array_join(c, ",") for c in ("segments", "ambiguous_segments")} | {"block_ids": F.get("block_ids", F.lit(0))})
 
 
 @query("c16_prompt_text", sql.C_PROMPT)
 def _(spark, d):
-    return TR.prompt_text(TR.annotation_batches(_blocks(spark, d)), B.segments(spark, d))
+    s = B.segments(spark, d)
+    summaries = s.where("ord = 0 AND job_id % 2 = 0").select("job_id", F.substring("text", 1, 40).alias("summary"))
+    return TR.prompt_text(TR.annotation_batches(_blocks(spark, d)), s, summaries, "Annotate.\n")
 
 
 @query("c17_chunk_confidence", sql.C_CONFIDENCE)
@@ -233,10 +249,14 @@ def _(spark, d):
     return G.knowledge_graph(B.segments(spark, d))[1]
 
 
-@query("f2_evidence_graph")
+@query("f2_evidence_nodes", sql.F_EVIDENCE)
 def _(spark, d):
-    n, e = G.evidence_graph(TR.pack_windows(B.segments(spark, d)))
-    return n.groupBy("job_id").agg(F.count("*").alias("nodes")).join(e.groupBy("job_id").agg(F.count("*").alias("edges")), "job_id", "left").fillna(0)
+    return G.evidence_graph(TR.pack_windows(B.segments(spark, d)))[0]
+
+
+@query("f2_evidence_edges", sql.F_TEMPORAL)
+def _(spark, d):
+    return G.evidence_graph(TR.pack_windows(B.segments(spark, d)))[1]
 
 
 @query("g1_prune_by_kind", sql.G_PRUNE)
@@ -254,7 +274,8 @@ def _(spark, d):
 @query("g2_clip_triples", sql.G_TRIPLES)
 def _(spark, d):
     s = B.segments(spark, d)
-    return C.clip_triples(C.prune_by_kind(s, FE.segment_features(s))[0]).groupBy("job_id").agg(F.count("*").alias("n"), F.round(F.sum("h_start_s"), 3).alias("starts"))
+    t = C.clip_triples(C.prune_by_kind(s, FE.segment_features(s))[0])
+    return t.select("job_id", "h_segment_id", "b_segment_id", "e_segment_id", "h_start_s", "e_end_s")
 
 
 @query("g5_generate_candidates", sql.G_CANDIDATES)
@@ -264,7 +285,7 @@ def _(spark, d):
 
 @query("g9_merge_strategies", sql.G_STRATEGIES)
 def _(spark, d):
-    return C.merge_strategies(B.segments(spark, d)).groupBy("job_id", "strategy").agg(F.count("*").alias("n"), F.round(F.sum("end_s"), 3).alias("ends"))
+    return C.merge_strategies(B.segments(spark, d)).withColumn("segment_ids", F.array_join("segment_ids", ","))
 
 
 @query("h_score_objectives", sql.H_OBJECTIVES)
@@ -273,9 +294,14 @@ def _(spark, d):
     return o.select("job_id", "id", *[F.round(F.col(n)["score"], 6).alias(n) for n in O.REGISTRY], "overall_score")
 
 
-@query("i1_greedy_dedup")
+@query("i1_greedy_dedup", sql.I_GREEDY)
+def _(spark, d):
+    return D.greedy_dedup(B.order_sets(spark, d), threshold=0.1)[1].select("job_id", "id", "similar_to", "similarity")
+
+
+@query("i1_greedy_dedup_large", sql.I_KEPT)
 def _(spark, d):
-    return D.greedy_dedup(B.order_sets(spark, d), threshold=0.2)[1].select("job_id", "id", "similar_to", "similarity")
+    return D.greedy_dedup_large(B.order_sets(spark, d), S.materialize, threshold=0.1).select("job_id", "id")
 
 
 @query("i3_blueprint_dedup")
@@ -384,6 +410,16 @@ def _(spark, d):
     return _validated(spark, d)[2].select("job_id", "story_id", "story_priority", "story_quality_score", "validated_summary")
 
 
+@query("k7_quality_of_parsed", sql.K_QUALITY)
+def _(spark, d):
+    """Annotations and boundaries as JSON, parsed, and the stories' quality from these."""
+    s = B.segments(spark, d)
+    raw = B.annotations(s).groupBy("job_id").agg(F.to_json(F.struct(F.collect_list(F.struct(*[c for c in B.annotations(s).columns if c != "job_id"])).alias("annotations"))).alias("raw"))
+    a = TR.parse_annotations(raw)[0]
+    c = K.verify(K.form_candidates(TR.parse_boundaries(B.raw_boundaries(s)), s, a))
+    return K.story_quality(_as_stories(c), a).withColumn("reason", F.coalesce(K.reject_reason(), F.lit(""))).select("job_id", "story_id", *K.QUALITY_WEIGHTS, "story_quality_score", "quality_explanation", "reason")
+
+
 @query("k11_coverage", sql.K_COVERAGE)
 def _(spark, d):
     s, _, c = _candidates(spark, d)
@@ -452,15 +488,15 @@ def _(spark, d):
     return R.preview(c, R.rank(c, 5)[0], 3).select("job_id", "id", "preview_pos")
 
 
-@query("n2_portfolio")
+@query("n2_portfolio", sql.N_PORTFOLIO)
 def _(spark, d):
-    return R.portfolio_select(R.narrative_order(B.order_sets(spark, d)), 10, "diverse").select("job_id", "id", "final_rank", "narrative_pos")
+    return R.portfolio_select(R.narrative_order(B.order_sets(spark, d)), 5, "diverse").select("job_id", "id", "final_rank", "narrative_pos")
 
 
-@query("n3_portfolio_summary")
+@query("n3_portfolio_summary", sql.N_SUMMARY)
 def _(spark, d):
     s = R.narrative_order(B.order_sets(spark, d))
-    return R.portfolio_summary(R.portfolio_select(s, 10), s)
+    return R.portfolio_summary(R.portfolio_select(s, 5, "diverse"), s)
 
 
 @query("o1_evaluation_records", sql.O_RECORDS)
@@ -470,7 +506,7 @@ def _(spark, d):
 
 @query("o2_ground_truth", sql.O_TRUTH)
 def _(spark, d):
-    docs = B.table(spark, d, "documents").select((F.col("doc_id") % 10).alias("job_id"), F.col("doc_id").cast("string").alias("id"), (F.col("n_chars") / 1e6).alias("score"))
+    docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("job_id"), F.col("doc_id").cast("string").alias("id"), (F.col("n_chars") / 1e6).alias("score"))
     truth = B.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("clip_id"), "quality", "toxic", F.lit(1).alias("seq"))
     return EV.apply_ground_truth(EV.evaluation_records(docs), truth).select("clip_id", "lifecycle", F.col("ground_truth.quality").alias("quality"))
 
@@ -544,8 +580,7 @@ def _(spark, d):
 
 @query("p5_usage_60s", sql.P_USAGE)
 def _(spark, d):
-    e = B.events(spark, d).withColumn("key", F.lit(0).cast("long") + F.col("key") % 5)
-    return P.usage_60s(e).select("seq", "tokens_60s", "requests_60s", "token_room", "request_room")
+    return P.usage_60s(B.events(spark, d)).select("seq", "tokens_60s", "requests_60s", "token_room", "request_room")
 
 
 _NAMES = {"signup": "queued", "view": "started", "purchase": "completed", "click": "queued", "error": "failed"}
@@ -554,7 +589,7 @@ _NAMES = {"signup": "queued", "view": "started", "purchase": "completed", "click
 def _requests(spark, d) -> DataFrame:
     e = B.events(spark, d)
     name = F.create_map(*[F.lit(x) for kv in _NAMES.items() for x in kv])[F.col("name")]
-    return e.select("seq", "ts", (F.col("key") % 20).alias("key"), F.col("key").alias("request_id"), name.alias("name"))
+    return e.select("seq", "ts", "key", F.date_format("ts", "yyyy-MM-dd").alias("request_id"), name.alias("name"))
 
 
 @query("p6_queue_times", sql.P_QUEUE)

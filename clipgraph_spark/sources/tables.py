@@ -40,6 +40,15 @@ def read_vectors(spark: SparkSession, path: str, column: str = "embedding") -> D
     return spark.read.parquet(path).withColumn(column, F.col(column).cast("array<double>"))
 
 
+def write_synopses(df: DataFrame, path: str) -> None:
+    """Synopses and excerpts of blocks as JSON lines, one object a block."""
+    df.write.mode("overwrite").json(path)
+
+
+def read_synopses(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("job_id string, block_idx int, synopsis string, representative_excerpt string").json(path)
+
+
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """The work whose keys are not done."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
@@ -61,10 +70,14 @@ def allowed_media(files: DataFrame, most: int = 2 << 30) -> DataFrame:
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Writes `df` to the folder that the cluster shares (spark.checkpoint.dir) and reads it back: cuts lineage.
 
-    A temporary folder stands in only where that setting is unset, as in tests.
+    A temporary folder stands in only where that setting is unset and all of Spark runs in one process.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/clipgraph-" + spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir() + "/clipgraph-" + spark.sparkContext.applicationId
     path = f"{base}/clipgraph/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -78,7 +78,7 @@ clips AS (SELECT *, concat_ws('_', 'clip', h_id, b_id, e_id) AS id, round(dur, 3
 )
 _SETS = """
 li AS (SELECT l_orderkey, list_sort(list_distinct(list((l_partkey % {m})::VARCHAR))) AS event_ids FROM lineitem GROUP BY 1),
-sets AS (SELECT o_custkey % 50 AS job_id, lpad(o_orderkey::VARCHAR, 12, '0') AS id, o_orderkey AS ord, event_ids, round(o_totalprice / 500000, 4) AS score FROM orders JOIN li ON o_orderkey = l_orderkey)
+sets AS (SELECT o_custkey AS job_id, lpad(o_orderkey::VARCHAR, 12, '0') AS id, o_orderkey AS ord, event_ids, round(o_totalprice / 500000, 4) AS score FROM orders JOIN li ON o_orderkey = l_orderkey)
 """
 _EVENTS = """
 ev AS (SELECT event_id AS seq, ts, user_id AS key, user_id AS job_id, event_type AS stage, event_type AS name, value * 10 AS elapsed_ms, floor(value)::BIGINT AS tokens,
@@ -137,10 +137,10 @@ SELECT job_id, string_agg(sentence, ' ' ORDER BY chunk_idx, sent_idx) AS merged_
 C_SEGMENTS = _with(_SEGMENTS, "SELECT * FROM segments")
 C_ENGLISH = _with(
     _SENTENCES,
-    r""", k AS (SELECT job_id, lower(sentence) AS t, sent_idx = 0 AS f, sent_idx = n_sent - 1 AS z FROM s1),
-q AS (SELECT job_id, CASE WHEN f AND (regexp_matches(t, '^((what|how|why|when|where|who)\s|did you know|have you ever|imagine|here''s the thing|let me tell you|the secret is|nobody talks about|question:|challenge:|problem:|you need to know|listen to this)') OR regexp_matches(t, 'what|how|why|imagine')) THEN 'hook'
+    r""", k AS (SELECT job_id, (row_number() OVER (PARTITION BY job_id ORDER BY chunk_idx, sent_idx) - 1)::INTEGER AS ord, lower(sentence) AS t, sent_idx = 0 AS f, sent_idx = n_sent - 1 AS z FROM s1),
+q AS (SELECT job_id, ord, CASE WHEN f AND (regexp_matches(t, '^((what|how|why|when|where|who)\s|did you know|have you ever|imagine|here''s the thing|let me tell you|the secret is|nobody talks about|question:|challenge:|problem:|you need to know|listen to this)') OR regexp_matches(t, 'what|how|why|imagine')) THEN 'hook'
   WHEN z AND regexp_matches(t, 'so|therefore|in summary|that''s why|the takeaway is|subscribe|follow|like this|comment below|share this|next time|see you|thanks for watching|until next time|that is why') THEN 'ending' ELSE 'body' END AS kind FROM k)
-SELECT job_id, kind, count(*) AS n FROM q GROUP BY ALL""",
+SELECT job_id, ord, kind FROM q""",
 )
 C_SHORT = _with(
     _SEGMENTS,
@@ -174,14 +174,55 @@ C_BATCHES = _with(
 )
 C_PROMPT = _with(
     _BATCHES,
-    """, ln AS (SELECT job_id, ord // 25 AS block_idx, ord % 25 AS pos, '[' || segment_id || ' | ' || round(start_s::DECIMAL(18, 3), 1) || '-' || round(end_s::DECIMAL(18, 3), 1) || '] ' || text AS line FROM segments)
-SELECT job_id, block_idx::INTEGER AS block_idx, (start // 8)::INTEGER AS batch_idx, string_agg(line, chr(10) ORDER BY pos) AS prompt FROM ba JOIN ln USING (job_id, block_idx) WHERE pos >= start AND pos < start + 10 GROUP BY ALL""",
+    """, ln AS (SELECT job_id, segment_id, '[' || segment_id || ' | ' || round(start_s::DECIMAL(18, 3), 1) || '-' || round(end_s::DECIMAL(18, 3), 1) || 's] ' || text AS line FROM segments),
+pt AS (SELECT job_id, block_idx, start, 0 AS part, prev[-2:] || CASE WHEN start = 0 THEN [] ELSE ids[start - 1 : start] END AS s FROM ba
+       UNION ALL SELECT job_id, block_idx, start, 1, ids[start + 11 : start + 12] || next[1:2] FROM ba UNION ALL SELECT job_id, block_idx, start, 2, ids[start + 1 : start + 10] FROM ba),
+px AS (SELECT job_id, block_idx, start, part, unnest(s) AS segment_id, unnest(range(len(s))) AS pos FROM pt),
+pg AS (SELECT job_id, block_idx, start, string_agg(line, chr(10) ORDER BY pos) FILTER (part = 0) AS a, string_agg(line, chr(10) ORDER BY pos) FILTER (part = 1) AS b, string_agg(line, chr(10) ORDER BY pos) FILTER (part = 2) AS c
+       FROM px JOIN ln USING (job_id, segment_id) GROUP BY ALL),
+sm AS (SELECT job_id, substr(text, 1, 40) AS summary FROM segments WHERE ord = 0 AND job_id % 2 = 0)
+SELECT job_id, block_idx::INTEGER AS block_idx, (start // 8)::INTEGER AS batch_idx,
+  'Annotate.' || chr(10) || concat_ws(chr(10) || chr(10), 'Full transcript summary:' || chr(10) || nullif(summary, ''), 'Previous context:' || chr(10) || a, 'Following context:' || chr(10) || b, 'Segments:' || chr(10) || c) AS prompt
+FROM pg LEFT JOIN sm USING (job_id)""",
 )
 C_PARSE = _with(
     _SEGMENTS,
-    """SELECT job_id, segment_id, 't' AS topic, NULL::VARCHAR AS role, NULL::VARCHAR AS emotion, least(1::DOUBLE, ord / 10::DOUBLE) AS importance_score,
- 0.5::DOUBLE AS hook_strength, 0.5::DOUBLE AS ending_strength, 0.5::DOUBLE AS confidence_score FROM segments""",
+    """SELECT job_id, segment_id, '' AS story_id, 't' || ord % 5 AS topic, '' AS subtopic, CASE WHEN ord % 3 = 0 THEN 'body' ELSE kind END AS story_role, 'explain' AS intent, '' AS speaker_intent, 'neutral' AS emotion,
+ 'low' AS context_dependency, '' AS previous_segment_dependency, '' AS next_segment_expectation, CASE WHEN ord % 3 = 0 THEN 0.5 ELSE round(least(1::DOUBLE, ord / 7::DOUBLE), 6) END::DOUBLE AS emotion_intensity,
+ CASE WHEN ord % 3 = 0 THEN 0.5 ELSE least(1::DOUBLE, ord / 10::DOUBLE) END::DOUBLE AS importance_score, CASE WHEN ord % 3 = 0 THEN 0 ELSE greatest(0::DOUBLE, least(1::DOUBLE, (ord - 3) / 5::DOUBLE)) END::DOUBLE AS hook_strength,
+ CASE WHEN ord % 3 = 0 THEN 0 ELSE round(least(1::DOUBLE, end_s / 100), 6) END::DOUBLE AS ending_strength, 0::DOUBLE AS curiosity_score, 0::DOUBLE AS information_density,
+ CASE WHEN ord % 3 = 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS standalone_score, 0.5::DOUBLE AS completeness_score, 0.5::DOUBLE AS confidence_score, ord % 3 <> 0 AND ord % 2 = 0 AS topic_transition,
+ CASE WHEN ord % 3 = 0 THEN '' ELSE array_to_string(string_split(text, ' ')[1:2], ',') END AS key_entities, '' AS keywords
+FROM segments WHERE job_id % 10 <> 0 AND ord % 11 <> 10""",
+)
+C_RELATIONS = _with(
+    _SEGMENTS,
+    """SELECT * FROM (SELECT job_id, segment_id AS source_id, lead(segment_id) OVER (PARTITION BY job_id ORDER BY ord) AS target_id, CASE WHEN ord > 0 THEN 'follows' END AS relation_type,
+ CASE WHEN ord % 2 = 0 THEN ord / 8::DOUBLE ELSE 0.5 END::DOUBLE AS confidence, '' AS reason FROM segments) WHERE target_id IS NOT NULL AND relation_type IS NOT NULL AND job_id % 10 <> 0""",
 )
+C_BAD = _with(
+    _SEGMENTS,
+    """SELECT DISTINCT job_id, -1 AS place, 'invalid_json' AS reason FROM segments WHERE job_id % 10 = 0
+UNION ALL SELECT job_id, ord, 'no_segment_id' FROM segments WHERE job_id % 10 <> 0 AND ord % 11 = 10
+UNION ALL SELECT job_id, ord, 'no_relation' FROM segments WHERE job_id % 10 <> 0 AND (ord = 0 OR ord = (SELECT max(ord) FROM segments z WHERE z.job_id = segments.job_id))""",
+)
+C_WINDOWS = "WITH RECURSIVE " + _SEGMENTS.lstrip() + """,
+d AS MATERIALIZED (SELECT *, end_s - start_s AS d, row_number() OVER (PARTITION BY job_id ORDER BY ord) - 1 AS i FROM segments),
+w AS (SELECT job_id, i, d AS s, 0 AS bin FROM d WHERE i = 0
+      UNION ALL SELECT d.job_id, d.i, CASE WHEN w.s + d.d > 120 THEN d.d ELSE w.s + d.d END, w.bin + (w.s + d.d > 120)::INTEGER FROM w JOIN d ON d.job_id = w.job_id AND d.i = w.i + 1)
+SELECT job_id, bin AS window_idx, arg_min(start_s, ord) AS start_s, arg_max(end_s, ord) AS end_s, round(sum(d ORDER BY ord), 3) AS duration, count(*) AS n_segments, string_agg(segment_id, ',' ORDER BY ord) AS segment_ids,
+ string_agg(text, ' ' ORDER BY ord) AS text, len(string_split(trim(string_agg(text, ' ' ORDER BY ord)), ' '))::INTEGER AS word_count, 0.5::DOUBLE AS audio_energy, 2.5::DOUBLE AS pace, 3 AS signal_count
+FROM w JOIN d USING (job_id, i) GROUP BY job_id, bin"""
+C_PIECES = """WITH RECURSIVE
+p0 AS (SELECT doc_id AS job_id, unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))) AS part, unnest(range(len(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))))) AS ord FROM documents),
+d AS MATERIALIZED (SELECT *, greatest(1, length(part) // 3) AS t, row_number() OVER (PARTITION BY job_id ORDER BY ord) - 1 AS i FROM p0 WHERE trim(part, ' ') <> ''),
+w AS (SELECT job_id, i, t AS s, 0 AS bin FROM d WHERE i = 0
+      UNION ALL SELECT d.job_id, d.i, CASE WHEN w.s + d.t > 400 THEN d.t ELSE w.s + d.t END, w.bin + (w.s + d.t > 400)::INTEGER FROM w JOIN d ON d.job_id = w.job_id AND d.i = w.i + 1),
+g AS (SELECT job_id, bin AS piece_idx, string_agg(part, chr(10) || chr(10) ORDER BY ord) AS text FROM w JOIN d USING (job_id, i) GROUP BY job_id, bin),
+t AS (SELECT *, greatest(1, length(text) // 3) AS tokens FROM g),
+a AS (SELECT *, greatest(50, floor(2000 * tokens / sum(tokens) OVER (PARTITION BY job_id)))::BIGINT AS allocated, count(*) OVER (PARTITION BY job_id) AS n_pieces FROM t)
+SELECT *, coalesce(sum(allocated) OVER (PARTITION BY job_id ORDER BY piece_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS out_start,
+ (sum(allocated) OVER (PARTITION BY job_id ORDER BY piece_idx))::BIGINT AS out_end FROM a"""
 C_CONFIDENCE = _with(_EVENTS, "SELECT job_id, stage AS chunk_id, round(least(greatest(1 + avg(-elapsed_ms / 500), 0::DOUBLE), 1::DOUBLE), 6) AS confidence FROM ev GROUP BY ALL")
 C_RTF = _with(
     _EVENTS,
@@ -248,13 +289,16 @@ j AS (SELECT b.*, coalesce(hook_after, 0) AS hook_after, coalesce(body_after, 0)
 k AS (SELECT *, hook_before * body_before * ending_before AS combinations_before, hook_after * body_after * ending_after AS combinations_after FROM j)
 SELECT *, round(CASE WHEN combinations_before > 0 THEN 100 * (1 - combinations_after / combinations_before::DOUBLE) ELSE 0 END, 1) AS reduction_pct FROM k""",
 )
-G_TRIPLES = _with(_TRIPLES, "SELECT job_id, count(*) AS n, round(sum(h_start), 3) AS starts FROM triples GROUP BY 1")
+F_EVIDENCE = C_WINDOWS.rpartition("\nSELECT job_id, bin AS window_idx")[0] + " SELECT job_id, 'node_' || i AS node_id, segment_id, bin AS window_idx FROM w JOIN d USING (job_id, i)"
+F_TEMPORAL = F_EDGES.replace("'next' AS type", "'temporal' AS type")
+G_TRIPLES = _with(_TRIPLES, "SELECT job_id, h_id AS h_segment_id, b_id AS b_segment_id, e_id AS e_segment_id, h_start AS h_start_s, e_end AS e_end_s FROM triples")
 G_CANDIDATES = _with(_CLIPS, "SELECT job_id, id, duration, flow_score, total_score, array_to_string(string_split(concat_ws(' ', h_text, b_text, e_text), ' ')[1:24], ' ') AS snippet, rank FROM clips")
 G_STRATEGIES = _with(
     _SEGMENTS,
-    """, s AS (SELECT *, lead(end_s, 2) OVER w AS e2, count(*) OVER (PARTITION BY job_id) AS n FROM segments WINDOW w AS (PARTITION BY job_id ORDER BY ord)),
-a AS (SELECT job_id, 'story' AS strategy, e2 AS e FROM s WHERE ord % 2 = 0 AND ord < n - 2 UNION ALL SELECT job_id, 'hook', end_s FROM s WHERE contains(text, '?') OR regexp_matches(lower(text), 'secret|truth|why|how'))
-SELECT job_id, strategy, count(*) AS n, round(sum(e), 3) AS ends FROM a GROUP BY ALL""",
+    """, s AS (SELECT *, lead(end_s, 2) OVER w AS e2, lead(segment_id, 1) OVER w AS i1, lead(segment_id, 2) OVER w AS i2, lead(text, 1) OVER w AS t1, lead(text, 2) OVER w AS t2, count(*) OVER (PARTITION BY job_id) AS n
+ FROM segments WINDOW w AS (PARTITION BY job_id ORDER BY ord))
+SELECT job_id, 'story_' || ord AS candidate_id, ord AS pos, segment_id || ',' || i1 || ',' || i2 AS segment_ids, start_s, e2 AS end_s, text || ' ' || t1 || ' ' || t2 AS text, 'story' AS strategy, 0 AS strategy_rank FROM s WHERE ord % 2 = 0 AND ord < n - 2
+UNION ALL SELECT job_id, 'hook_' || ord, ord, segment_id, start_s, end_s, text, 'hook', 1 FROM s WHERE contains(text, '?') OR regexp_matches(lower(text), 'secret|truth|why|how')""",
 )
 H_OBJECTIVES = _with(
     _CLIPS,
@@ -269,6 +313,30 @@ H_OBJECTIVES = _with(
 SELECT * REPLACE (round(narrative_coherence, 6) AS narrative_coherence, round(hook_delivery, 6) AS hook_delivery),
  round((hook_delivery + standalone + ending + dead_time + narrative_coherence + information_density + temporal_flow + emotional_arc + creator_fit + visual_quality) / 10, 4) AS overall_score FROM o""",
 )
+_GREEDY = "WITH RECURSIVE " + _SETS.format(m=500).lstrip() + """,
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ord, id) AS i FROM sets),
+g AS (SELECT DISTINCT job_id, 0::BIGINT AS i, []::STRUCT(id VARCHAR, v VARCHAR[])[] AS kept, NULL::VARCHAR AS id, NULL::VARCHAR AS similar_to, NULL::DOUBLE AS similarity FROM o
+  UNION ALL
+  SELECT job_id, i, CASE WHEN f IS NULL THEN list_append(kept, {'id': id, 'v': event_ids}) ELSE kept END, id, f.id, len(list_intersect(f.v, event_ids))::DOUBLE / len(list_distinct(f.v || event_ids))
+  FROM (SELECT g.job_id, o.i, g.kept, o.id, o.event_ids, list_filter(g.kept, lambda k: round(len(list_intersect(k.v, o.event_ids))::DOUBLE / len(list_distinct(k.v || o.event_ids)), 9) >= 0.1)[1] AS f
+        FROM g JOIN o ON o.job_id = g.job_id AND o.i = g.i + 1))
+"""
+I_GREEDY = _GREEDY + "SELECT job_id, id, similar_to, round(similarity, 6) AS similarity FROM g WHERE similar_to IS NOT NULL"
+I_KEPT = _GREEDY + "SELECT job_id, id FROM g WHERE i > 0 AND similar_to IS NULL"
+_MMR = "WITH RECURSIVE " + _SETS.format(m=500).lstrip() + """,
+o AS MATERIALIZED (SELECT job_id, id, score, event_ids AS v, row_number() OVER (PARTITION BY job_id ORDER BY ord::DOUBLE, id) AS pos, count(*) OVER (PARTITION BY job_id) AS n FROM sets),
+p AS (SELECT DISTINCT job_id, 0 AS step, []::STRUCT(id VARCHAR, v VARCHAR[])[] AS taken FROM o WHERE n > 5
+  UNION ALL
+  SELECT p.job_id, p.step + 1, list_append(p.taken, (SELECT arg_min({'id': o.id, 'v': o.v}, {'a': -round(0.5::DOUBLE * o.score - 0.5::DOUBLE * coalesce(list_max(list_transform(p.taken, lambda t: round(len(list_intersect(t.v, o.v))::DOUBLE / len(list_distinct(t.v || o.v)), 9))), 0), 9), 'b': o.pos})
+    FROM o WHERE o.job_id = p.job_id AND NOT list_contains(list_transform(p.taken, lambda t: t.id), o.id)))
+  FROM p WHERE p.step < 5),
+c AS (SELECT job_id, unnest(list_transform(taken, lambda t: t.id)) AS id FROM p WHERE step = 5 UNION ALL SELECT job_id, id FROM o WHERE n <= 5),
+x AS (SELECT o.*, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, pos)::INTEGER AS final_rank FROM o JOIN c USING (job_id, id))
+"""
+N_PORTFOLIO = _MMR + "SELECT job_id, id, final_rank, pos::INTEGER AS narrative_pos FROM x"
+N_SUMMARY = _MMR + """, q AS (SELECT a.job_id, avg(len(list_intersect(a.v, b.v))::DOUBLE / len(list_distinct(a.v || b.v))) AS sim FROM x a JOIN x b ON a.job_id = b.job_id AND a.id < b.id GROUP BY 1),
+s AS (SELECT job_id, avg(score) AS m, count(*) AS k, any_value(n) AS n FROM x GROUP BY 1)
+SELECT job_id, round(m, 4) AS mean_score, k AS selected, n - k AS rejected, round(1 - coalesce(sim, 0), 4) AS diversity FROM s LEFT JOIN q USING (job_id)"""
 I_CONTENT = "SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS id, count(*) AS \"references\" FROM documents GROUP BY 1"
 _PAIR = "('0x' || substr(h, {i}, 2))::INTEGER"
 _p = lambda i: _PAIR.format(i=2 * i + 1)
@@ -296,6 +364,13 @@ q2 AS (SELECT * EXCLUDE (completeness, coherence, hook_quality, ending_quality,
               floor(continuity * 10000 + 0.500001) / 10000 AS continuity, floor(emotional_arc * 10000 + 0.500001) / 10000 AS emotional_arc FROM q1)
 """
 )
+C_BOUNDARIES = _with(
+    _STORIES,
+    """, g AS (SELECT job_id, idx, string_agg(segment_id, ',' ORDER BY k, ord, copy) AS segments, arg_min(segment_id, (k, ord, copy)) AS first FROM bo GROUP BY ALL)
+SELECT job_id, (row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1)::INTEGER AS idx, (idx % 3)::INTEGER AS block_ids, segments, 'Story ' || idx AS name, CASE WHEN idx % 2 = 0 THEN 'summary' ELSE '' END AS summary,
+ CASE WHEN idx % 2 = 1 THEN 0.8 ELSE 0.5 END::DOUBLE AS start_confidence, 0.8::DOUBLE AS end_confidence, CASE WHEN idx % 2 = 1 THEN 0.9 ELSE 0.5 END::DOUBLE AS boundary_confidence, 0.5::DOUBLE AS structural_confidence,
+ CASE WHEN idx % 2 = 1 THEN 0.9 ELSE 0.5 END::DOUBLE AS semantic_confidence, CASE WHEN idx % 2 = 1 THEN first ELSE '' END AS ambiguous_segments FROM g""",
+)
 K_VERIFY = _with(_STORIES, "SELECT job_id, printf('cand_%03d', c) AS candidate_id, array_to_string(issues, ',') AS issues, len(issues) = 0 AS verified FROM ve")
 K_QUALITY = _with(
     _STORIES,
@@ -373,10 +448,10 @@ P_ENFORCE = _with(_BUDGET, "SELECT seq, warnings, warnings >= 3 AS disabled FROM
 P_RUNS = _with(_EVENTS, "SELECT key AS run_id, round(sum(elapsed_ms), 3) AS total_ms, count(*) AS executed, count(*) FILTER (stage NOT IN ('error', 'view')) AS succeeded, count(*) FILTER (stage = 'error') AS failed, count(*) FILTER (stage = 'view') AS skipped FROM ev GROUP BY 1")
 P_USAGE = _with(
     _EVENTS,
-    """, u AS (SELECT seq, (sum(tokens) OVER w)::BIGINT AS tokens_60s, count(*) OVER w AS requests_60s FROM ev WINDOW w AS (PARTITION BY key % 5 ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW))
+    """, u AS (SELECT seq, (sum(tokens) OVER w)::BIGINT AS tokens_60s, count(*) OVER w AS requests_60s FROM ev WINDOW w AS (PARTITION BY key ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW))
 SELECT *, greatest(0::DOUBLE, 4800::DOUBLE - tokens_60s) AS token_room, greatest(0::DOUBLE, 21::DOUBLE - requests_60s) AS request_room FROM u""",
 )
-_REQUESTS = _EVENTS + ", rq AS (SELECT seq, ts, key % 20 AS key, key AS request_id, CASE name WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'queued' ELSE 'failed' END AS name FROM ev)"
+_REQUESTS = _EVENTS + ", rq AS (SELECT seq, ts, key, strftime(ts, '%Y-%m-%d') AS request_id, CASE name WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'queued' ELSE 'failed' END AS name FROM ev)"
 P_QUEUE = _with(
     _REQUESTS,
     """, r AS (SELECT key, request_id, min(epoch_us(ts)) FILTER (name = 'queued') / 1000 AS q, min(epoch_us(ts)) FILTER (name = 'started') / 1000 AS s, min(epoch_us(ts)) FILTER (name = 'completed') / 1000 AS c FROM rq GROUP BY ALL)

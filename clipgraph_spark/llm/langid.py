@@ -145,14 +145,14 @@ def train(docs: DataFrame) -> Filters:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([lang] * len(key)), pa.array(np.bincount(at, n).astype(np.int64))], names=["gram", "lang", "n"])
 
         held, waiting = defaultdict(list), 0
-        for b in slices(batches, 2 << 20):
+        for b in slices(batches, 1 << 20):
             langs, texts = b["lang"].to_pylist(), texts_of(b)
             for lang in dict.fromkeys(langs):
                 code, _, _ = grams([t for t, x in zip(texts, langs, strict=True) if x == lang])
                 key, n = np.unique(code, return_counts=True)
                 held[lang].append((key, n))
                 waiting += len(key)
-            if waiting > 2_000_000:
+            if waiting > 1_000_000:
                 yield from out(held)
                 held, waiting = defaultdict(list), 0
         yield from out(held)
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id"
     fields = docs.select(*keep).schema.fields
 
     def run(batches):
-        for b in slices(batches, 2 << 20):
+        for b in slices(batches, 1 << 20):
             langs, scores = shared.value.decide(texts_of(b))
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *cols])
 

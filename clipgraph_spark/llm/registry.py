@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, lm_score, media, mixing, near_dup, secret_scan, suffix_dedup, token_files
+from . import chat, decontam, langid, lm_score, media, mixing, near_dup, secret_scan, suffix_dedup, token_files, whitening
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_lm_score": lm_score.op8_lm_score,
         "op9_language_id": langid.op9_language_id,
         "op10_simhash": near_dup.op10_simhash,
+        "op11_whitening": whitening.op11_whitening,
     }
 
 

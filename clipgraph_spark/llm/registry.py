@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, lm_score, media, mixing, near_dup, secret_scan, suffix_dedup, token_files, whitening
+from . import chat, decontam, langid, lm_score, media, mixing, near_dup, secret_scan, spelling, suffix_dedup, token_files, whitening
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_language_id": langid.op9_language_id,
         "op10_simhash": near_dup.op10_simhash,
         "op11_whitening": whitening.op11_whitening,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 

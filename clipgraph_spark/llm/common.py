@@ -57,6 +57,11 @@ def ascii_lower(col):
     return F.translate(col, upper, upper.lower())
 
 
+def let(value, use):
+    """use(value), with the column value worked out once."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, lm_score, media, mixing, near_dup, secret_scan, spelling, suffix_dedup, token_files, whitening
+from . import chat, decontam, langid, lm_score, media, mixing, near_dup, quality, secret_scan, spelling, suffix_dedup, token_files, whitening
 
 
 def queries():
@@ -18,9 +18,10 @@ def queries():
         "op9_language_id": langid.op9_language_id,
         "op10_simhash": near_dup.op10_simhash,
         "op11_whitening": whitening.op11_whitening,
+        "op12_quality_rules": quality.op12_quality_rules,
         "op13_spelling": spelling.op13_spelling,
     }
 
 
 def oracle_sql():
-    return {"op4_mix_sources": mixing.OP4_SQL, "op6_chat_format": chat.OP6_SQL, "op7_decontaminate": decontam.OP7_SQL}
+    return {"op4_mix_sources": mixing.OP4_SQL, "op6_chat_format": chat.OP6_SQL, "op7_decontaminate": decontam.OP7_SQL, "op12_quality_rules": quality.OP12_SQL}

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, table
+from .common import free_names, let, table
 
 # Fixed values of the contract: kind, pattern, the group whose length counts, and its least length.
 BASE = (
@@ -47,23 +46,19 @@ ALLOW = (
 MASKED = ((5, "dummy"), (6, "sample|x{6}"), (7, "example"), (8, "changeme|0{8}"), (10, "1234567890|abcdefghij"), (11, "placeholder"))
 #: 2 ** SCANS matches of one kind in a text are more than a text can have.
 SCANS = 31
-
-
-def _let(value: Column, use) -> Column:
-    """use(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+#: Counts of a window are packed, COUNT_BITS bits each, so many to a long.
+COUNT_BITS, PACKED = 5, 12
 
 
 def running(values: Column, add) -> Column:
     """The array of add() over each prefix of an array, by doubling the reach: about log2(n) passes over n values."""
-    for k in range(SCANS):
-        values = _let(values, partial(_reach, add, 1 << k))
-    return values
 
+    def reach(a: Column, k: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), k)
+        rest = F.size(a) - step
+        return F.when(rest > 0, F.concat(F.slice(a, F.lit(1), step), F.zip_with(F.slice(a, F.lit(1), rest), F.slice(a, step + 1, rest), add))).otherwise(a)
 
-def _reach(add, step: int, a: Column) -> Column:
-    rest = F.size(a) - step
-    return F.when(rest > 0, F.concat(F.slice(a, 1, step), F.zip_with(F.slice(a, F.lit(1), rest), F.slice(a, F.lit(step + 1), rest), add))).otherwise(a)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(SCANS - 1)), values, reach)
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
@@ -77,11 +72,11 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
 
     def place(x):
         ends = running(F.zip_with(x["gaps"], x["found"], lambda g, m: g + F.length(m)), lambda a, b: a + b)
-        return _let(ends, lambda e: F.transform(x["found"], lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("s"), F.get(e, i).alias("e"), F.get(x["sizes"], i).alias("n"), m.alias("v"))))
+        return let(ends, lambda e: F.transform(x["found"], lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("s"), F.get(e, i).alias("e"), F.get(x["sizes"], i).alias("n"), m.alias("v"))))
 
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    parts = _let(found, lambda f: F.struct(F.slice(gaps, F.lit(1), F.size(f)).alias("gaps"), f.alias("found"), sizes.alias("sizes")))
-    return F.when(F.regexp_like(text, F.lit(pattern)), _let(parts, place)).otherwise(empty)
+    parts = let(found, lambda f: F.struct(F.slice(gaps, F.lit(1), F.size(f)).alias("gaps"), f.alias("found"), sizes.alias("sizes")))
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(parts, place)).otherwise(empty)
 
 
 def _spans(matches: Column, kind: str, order: int, least: int) -> Column:
@@ -92,30 +87,48 @@ def _spans(matches: Column, kind: str, order: int, least: int) -> Column:
 def dense_part(value: Column, c: EntropyClass) -> Column:
     """struct(first, last): the first and last window of `value` whose entropy reaches the least, or first -1.
 
-    One pass: each step adds a character's count and takes off that of the character that leaves, and changes the sum
-    of n log2 n by these two counts alone; the entropy of a full window is log2(window) - sum / window.
+    The characters' codes are taken once; then one pass: each step adds the count of the character that enters, takes
+    off that of the one that leaves, and changes the sum of n log2 n by these two counts alone. The entropy of a full
+    window is log2(window) - sum / window.
     """
-    k = len(c.alphabet)
+    least = min(map(ord, c.alphabet))
+
+    def code(ch):
+        n = F.ascii(ch) - least
+        return F.struct(n.alias("n"), (n / PACKED).cast("int").alias("at"), (n % PACKED * COUNT_BITS).alias("bit"))
+
+    return let(F.transform(F.split(value, ""), code), lambda codes: _dense(codes, c, (max(map(ord, c.alphabet)) - least) // PACKED + 1))
+
+
+def _dense(codes: Column, c: EntropyClass, longs: int) -> Column:
+    if c.window >= 1 << COUNT_BITS:
+        raise ValueError(f"windows of at most {(1 << COUNT_BITS) - 1} characters")
     weight = F.array(*[F.lit(0.0 if n < 2 else n * math.log2(n)) for n in range(c.window + 2)])
-    index = lambda i: F.instr(F.lit(c.alphabet), F.substring(value, i, F.lit(1))) - 1
-    zero = F.struct(F.array_repeat(F.lit(0), k).alias("count"), F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("count"), F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"])
+    has = lambda count, x: F.call_function("shiftright", F.get(count, x["at"]), x["bit"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
 
     def step(acc, i):
-        new, old = index(i), F.when(i > c.window, index(i - c.window)).otherwise(F.lit(-1))
-        count = acc["count"]
-        has = F.get(count, new)
-        left = F.when(old == new, has + 1).otherwise(F.get(count, old))
-        total = acc["sum"] + F.get(weight, has + 1) - F.get(weight, has)
-        total = total + F.when(old >= 0, F.get(weight, left - 1) - F.get(weight, left)).otherwise(F.lit(0.0))
-        high = (i >= c.window) & (F.lit(math.log2(c.window)) - total / c.window >= c.least - 1e-9)
-        return F.struct(
-            F.transform(count, lambda x, j: x + F.when(j == new, 1).otherwise(0) - F.when(j == old, 1).otherwise(0)).alias("count"),
-            total.alias("sum"),
-            F.when(high & (acc["first"] < 0), i - c.window).otherwise(acc["first"]).alias("first"),
-            F.when(high, i).otherwise(acc["last"]).alias("last"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+        moved = F.struct(F.get(codes, i).alias("new"), F.when(i >= c.window, F.get(codes, i - c.window)).alias("old"))
+
+        def enter(x):
+            more = has(acc["count"], x["new"])
+            left = has(acc["count"], x["old"]) + (x["old"]["n"] == x["new"]["n"]).cast("int")
+            return let(F.struct(x["new"].alias("new"), x["old"].alias("old"), more.alias("more"), left.alias("left")), leave)
+
+        def leave(x):
+            total = acc["sum"] + F.get(weight, x["more"] + 1) - F.get(weight, x["more"]) + F.coalesce(F.get(weight, x["left"] - 1) - F.get(weight, x["left"]), F.lit(0.0))
+            count = F.transform(acc["count"], lambda n, j: n + F.when(j == x["new"]["at"], one(x["new"])).otherwise(0) - F.when(j == x["old"]["at"], one(x["old"])).otherwise(0))
+            return let(F.struct(count.alias("count"), total.alias("sum")), lambda y: judge(y["count"], y["sum"]))
+
+        def judge(count, total):
+            high = (i >= c.window - 1) & (F.lit(math.log2(c.window)) - total / c.window >= c.least - 1e-9)
+            first = F.when(high & (acc["first"] < 0), i - (c.window - 1)).otherwise(acc["first"])
+            return F.struct(count.alias("count"), total.alias("sum"), first.alias("first"), F.when(high, i + 1).otherwise(acc["last"]).alias("last"))
+
+        return let(moved, enter)
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
 def _masked(text: Column) -> Column:
@@ -145,9 +158,9 @@ def _outside(more: Column, base: Column) -> Column:
 
     def keep(x):
         reach = running(F.transform(x, lambda y: F.when(y["k"] == 0, y["e"]).otherwise(F.lit(-1))), lambda a, b: F.greatest(a, b))
-        return _let(reach, lambda r: F.filter(x, lambda y, i: (y["k"] == 1) & (F.get(r, i) < y["e"])))
+        return let(reach, lambda r: F.filter(x, lambda y, i: (y["k"] == 1) & (F.get(r, i) < y["e"])))
 
-    left = F.transform(_let(both, keep), lambda y: F.struct(y["s"].alias("s"), y["o"].alias("o"), y["e"].alias("e"), y["kind"].alias("kind")))
+    left = F.transform(let(both, keep), lambda y: F.struct(y["s"].alias("s"), y["o"].alias("o"), y["e"].alias("e"), y["kind"].alias("kind")))
     return F.when((F.size(more) == 0) | (F.size(base) == 0), more).otherwise(left)
 
 
@@ -169,7 +182,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     base = {n: _spans(_matches(F.col(t), p, g), k, i, least) for i, (n, (k, p, g, least)) in enumerate(zip(own, BASE, strict=True))}
     d = d.select(*keep, t, *[c.alias(n) for n, c in base.items()])
     d = d.withColumn(b, F.concat(*own))
-    more = _let(_masked(F.col(t)), lambda x: F.concat(*[_entropy_spans(x, c, len(BASE) + i) for i, c in enumerate(CLASSES)]))
+    more = let(_masked(F.col(t)), lambda x: F.concat(*[_entropy_spans(x, c, len(BASE) + i) for i, c in enumerate(CLASSES)]))
     # without a run of the least window's characters a text has no candidate
     could = F.regexp_like(t, F.lit(f"[A-Za-z0-9+/_=-]{{{min(c.window for c in CLASSES)},}}"))
     d = d.withColumn(m, F.when(could, more).otherwise(F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")))

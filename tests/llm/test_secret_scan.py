@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 from clipgraph_spark.llm.secret_scan import ALLOW, CLASSES, MASKED, scan
@@ -57,3 +59,16 @@ def test_many_matches(spark):
     n = 30000
     got = scan(spark.createDataFrame([(1, "token=abcdefgh " * n, "x", 3)], "doc_id long, text string, _text string, _base int"), ("doc_id", "_text", "_base")).first()
     assert (got["n_assign"], got["_text"], got["_base"]) == (n, "x", 3) and got["spans"].endswith(f"assign:{15 * n - 15}:{15 * n - 1}")
+
+
+def test_long_runs(spark):
+    """Unbroken random runs: the work is linear in a run's length."""
+    rng = random.Random(1)
+    run = lambda chars, n: "".join(rng.choices(chars, k=n))
+    base64 = "".join(map(chr, range(43, 123))).translate({ord(c): None for c in ",.:;<>?@[\\]^`"})
+    texts = [run(base64, 500_000), run(base64, 50_000) + "example" + run("ab", 3000) + run(base64, 500), run("0123456789ABCDEF", 50_000), "=" * 200_000 + run(base64, 40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {r["doc_id"]: tuple(r)[1:] for r in scan(df).collect()}
+    assert time.time() - began < 60
+    assert got == {i: brute(t) for i, t in enumerate(texts)}

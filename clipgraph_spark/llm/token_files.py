@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import struct
@@ -112,6 +113,18 @@ _TOKENIZERS: dict[str, Words] = {}
 CACHE_WORDS = 500_000
 #: Words of these characters have one lower case and one normal form, whatever stands beside them.
 SAFE = r"^[\x21-\x26\x28-\x7E\x{C0}-\x{12F}\x{131}-\x{17F}]+$"
+#: Fixed values, the format of tokenizers: lower case, white space dropped, punctuation apart from letters.
+WORD_WISE = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+#: Bytes of texts that are encoded whole at once.
+WHOLE_BYTES = 1 << 20
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -121,6 +134,16 @@ def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray, out: np.ndarr
     out[np.repeat(at, size) + inside] = pool[np.repeat(start, size) + inside]
 
 
+def _word_wise(tok) -> bool:
+    """Whether texts may be encoded word by word, in lower case and with punctuation apart.
+
+    So it is only where the tokenizer's own steps are known to make no difference: its normalizer and pre-tokenizer are
+    those of WORD_WISE and it neither truncates nor pads.
+    """
+    spec = json.loads(tok.to_str())
+    return all(spec[k] == WORD_WISE[k] for k in WORD_WISE)
+
+
 class Words:
     """Words with their ids, each encoded once by the tokenizer while it is in one of the two latest generations."""
 
@@ -129,6 +152,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.apart = _word_wise(self.tok)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -185,12 +209,15 @@ def default_tokenizer() -> str:
 def encode_texts(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts with an end id after each, and the number of ids of each text.
 
-    The tokenizer drops white space and no token crosses it, so texts are split at ASCII white space, and each distinct
-    word (which may hold other white space) is encoded as it stands.
+    Where the tokenizer drops white space and no token crosses it, texts are split at ASCII white space, and each
+    distinct word (which may hold other white space) is encoded as it stands. With any other tokenizer each text is
+    encoded whole.
     """
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = Words(path)
     n = len(texts)
+    if not _TOKENIZERS[path].apart:
+        return _whole(texts, _TOKENIZERS[path].tok, end_id)
     words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     coded = pc.list_flatten(words).dictionary_encode()
     pool, size = _TOKENIZERS[path].of(coded.dictionary)
@@ -202,6 +229,13 @@ def encode_texts(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.n
     return out, per_text
 
 
+def _whole(texts: pa.Array, tok, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    found = []
+    for b in slices([pa.record_batch([pc.fill_null(texts, "")], names=["text"])], WHOLE_BYTES):
+        found += [np.array([*e.ids, end_id], np.uint32) for e in tok.encode_batch_fast(b["text"].to_pylist(), add_special_tokens=False)]
+    return np.concatenate([np.empty(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+
 SHARD = "part int, seq int, n_docs int, n_tokens long, doc_ids array<long>, lens binary, payload binary"
 
 
@@ -211,7 +245,7 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
     Spark range-partitions the rows by doc_id and hash, so that a doc_id of very many rows takes several tasks; each
     task writes shards of about shard_tokens ids. A shard is a row of
     a Parquet table: its documents, their lengths, and the code bytes. Spark's commit keeps whole files only, so a
-    lost or doubled task does no harm. Null texts are empty, repeated rows stay, other columns are ignored, an empty
+    lost or doubled task does no harm. Any file of the tokenizers library gives its own ids. Null texts are empty, repeated rows stay, other columns are ignored, an empty
     table gives no shard.
     """
     path = tokenizer or default_tokenizer()

@@ -22,10 +22,10 @@ def test_codes_round_trip(ids):
         a[len(ids)]
 
 
-def plain(rows):
+def plain(rows, path=None):
     from tokenizers import Tokenizer
 
-    tok, start, out = Tokenizer.from_file(default_tokenizer()), 0, []
+    tok, start, out = Tokenizer.from_file(path or default_tokenizer()), 0, []
     for i, t in rows:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -41,3 +41,14 @@ def test_files(spark):
     got = [tuple(r) for r in read_token_files(write_token_files(df, shard_tokens=3000)).collect()]
     assert sorted(got, key=lambda r: r[1]) == plain([(r["doc_id"], r["text"]) for r in in_order])
     assert read_token_files(write_token_files(df.limit(0))).count() == 0
+
+
+def test_other_tokenizers(spark):
+    """A byte-level one keeps white space, case and punctuation in its tokens, so texts are encoded whole."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, r["text"]) for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect())]
+    rows += [(900, None), (901, "  Two  spaces,\tTABS\n\nand Capitals ΣΣ"), (902, "word, " * 300_000), (903, "")]
+    got = [tuple(r) for r in read_token_files(write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, shard_tokens=3000)).collect()]
+    assert sorted(got, key=lambda r: r[1]) == plain(rows, path)

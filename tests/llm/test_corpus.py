@@ -65,6 +65,34 @@ def test_mix_weights(spark):
     taken = Counter(r["_s"] for r in got if r["taken"])
     assert taken[9.0] > 4 * taken[1.0]
 
+def test_mix_shared_ids(spark):
+    """Rows that share an id, null ids among them, and equal rows are taken one by one: words stay near the targets."""
+    rows = [(7, "w " * 10, "x", i) for i in range(200)] + [(None, "w " * (i % 5) + f"t{i}", "y", i) for i in range(300)] + [(i, "v " * 10, None, i) for i in range(50)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(5)
+    got = mixing.mix(df, (3.0, 1.0, 1.0), 0.8).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    assert sorted((str(r["doc_id"]), r["text"], str(r["source"]), r["n"]) for r in got) == sorted((str(a), b, str(c), n) for a, b, c, n in rows)
+    for source in ("x", "y", None):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5
+    part = {r["times"] for r in got if r["source"] == "x"}
+    assert len(part) == 2, "one item, taken in part"
+    again = mixing.mix(df.repartition(3), (3.0, 1.0, 1.0), 0.8).collect()
+    key = lambda r: (str(r["doc_id"]), r["text"], str(r["source"]), r["taken"])
+    assert sorted(map(key, again)) == sorted(map(key, got))
+    docs = df.drop("n")
+    assert abs(mixing.stage_mix(spark, docs, DIR).where("source = 'x'").count() * 10 - mixing.mix(docs).where("source = 'x'").first()["target"]) <= 5
+
+
+def test_mix_sql_on_shared_ids(spark, tmp_path):
+    rows = [(i % 3, "w " * (1 + i % 4), "ab"[i % 2]) for i in range(60)] + [(None, "a b c", None)] * 40 + [(5, None, "a"), (None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({mixing.OP4_SQL})").fetchall()
+    assert sorted((tuple(map(norm, r)) for r in want), key=repr) == sorted((tuple(norm(r[c]) for c in cols) for r in mixing.op4_mix_sources(spark, str(tmp_path)).collect()), key=repr)
+
 
 def test_chat_edge_cases(spark):
     rows = [(1, 0, "assistant", "<|x|> <\\|y|>"), (1, 1, None, None), (2, None, "user", "a"), (2, 1, "assistant", "<|im_end|>\n<|im_start|>user\n"), (3, 0, "user\n<|r|>", "x")]

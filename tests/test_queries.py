@@ -4,7 +4,6 @@ import os
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from clipgraph_spark import registry
 
@@ -54,17 +53,3 @@ def test_hard_constraint_bounds(spark):
     ok, gone = ranking.hard_constraints(df)
     assert sorted(r["id"] for r in ok.collect()) == ["a", "b"]
     assert {r["id"]: r["reasons"] for r in gone.collect()} == {"c": ["duration_too_short"], "d": ["duration_too_long"], "e": ["score_too_low"], "f": ["excessive_gap"]}
-
-
-def test_streams_equal_batches(spark, tmp_path):
-    from clipgraph_spark.operators import telemetry
-    from clipgraph_spark.plans import bindings
-    from clipgraph_spark.streaming import events as st
-
-    e = telemetry.with_budget(bindings.events(spark, DIR), {"view": 100, "error": 200, "click": 50})
-    e.orderBy("seq").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
-    q = st.budget_enforcement(stream).writeStream.format("memory").queryName("budget").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    want = telemetry.budget_enforcement(bindings.events(spark, DIR), {"view": 100, "error": 200, "click": 50}).select("seq", F.col("warnings").cast("int"), "disabled")
-    assert sorted(map(tuple, spark.sql("SELECT seq, warnings, disabled FROM budget").collect())) == sorted(map(tuple, want.collect()))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,28 +142,53 @@ def confidence_level(conf: Column) -> Column:
     return T.steps((conf >= 0.85, "high"), (conf >= 0.60, "moderate"), (conf >= 0.40, "low"), otherwise="no_trust")
 
 
+TIE = 0.001
+
+
+def _swapped(scores: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The order that swapping neighbours pair by pair leaves: each place takes, from left to right, every later row
+    within TIE of the one it holds and with a lesser key. Each search for the next such row is one array operation."""
+    at = np.arange(len(scores))
+    for i in range(len(at) - 1):
+        j = i + 1
+        while j < len(at):
+            held = at[i]
+            hit = np.flatnonzero((np.abs(scores[at[j:]] - scores[held]) < TIE) & (keys[at[j:]] < keys[held]))
+            if not len(hit):
+                break
+            j += int(hit[0])
+            at[i], at[j] = at[j], at[i]
+            j += 1
+    return at
+
+
 def tie_break(c: DataFrame, exact: bool = False) -> DataFrame:
-    """Adds position: by final score, and between scores within 0.001 by confidence, hook, duration and place.
+    """Adds position: by final score, and between scores within TIE by confidence, hook, duration and place.
 
-    The default sorts by scores rounded to 0.001 and then these keys; with exact=True neighbours are swapped pair by
-    pair in each job, which is no sort, as being within 0.001 is not transitive.
+    The default sorts by scores rounded to 0.001 and then these keys. With exact=True rows are swapped pair by pair,
+    which is no sort, as being within TIE is not transitive: sorted by score, rows fall into chains whose neighbours
+    are within TIE, and only rows of one chain ever swap. Chains of one row, most of them, stay as they are; a longer
+    one is a group of its own.
     """
     keys = [F.desc(F.round("final_score", 3)), F.desc("overall_confidence"), F.desc("hook_quality_score"), F.asc("duration"), F.asc("hook_start"), F.asc("id")]
     if not exact:
         return c.withColumn("position", F.row_number().over(Window.partitionBy("job_id").orderBy(*keys)))
+    by_score = Window.partitionBy("job_id").orderBy(F.desc("final_score"), "id")
+    far = ~(F.lag("final_score").over(by_score) - F.col("final_score") < TIE)
+    small = c.select("job_id", "id", "final_score", "overall_confidence", "hook_quality_score", "duration", "hook_start")
+    small = small.withColumns({"_at": F.row_number().over(by_score), "_far": F.coalesce(far, F.lit(True)).cast("int")}).withColumn("_chain", F.sum("_far").over(by_score))
+    small = small.withColumn("_n", F.count("*").over(Window.partitionBy("job_id", "_chain")))
 
     def swap(pdf):
-        rows = pdf.sort_values(["final_score", "id"], ascending=[False, True], kind="stable").to_dict("records")
-        key = lambda r: (-r["overall_confidence"], -r["hook_quality_score"], r["duration"], r["hook_start"])
-        for i in range(len(rows)):
-            for j in range(i + 1, len(rows)):
-                if abs(rows[i]["final_score"] - rows[j]["final_score"]) < 0.001 and key(rows[j]) < key(rows[i]):
-                    rows[i], rows[j] = rows[j], rows[i]
-        return type(pdf)([{"job_id": r["job_id"], "id": r["id"], "position": n + 1} for n, r in enumerate(rows)])
+        rows = pdf.sort_values("_at")
+        keys_ = np.column_stack([-rows["overall_confidence"], -rows["hook_quality_score"], rows["duration"], rows["hook_start"]])
+        rank_ = np.unique(keys_, axis=0, return_inverse=True)[1].reshape(-1)
+        ids = rows["id"].to_numpy()[_swapped(rows["final_score"].to_numpy(), rank_)]
+        return pd.DataFrame({"job_id": rows["job_id"].to_numpy(), "id": ids, "position": rows["_at"].to_numpy()})
 
-    small = c.select("job_id", "id", "final_score", "overall_confidence", "hook_quality_score", "duration", "hook_start")
     id_type = small.schema["job_id"].dataType.simpleString()
-    return c.join(small.groupBy("job_id").applyInPandas(swap, f"job_id {id_type}, id string, position int"), ["job_id", "id"])
+    moved = small.where("_n > 1").groupBy("job_id", "_chain").applyInPandas(swap, f"job_id {id_type}, id string, position int")
+    return c.join(small.where("_n = 1").select("job_id", "id", F.col("_at").alias("position")).unionByName(moved), ["job_id", "id"])
 
 
 def mmr_top_k(c: DataFrame, k: int = 20, quality: float = 0.7, diversity: float = 0.3, similarity=T.bucket_cosine, score: str = "final_score", order: str = "position", vector: str = "v") -> DataFrame:
@@ -194,6 +222,24 @@ def mmr_top_k(c: DataFrame, k: int = 20, quality: float = 0.7, diversity: float
     return c.join(kept, ["job_id", "id"]).withColumn("final_rank", rank)
 
 
+def mmr_top_k_large(c: DataFrame, keep: Callable[[DataFrame], DataFrame], k: int = 20, quality: float = 0.7, diversity: float = 0.3, similarity=T.bucket_cosine, score: str = "final_score", order: str = "position", vector: str = "v") -> DataFrame:
+    """mmr_top_k for jobs too large for one row: a round is one max_by per job, pre-aggregated, joined back to its rows.
+
+    `keep` cuts lineage after a round, by a written table for instance.
+    """
+    sizes = c.groupBy("job_id").agg((F.count("*") > k).alias("_big"))
+    rows = c.select("job_id", "id", F.col(order).alias("o"), F.col(score).alias("s"), F.col(vector).alias("v")).join(sizes, "job_id")
+    chosen = rows.where(~F.col("_big")).select("job_id", "id")
+    left = keep(rows.where("_big").drop("_big").withColumn("m", F.lit(0.0)))
+    for _ in range(k):
+        value = F.round(quality * F.col("s") - diversity * F.col("m"), 9)
+        best = keep(left.groupBy("job_id").agg(F.max_by(F.struct("id", "v"), F.struct(value.alias("value"), (-F.col("o")).alias("o"))).alias("b")))
+        chosen = chosen.unionByName(best.select("job_id", "b.id"))
+        left = keep(left.join(best, "job_id").where(F.col("id") != F.col("b.id")).withColumn("m", F.greatest("m", F.round(similarity(F.col("v"), F.col("b.v")), 9))).drop("b"))
+    rank_ = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc(score), order))
+    return c.join(chosen, ["job_id", "id"], "left_semi").withColumn("final_rank", rank_)
+
+
 def explain(ranked: DataFrame) -> DataFrame:
     """Adds explanation: rank and score, strongest and weakest stage, and the lead over the next."""
     stages = F.array(*[F.struct(F.col(f"{s}_score").alias("s"), F.lit(-i).alias("i"), F.lit(s).alias("n")) for i, s in enumerate(("hook_quality", "narrative", "context", "density", "retention", "novelty"))])

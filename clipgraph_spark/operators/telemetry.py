@@ -8,28 +8,36 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_BUDGET_MS, STAGE_BUDGETS
 
 
-BINS = 1 << 16
+#: Accuracy of the sketch that brackets percentiles: its ranks are off by at most a stage's rows over this.
+SKETCH = 20_000
 
 
 def latency_stats(events: DataFrame, stage: str = "stage", value: str = "elapsed_ms") -> DataFrame:
     """(stage, n, p50, p95, max): p50 is the middle or the mean of the two, p95 the element max(0, int(.95 n) - 1).
 
-    Values are counted in BINS equal bins between a stage's least and largest one; running sums over the bins tell in
-    which bins the places sought lie, and only these bins' values are counted one by one and sorted.
+    A mergeable sketch gives, for each place sought, two values between which it must lie: about 6 in SKETCH of a
+    stage's rows, however its values are spread, or all rows of a stage of up to SKETCH. Rows below are counted, those
+    between are counted by value, and only these counts are sorted.
     """
-    range_ = events.where(F.col(value).isNotNull()).groupBy(F.col(stage).alias("_s")).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("all"))
-    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int")
-    e = events.select(stage, value).where(F.col(value).isNotNull()).join(range_, F.col(stage).eqNullSafe(F.col("_s"))).withColumn("bin", bin_)
-    bins = e.groupBy("_s", "bin", "all").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("_s").orderBy("bin"))
-    places = F.array(F.greatest(F.lit(0), F.floor(F.col("all") * 95 / 100) - 1), F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2))
-    bins = bins.withColumns({"before": upto - F.col("n"), "at": places})
-    sought = bins.where(F.exists("at", lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n")))).select(F.col("_s").alias("_t"), F.col("bin").alias("_b"), "before", "at")
-    few = e.join(sought, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("bin") == F.col("_b"))).groupBy("_s", "bin", value, "before", "at").agg(F.count("*").alias("n"))
-    few = few.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("_s", "bin").orderBy(value)))
-    pick = lambda i: F.min(F.when(F.col("upto") > F.get("at", F.lit(i)), F.col(value)))
-    found = few.groupBy(F.col("_s").alias("_t")).agg(((pick(1) + pick(2)) / 2).alias("p50"), pick(0).alias("p95"))
-    return range_.join(found, F.col("_s").eqNullSafe(F.col("_t"))).select(F.col("_s").alias(stage), F.col("all").alias("n"), "p50", "p95", F.col("hi").alias("max"))
+    e = events.where(F.col(value).isNotNull()).select(F.col(stage).alias("_s"), F.col(value).alias("_v"))
+    reach = 3 / SKETCH  # the sketch's own error, and the ranks' rounding
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(p) for p in (0.5 - reach, 0.5 + reach, 0.95 - reach, min(1.0, 0.95 + reach))]), SKETCH)
+    per = e.groupBy("_s").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), sketch.alias("q"))
+    few = F.col("n") <= SKETCH
+
+    def place(kind, first, last, at):
+        low, high = (F.when(few, end).otherwise(F.get("q", F.lit(i))) for end, i in ((F.col("lo"), at), (F.col("hi"), at + 1)))
+        return F.struct(F.lit(kind).alias("kind"), first.cast("long").alias("first"), last.cast("long").alias("last"), low.alias("low"), high.alias("high"))
+
+    p95 = F.greatest(F.lit(0), F.floor(F.col("n") * 95 / 100) - 1)
+    both = F.array(place("p50", F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2), 0), place("p95", p95, p95, 2))
+    sought = per.select(F.col("_s").alias("_t"), F.explode(both).alias("p")).select("_t", "p.*")
+    near = e.join(sought, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_v") <= F.col("high")))
+    counts = near.groupBy("_s", "kind", "first", "last", F.when(F.col("_v") >= F.col("low"), F.col("_v")).alias("v")).agg(F.count("*").alias("c"))
+    counts = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("_s", "kind").orderBy(F.col("v").asc_nulls_first())))
+    at = lambda p, kind: F.min(F.when((F.col("kind") == kind) & (F.col("upto") > F.col(p)), F.col("v")))
+    found = counts.groupBy(F.col("_s").alias("_t")).agg(((at("first", "p50") + at("last", "p50")) / 2).alias("p50"), at("first", "p95").alias("p95"))
+    return per.join(found, F.col("_s").eqNullSafe(F.col("_t"))).select(F.col("_s").alias(stage), "n", "p50", "p95", F.col("hi").alias("max"))
 
 
 def running_sum(events: DataFrame, key: str, amount: Column, out: str, span: str = "hour") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,10 +95,38 @@ def detect_role(segments: DataFrame) -> DataFrame:
     return segments.withColumn("role", T.steps((hook, "hook"), (ending, "ending"), (T.has_any(t, ("haha", "lol", "omg")), "reaction"), otherwise="body"))
 
 
+def pack_large(items: DataFrame, size: str, limit: float, keep: Callable[[DataFrame], DataFrame], order: str = "ord") -> DataFrame:
+    """pack() for jobs too large for one row: each item's next bin start is found by one sort, and the starts that
+    occur by doubling the reach of these pointers, in about log2(bins) joins.
+
+    Sums are exact to six decimals (not of floats, added one by one), sizes are not negative, and `order` has no ties.
+    `keep` cuts lineage after a round, by a written table for instance.
+    """
+    w = Window.partitionBy("job_id").orderBy("o")
+    rows = items.select("job_id", F.col(order).alias("o"), F.col(size).cast("decimal(28,6)").alias("s")).withColumns({"i": F.row_number().over(w) - 1, "upto": F.sum("s").over(w)})
+    rows = keep(rows)
+    ends = rows.select("job_id", F.col("upto").alias("v"), F.lit(1).alias("kind"), "i")
+    asks = rows.select("job_id", (F.col("upto") - F.col("s") + F.lit(limit).cast("decimal(28,6)")).alias("v"), F.lit(2).alias("kind"), "i")
+    fits = F.count_if(F.col("kind") == 1).over(Window.partitionBy("job_id").orderBy("v", "kind").rangeBetween(Window.unboundedPreceding, 0))
+    found = ends.unionByName(asks).withColumn("to", fits).where("kind = 2")
+    n = rows.groupBy("job_id").agg(F.count("*").alias("n"))
+    jump = keep(found.select("job_id", "i", F.greatest("to", F.col("i") + 1).alias("to")).join(n, "job_id").where("to < n").drop("n"))
+    starts = new = keep(rows.where("i = 0").select("job_id", "i"))
+    while True:
+        new = keep(starts.join(jump, ["job_id", "i"]).select("job_id", F.col("to").alias("i")))
+        if new.isEmpty():
+            break
+        starts = starts.unionByName(new)
+        jump = keep(jump.join(jump.select("job_id", F.col("i").alias("to"), F.col("to").alias("next")), ["job_id", "to"]).select("job_id", "i", F.col("next").alias("to")))
+    marked = rows.join(starts.withColumn("first", F.lit(1)), ["job_id", "i"], "left")
+    bins = marked.select("job_id", F.col("o").alias(order), (F.sum(F.coalesce("first", F.lit(0))).over(w) - 1).cast("int").alias("bin"))
+    return items.join(bins, ["job_id", order])
+
+
 def pack(items: DataFrame, size: str, limit: float, order: str = "ord") -> DataFrame:
     """Adds `bin`: items of a job are packed in order while their sum stays within the limit; a larger one stands alone.
 
-    A running fold over the job's sizes only; the texts do not go into the array.
+    A running fold over the job's sizes only; the texts do not go into the array. pack_large has no array of a job.
     """
     row = F.struct(F.col(order).alias("o"), F.col(size).cast("double").alias("s"))
     sizes = items.groupBy("job_id").agg(F.array_sort(F.collect_list(row)).alias("_a"))

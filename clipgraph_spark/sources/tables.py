@@ -12,11 +12,18 @@ TRANSCRIPT = "job_id string, merged_text string, chunks array<struct<chunk_id:st
 MEDIA = ("mp4", "mov", "mkv", "webm", "m4v")
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One row per chunk of nested transcript JSON documents."""
-    t = spark.read.schema(TRANSCRIPT).json(path, multiLine=True)
-    c = t.select("job_id", F.posexplode("chunks").alias("chunk_idx", "c"))
-    return c.select("job_id", "chunk_idx", "c.chunk_id", F.col("c.start").alias("start_s"), F.col("c.end").alias("end_s"), "c.text", F.coalesce("c.confidence", F.lit(0.0)).alias("confidence"))
+    return scan_transcripts(spark, path, multi_line)[0]
+
+
+def scan_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(chunks, bad): one row per chunk, and (path, raw) of each document that is no readable transcript."""
+    raw = spark.read.text(path, wholetext=multi_line).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("_path"))
+    t = raw.select("_path", F.from_json("value", f"{TRANSCRIPT}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("t")).select("_path", "t.*")
+    c = t.where("_bad is null").select("job_id", F.posexplode("chunks").alias("chunk_idx", "c"))
+    chunks = c.select("job_id", "chunk_idx", "c.chunk_id", F.col("c.start").alias("start_s"), F.col("c.end").alias("end_s"), "c.text", F.coalesce("c.confidence", F.lit(0.0)).alias("confidence"))
+    return chunks, t.where("_bad is not null").select(F.col("_path").alias("path"), F.col("_bad").alias("raw"))
 
 
 def write_transcripts(chunks: DataFrame, merged: DataFrame, path: str) -> None:
@@ -32,6 +39,14 @@ def write_stage(df: DataFrame, path: str, stage: str, buckets: int | None = None
     return df.sparkSession.read.parquet(out)
 
 
+def replace_partitions(df: DataFrame, path: str, stage: str, by: str) -> DataFrame:
+    """Writes a stage's dataset in partitions of `by`; partitions that `df` has take the place of those there, all others
+    stay. Reads the whole dataset back, so that filters on `by` read their partitions only."""
+    out = f"{path}/{stage}"
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def write_vectors(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -67,17 +82,21 @@ def allowed_media(files: DataFrame, most: int = 2 << 30) -> DataFrame:
     return files.where(ext.isin(*MEDIA) & (F.col("length") > 0) & (F.col("length") <= most))
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Writes `df` to the folder that the cluster shares (spark.checkpoint.dir) and reads it back: cuts lineage.
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new folder in the one that the cluster shares (spark.checkpoint.dir).
 
     A temporary folder stands in only where that setting is unset and all of Spark runs in one process.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.gettempdir() + "/clipgraph-" + spark.sparkContext.applicationId
-    path = f"{base}/clipgraph/{label}-{uuid.uuid4().hex}"
+    return f"{base}/clipgraph/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Writes `df` to the shared folder and reads it back: cuts lineage."""
+    path = work_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -32,10 +32,11 @@ ENGLISH = Lexicon(
 INVENTED = Lexicon((r"^(the|of|and|in|to|le|la|de|die|der|el|en)\s",), (), (r"(the|of|and|in|la|de|die|der)\.$", r"(er|on)\.$"), ())
 # Words without content, and pronouns.
 STOP_WORDS = (
-    "the a an is are was were in on at to for of and or but it that this with as by from be been being have has had do does did will would "
-    "can could may might shall should not no nor so if then than too very just about also more some any each every all both few most other "
-    "into over such only own same"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "in", "on", "at", "to", "for", "of", "and", "or", "but", "it", "that", "this", "with", "as", "by",
+    "from", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "can", "could", "may", "might", "shall", "should",
+    "not", "no", "nor", "so", "if", "then", "than", "too", "very", "just", "about", "also", "more", "some", "any", "each", "every", "all", "both",
+    "few", "most", "other", "into", "over", "such", "only", "own", "same",
+)
 PRONOUNS = ("he", "she", "it", "they", "him", "her", "his", "their")
 CURIOSITY = ("secret", "truth", "why", "how", "never", "always", "actually")
 HOOK_OBJECTIVE_WORDS = ("secret", "truth", "why", "how", "never", "always")

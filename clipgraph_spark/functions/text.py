@@ -174,3 +174,8 @@ def let(value: Column, body) -> Column:
 def round4(c: Column) -> Column:
     """Four decimals; halves go up, also where the double lies a little below them."""
     return F.floor(c * 10000 + 0.500001) / 10000
+
+
+def task_id(job_id: Column, stage: Column, prompt: Column, chunk: Column) -> Column:
+    """job, stage, the first 8 hex digits of the prompt's md5, and the chunk, joined by underscores: the same on every run."""
+    return F.concat_ws("_", job_id.cast("string"), stage, F.substring(F.md5(prompt), 1, 8), chunk.cast("string"))

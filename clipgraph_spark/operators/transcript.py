@@ -245,13 +245,23 @@ def parse_annotations(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def parse_boundaries(raw: DataFrame) -> DataFrame:
     """Story boundaries from JSON in `raw`: one row for each story, idx being its place; missing confidences are 0.5,
     and the semantic confidence is that of the boundary."""
+    return scan_boundaries(raw)[0]
+
+
+def scan_boundaries(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """parse_boundaries(), and what is bad: (job_id, place, reason). JSON that cannot be read, or has no stories, is bad
+    as a whole (place -1); a story without segments is bad by itself, and still a row."""
     none = F.array().cast("array<string>")
-    s = raw.select("job_id", F.posexplode(F.from_json("raw", BOUNDARIES)["stories"]).alias("idx", "s")).select("job_id", "idx", "s.*")
+    p = raw.withColumn("_j", F.from_json("raw", BOUNDARIES))
+    bad = p.where(F.col("_j.stories").isNull()).select("job_id", F.lit(-1).alias("place"), F.lit("invalid_json").alias("reason"))
+    s = p.select("job_id", F.posexplode("_j.stories").alias("idx", "s")).select("job_id", "idx", "s.*")
+    empty = s.where(F.coalesce(F.size("boundary_segments"), F.lit(0)) <= 0).select("job_id", F.col("idx").alias("place"), F.lit("no_segments").alias("reason"))
     s = s.withColumns({c: F.coalesce(c, F.lit(0.5)) for c in CONFIDENCES})
-    return s.select(
+    stories = s.select(
         "job_id", "idx", F.array(F.coalesce("block_id", F.lit(0))).alias("block_ids"), F.coalesce("boundary_segments", none).alias("segments"), F.coalesce("suggested_name", F.lit("")).alias("name"),
         F.coalesce("story_summary", F.lit("")).alias("summary"), *CONFIDENCES, F.col("boundary_confidence").alias("semantic_confidence"), F.coalesce("ambiguous_segments", none).alias("ambiguous_segments"),
     )
+    return stories, bad.unionByName(empty)
 
 
 def prompt_text(batches: DataFrame, segments: DataFrame, summaries: DataFrame | None = None, instructions: str = "") -> DataFrame:

@@ -74,9 +74,9 @@ def ranking_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips(spark, sf_dir).withColumnRenamed("total_score", "raw_score")
 
 
-def raw_annotations(segs: DataFrame) -> DataFrame:
+def raw_annotations(segs: DataFrame, spoil: bool = False) -> DataFrame:
     """Each job's annotations and the links between neighbours as a model's JSON; fields are missing in every third
-    segment, the first relation of a job lacks its type, and every tenth job's text is cut off."""
+    segment and the first relation of a job lacks its type. With spoil, every tenth job's text is no JSON."""
     third = F.col("ord") % 3 == 0
     item = F.struct(
         F.when((F.col("ord") % 11 != 10), F.col("segment_id")).alias("segment_id"), F.when(~third, F.col("kind")).alias("story_role"), F.concat(F.lit("t"), F.col("ord") % 5).alias("topic"),
@@ -88,6 +88,11 @@ def raw_annotations(segs: DataFrame) -> DataFrame:
     s = segs.select("job_id", "ord", item.alias("item"), link.alias("link"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c])
     raw = s.groupBy("job_id").agg(F.to_json(F.struct(in_order("item").alias("annotations"), in_order("link").alias("relationships"))).alias("raw"))
+    return spoiled(raw) if spoil else raw
+
+
+def spoiled(raw: DataFrame) -> DataFrame:
+    """Every tenth job's text is no JSON, so that bad rows can be told."""
     return raw.withColumn("raw", F.when(F.col("job_id") % 10 == 0, F.concat(F.lit("not json "), "raw")).otherwise(F.col("raw")))
 
 
@@ -115,5 +120,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events: key is the user, stage and name the type, value stands for milliseconds and tokens."""
-    e = table(spark, sf_dir, "events")
+    return as_events(table(spark, sf_dir, "events"))
+
+
+def as_events(e: DataFrame) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("key"), F.col("user_id").alias("job_id"), F.col("event_type").alias("name"), F.col("event_type").alias("stage"), (F.col("value") * 10).alias("elapsed_ms"), F.floor("value").cast("long").alias("tokens"), (F.col("event_type") != "error").alias("ok"), (F.col("value") > 40).alias("rate_limited"))

@@ -16,6 +16,7 @@ from .operators import features as FE
 from .operators import graph as G
 from .operators import objectives as O
 from .operators import ranking as R
+from .operators import strategies as ST_SPLIT
 from .operators import stories as K
 from .operators import telemetry as P
 from .operators import topics as TP
@@ -23,6 +24,8 @@ from .operators import transcript as TR
 from .plans import bindings as B
 from .sources import tables as S
 from .streaming import events as ST
+from .streaming import ordered as OR
+from .streaming.sinks import BatchTable
 
 QUERIES, SQL = {}, {}
 
@@ -69,6 +72,12 @@ def _(spark, d):
     return c.groupBy("job_id", "bucket").agg(F.count("*").alias("n"))
 
 
+@query("b15_task_id", sql.B_TASKS)
+def _(spark, d):
+    c = B.table(spark, d, "conversations").select(F.col("conv_id").alias("job_id"), "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return c.select("job_id", "turn", T.task_id(F.col("job_id"), F.lit("annotate"), F.col("text"), F.col("turn")).alias("task_id"))
+
+
 @query("c1_chunk_plan", sql.C_PLAN)
 def _(spark, d):
     return TR.chunk_plan(_media(spark, d)).select("job_id", "duration", "chunk_s", "overlap_s", "workers")
@@ -119,6 +128,23 @@ def _(spark, d):
     return TR.split_allocation(TR.pack_text(docs, 400), 2000)
 
 
+def _paragraphs(spark, d) -> DataFrame:
+    """The paragraphs of documents as C10 takes them, with their token estimates."""
+    docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("job_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    p = docs.select("job_id", F.posexplode(F.split("text", "\n\n")).alias("ord", "part")).where(F.trim("part") != "")
+    return p.select("job_id", "ord", T.token_estimate(F.col("part")).cast("double").alias("size"))
+
+
+@query("c10_pack_large", sql.C_PIECE_BINS)
+def _(spark, d):
+    return TR.pack_large(_paragraphs(spark, d), "size", 400.0, S.materialize).select("job_id", "ord", "bin")
+
+
+@query("c10_user_strategy", sql.C_PIECE_BINS)
+def _(spark, d):
+    return ST_SPLIT.split_by(_paragraphs(spark, d), ST_SPLIT.Greedy, 400.0)
+
+
 @query("c12_validate_payload", sql.C_PAYLOAD)
 def _(spark, d):
     t = B.table(spark, d, "documents").select(F.col("doc_id").alias("job_id"), T.token_estimate(F.col("text")).cast("long").alias("input_tokens"), (F.length("text") % 3000).cast("long").alias("output_tokens"))
@@ -148,7 +174,7 @@ def _(spark, d):
 
 @query("c14_bad_rows", sql.C_BAD)
 def _(spark, d):
-    return TR.parse_annotations(B.raw_annotations(B.segments(spark, d)))[2]
+    return TR.parse_annotations(B.raw_annotations(B.segments(spark, d), spoil=True))[2]
 
 
 @query("c15_parse_boundaries", sql.C_BOUNDARIES)
@@ -157,6 +183,11 @@ def _(spark, d):
     return b.withColumns({c: F.array_join(c, ",") for c in ("segments", "ambiguous_segments")} | {"block_ids": F.get("block_ids", F.lit(0))})
 
 
+@query("c15_bad_boundaries", sql.C_BAD_BOUNDARIES)
+def _(spark, d):
+    return TR.scan_boundaries(B.spoiled(B.raw_boundaries(B.segments(spark, d))))[1]
+
+
 @query("c16_prompt_text", sql.C_PROMPT)
 def _(spark, d):
     s = B.segments(spark, d)
@@ -208,6 +239,19 @@ def _(spark, d):
     return FE.representative_excerpt(v)
 
 
+@query("e1_embed_stored", sql.E_STORED)
+def _(spark, d):
+    """Texts of all turns embedded into a store, and read from it once more: the second run embeds nothing."""
+
+    def load():
+        return lambda texts: texts.map(lambda t: [float(len(t)), float(len(t.split(" ")))])
+
+    turns, store = B.table(spark, d, "conversations"), S.work_path(spark, "embeddings")
+    TP.embed_stored(turns, store, load)
+    e = TP.embed_stored(turns, store, load)
+    return e.select(F.col("conv_id").alias("job_id"), "turn", F.get("embedding", F.lit(0)).alias("chars"), F.get("embedding", F.lit(1)).alias("pieces"))
+
+
 @query("e2_dynamic_windows")
 def _(spark, d):
     return TP.dynamic_windows(B.segments(spark, d))
@@ -294,6 +338,17 @@ def _(spark, d):
     return o.select("job_id", "id", *[F.round(F.col(n)["score"], 6).alias(n) for n in O.REGISTRY], "overall_score")
 
 
+@query("h_failing_objective", sql.H_FAILING)
+def _(spark, d):
+    own = {
+        "ratio": lambda: F.struct(F.try_divide(F.lit(1.0), F.floor(F.col("end_s") - F.col("start_s")) % 4).alias("score"), F.lit(0.9).alias("confidence"), F.lit("success").alias("status")),
+        "lost": lambda: O._result(F.col("no_such_column"), 1.0),
+        "half": lambda: O._result(0.5, 0.5),
+    }
+    o = O.score_objectives(C.to_scored(B.clips(spark, d)), own)
+    return o.select("job_id", "id", F.round("ratio.score", 6).alias("ratio"), F.col("ratio.status").alias("ratio_status"), F.col("lost.status").alias("lost_status"), "overall_score")
+
+
 @query("i1_greedy_dedup", sql.I_GREEDY)
 def _(spark, d):
     return D.greedy_dedup(B.order_sets(spark, d), threshold=0.1)[1].select("job_id", "id", "similar_to", "similarity")
@@ -472,6 +527,13 @@ def _(spark, d):
     return R.narrative(R.with_vectors(B.ranking_candidates(spark, d))).select("job_id", "id", "narrative_score", "narrative_confidence", "raw_score")
 
 
+@query("m9_tie_break_exact")
+def _(spark, d):
+    c = R.with_vectors(B.ranking_candidates(spark, d))
+    scored = R.final_score(R.novelty(R.retention(R.density(R.hook_quality(R.context(R.narrative(c)))))))
+    return R.tie_break(scored, exact=True).select("job_id", "id", "final_score", "position")
+
+
 @query("m13_rank")
 def _(spark, d):
     return R.rank(B.ranking_candidates(spark, d), 5)[0].select("job_id", "id", "final_rank", "final_score", "overall_confidence", "novelty_score", "explanation")
@@ -546,6 +608,23 @@ def _(spark, d):
     return EV.snapshot(B.chunks(spark, d), "chunks", {"pace": "2.5"}).select("stage", "job_id", "n_rows")
 
 
+@query("a1_transcripts", sql.A_TRANSCRIPTS)
+def _(spark, d):
+    """Chunks written as nested transcripts and read back."""
+    path, c = S.work_path(spark, "transcripts"), B.chunks(spark, d).withColumn("confidence", F.lit(None).cast("double"))
+    S.write_transcripts(c, TR.merge_transcripts(c), path)
+    return S.read_transcripts(spark, path, multi_line=False)
+
+
+@query("a2_replaced_partitions", sql.A_REPLACED)
+def _(spark, d):
+    """documents by language, then one language written anew."""
+    path, docs = S.work_path(spark, "stages"), B.table(spark, d, "documents").where("lang IS NOT NULL").select("doc_id", "n_chars", "lang")
+    S.replace_partitions(docs.withColumn("version", F.lit("old")), path, "documents", "lang")
+    out = S.replace_partitions(docs.where("lang = 'en'").withColumn("version", F.lit("new")), path, "documents", "lang")
+    return out.groupBy("lang", "version").agg(F.count("*").alias("n_rows"), F.sum("n_chars").alias("n_chars"))
+
+
 @query("a7_allowed_media", sql.A_MEDIA)
 def _(spark, d):
     p = B.table(spark, d, "pages")
@@ -607,6 +686,34 @@ def _(spark, d):
     return P.failure_runs(B.events(spark, d)).select("key", "run", "weight", "failures")
 
 
+def _streamed(spark, d, make, schema: str) -> DataFrame:
+    """What a keyed stream over events gives out, in a table of batches."""
+    old = spark.conf.get(OR.STORE[0], None)
+    spark.conf.set(*OR.STORE)
+    try:
+        stream = spark.readStream.schema(B.table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+        path = S.work_path(spark, "events")
+        table = BatchTable(spark, f"{path}/table")
+        make(B.as_events(stream)).writeStream.foreachBatch(table.write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if old is None:
+            spark.conf.unset(OR.STORE[0])
+        else:
+            spark.conf.set(OR.STORE[0], old)
+    return table.read(schema)
+
+
+@query("p3_budget_stream", sql.P_ENFORCE_STREAM)
+def _(spark, d):
+    make = lambda e: OR.budget_enforcement(P.with_budget(e, _STAGES), idle="3650 days")
+    return _streamed(spark, d, make, "stage string, seq long, warnings int, disabled boolean")
+
+
+@query("p8_alarm_stream", sql.P_ALARMS)
+def _(spark, d):
+    return _streamed(spark, d, lambda e: OR.failure_alarms(e, idle="3650 days"), "key long, seq long, weight int")
+
+
 @query("p9_job_status", sql.P_STATUS)
 def _(spark, d):
     e = B.events(spark, d)

@@ -193,12 +193,12 @@ C_PARSE = _with(
  CASE WHEN ord % 3 = 0 THEN 0 ELSE round(least(1::DOUBLE, end_s / 100), 6) END::DOUBLE AS ending_strength, 0::DOUBLE AS curiosity_score, 0::DOUBLE AS information_density,
  CASE WHEN ord % 3 = 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS standalone_score, 0.5::DOUBLE AS completeness_score, 0.5::DOUBLE AS confidence_score, ord % 3 <> 0 AND ord % 2 = 0 AS topic_transition,
  CASE WHEN ord % 3 = 0 THEN '' ELSE array_to_string(string_split(text, ' ')[1:2], ',') END AS key_entities, '' AS keywords
-FROM segments WHERE job_id % 10 <> 0 AND ord % 11 <> 10""",
+FROM segments WHERE ord % 11 <> 10""",
 )
 C_RELATIONS = _with(
     _SEGMENTS,
     """SELECT * FROM (SELECT job_id, segment_id AS source_id, lead(segment_id) OVER (PARTITION BY job_id ORDER BY ord) AS target_id, CASE WHEN ord > 0 THEN 'follows' END AS relation_type,
- CASE WHEN ord % 2 = 0 THEN ord / 8::DOUBLE ELSE 0.5 END::DOUBLE AS confidence, '' AS reason FROM segments) WHERE target_id IS NOT NULL AND relation_type IS NOT NULL AND job_id % 10 <> 0""",
+ CASE WHEN ord % 2 = 0 THEN ord / 8::DOUBLE ELSE 0.5 END::DOUBLE AS confidence, '' AS reason FROM segments) WHERE target_id IS NOT NULL AND relation_type IS NOT NULL""",
 )
 C_BAD = _with(
     _SEGMENTS,
@@ -479,3 +479,26 @@ P_SESSIONS = _with(
 h AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT job_id, min(epoch_us(ts)) AS session_start, count(*) AS n_events, max(epoch_us(ts)) - min(epoch_us(ts)) AS duration_us FROM h GROUP BY job_id, s""",
 )
+C_BAD_BOUNDARIES = f"SELECT DISTINCT job_id, -1 AS place, 'invalid_json' AS reason FROM ({C_BOUNDARIES}) WHERE job_id % 10 = 0"
+C_PIECE_BINS = C_PIECES[: C_PIECES.index("g AS (")].rstrip().rstrip(",") + " SELECT job_id, ord::INTEGER AS ord, bin FROM w JOIN d USING (job_id, i)"
+B_TASKS = "SELECT conv_id AS job_id, turn, conv_id || '_annotate_' || substr(md5(coalesce(text, '')), 1, 8) || '_' || turn AS task_id FROM conversations"
+E_STORED = "SELECT conv_id AS job_id, turn, length(coalesce(text, ''))::DOUBLE AS chars, len(string_split(coalesce(text, ''), ' '))::DOUBLE AS pieces FROM conversations"
+A_TRANSCRIPTS = _with(_CHUNKS, "SELECT job_id::VARCHAR AS job_id, chunk_idx, chunk_id, start_s, end_s, text, 0::DOUBLE AS confidence FROM chunks")
+A_REPLACED = "SELECT lang, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS version, count(*) AS n_rows, sum(n_chars)::BIGINT AS n_chars FROM documents WHERE lang IS NOT NULL GROUP BY ALL"
+H_FAILING = _with(
+    _CLIPS,
+    """, o AS (SELECT job_id, id, floor(e_end - h_start)::BIGINT % 4 AS d FROM clips)
+SELECT job_id, id, CASE WHEN d = 0 THEN 0.5 ELSE round(1::DOUBLE / d, 6) END::DOUBLE AS ratio, CASE WHEN d = 0 THEN 'error' ELSE 'success' END AS ratio_status, 'error' AS lost_status,
+ round((CASE WHEN d = 0 THEN 0.5 ELSE 1::DOUBLE / d END::DOUBLE + 0.5::DOUBLE + 0.5::DOUBLE) / 3, 4) AS overall_score FROM o""",
+)
+P_ALARMS = _with(
+    _EVENTS,
+    """, o AS (SELECT *, CASE WHEN ok THEN 0 WHEN rate_limited THEN 2 ELSE 1 END AS own, sum(ok::INTEGER) OVER (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM ev),
+w AS (SELECT *, (sum(own) OVER (PARTITION BY key, run ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))::INTEGER AS weight FROM o)
+SELECT key, seq, weight FROM w WHERE NOT ok AND weight >= 3 AND weight - own < 3 AND epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM ev) - 600000""",
+)
+P_ENFORCE_STREAM = _with(
+    _BUDGET,
+    """SELECT stage, seq, warnings, warnings >= 3 AS disabled FROM (SELECT stage, seq, ts, (sum((elapsed_ms > 0.8::DOUBLE * budget_ms)::INTEGER) OVER (PARTITION BY stage ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))::INTEGER AS warnings FROM bs)
+WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM ev) - 600000""",
+)

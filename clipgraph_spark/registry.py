@@ -365,12 +365,20 @@ def _(spark, d):
     return D.blueprint_dedup(c.withColumn("signature", T.signature(F.lit("s"), F.col("segment_ids"))))[1].select("job_id", "id", "reason")
 
 
-@query("i4_overlap_clusters")
-def _(spark, d):
+def _set_boundaries(spark, d) -> DataFrame:
     o = B.order_sets(spark, d, 40)
     c = F.col("score")
-    b = o.select(F.floor(F.col("ord") / 40).alias("job_id"), F.col("ord").alias("idx"), F.col("event_ids").alias("segments"), *[c.alias(f"{n}_confidence") for n in ("start", "end", "boundary", "structural")])
-    return D.best_of_cluster(D.overlap_clusters(b)).select("job_id", "idx", "cluster")
+    return o.select(F.floor(F.col("ord") / 40).alias("job_id"), F.col("ord").alias("idx"), F.col("event_ids").alias("segments"), *[c.alias(f"{n}_confidence") for n in ("start", "end", "boundary", "structural")])
+
+
+@query("i4_overlap_clusters")
+def _(spark, d):
+    return D.best_of_cluster(D.overlap_clusters(_set_boundaries(spark, d))).select("job_id", "idx", "cluster")
+
+
+@query("i4_clusters_large")
+def _(spark, d):
+    return D.overlap_clusters_large(_set_boundaries(spark, d), S.materialize).select("job_id", "idx", "cluster")
 
 
 @query("i6_merge_boundaries")

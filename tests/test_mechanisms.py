@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipgraph_spark.functions import text as T
-from clipgraph_spark.operators import objectives, ranking, strategies, telemetry, topics, transcript
+from clipgraph_spark.operators import dedup, objectives, ranking, strategies, telemetry, topics, transcript
 from clipgraph_spark.plans import bindings
 from clipgraph_spark.sources import tables
 
@@ -171,3 +171,30 @@ def test_vectors_and_synopses(spark, tmp_path):
     s = spark.createDataFrame([("a", 0, "one\ntwo", "x"), ("a", 1, None, "")], "job_id string, block_idx int, synopsis string, representative_excerpt string")
     tables.write_synopses(s, str(tmp_path / "s"))
     assert sorted(map(str, tables.read_synopses(spark, str(tmp_path / "s")).collect())) == sorted(map(str, s.collect()))
+
+
+def clusters(rows):
+    """In order, each boundary not yet taken seeds one, and later ones join if they overlap any member so far."""
+    out = {}
+    for i, (idx, s) in enumerate(rows):
+        if idx in out:
+            continue
+        out[idx], members = i, [s]
+        for other, t in rows[i + 1 :]:
+            if other not in out and any(round(len(set(m) & set(t)) / max(min(len(m), len(t)), 1), 9) > 0.4 for m in members):
+                out[other] = i
+                members.append(t)
+    return out
+
+
+def test_large_clusters(spark, keep):
+    """One job of 3,000 boundaries, long chains among them, a job whose boundaries share one segment, and odd rows."""
+    rng = random.Random(8)
+    chain = [(i * 2, [f"c{i}", f"c{i + 1}"]) for i in range(300)]
+    jobs = {1: [(i, [f"s{rng.randint(0, 2500)}" for _ in range(rng.randint(1, 5))]) for i in range(3000)], 2: chain, 3: [(i, ["hot", f"a{i}", f"b{i}", f"c{i}"]) for i in range(150)], 4: [(0, []), (1, ["x", "x"]), (2, ["x"])]}
+    df = spark.createDataFrame([(j, i, s) for j, rows in jobs.items() for i, s in rows], "job_id int, idx int, segments array<string>").repartition(4)
+    got = {(r["job_id"], r["idx"]): r["cluster"] for r in dedup.overlap_clusters_large(df, keep).collect()}
+    assert got == {(j, i): c for j, rows in jobs.items() for i, c in clusters(rows).items()}
+    small = df.where("job_id in (2, 3, 4) and idx < 60")
+    fold = {(r["job_id"], r["idx"]): r["cluster"] for r in dedup.overlap_clusters(small).collect()}
+    assert {(r["job_id"], r["idx"]): r["cluster"] for r in dedup.overlap_clusters_large(small, keep).collect()} == fold

@@ -606,7 +606,7 @@ def _(spark, d):
     return S.pending_batches(docs, B.table(spark, d, "labels"), ["batch"], "doc_id")
 
 
-@query("a5_lineage")
+@query("a5_lineage", sql.A_LINEAGE)
 def _(spark, d):
     return EV.lineage(B.table(spark, d, "documents"), "documents")
 

@@ -92,7 +92,14 @@ def work_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.gettempdir() + "/clipgraph-" + spark.sparkContext.applicationId
-    return f"{base}/clipgraph/{label}-{uuid.uuid4().hex}"
+    return f"{base}/clipgraph/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Removes what materialize() and the other users of work_path() wrote in this application. Results that are still
+    to be read from there must be written elsewhere first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_path(spark, "x")).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:

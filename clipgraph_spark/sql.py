@@ -502,3 +502,5 @@ P_ENFORCE_STREAM = _with(
     """SELECT stage, seq, warnings, warnings >= 3 AS disabled FROM (SELECT stage, seq, ts, (sum((elapsed_ms > 0.8::DOUBLE * budget_ms)::INTEGER) OVER (PARTITION BY stage ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))::INTEGER AS warnings FROM bs)
 WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM ev) - 600000""",
 )
+A_LINEAGE = """WITH h AS (SELECT substr(sha256(coalesce(sum(('0x' || substr(md5(concat_ws(chr(31), coalesce(doc_id::VARCHAR, chr(30)), coalesce(text::VARCHAR, chr(30)), coalesce(lang::VARCHAR, chr(30)), coalesce(source::VARCHAR, chr(30)), coalesce(n_chars::VARCHAR, chr(30)))), 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR || ':' || count(*)), 1, 16) AS output_hash FROM documents)
+SELECT 'documents' AS stage, 1 AS version, substr(sha256(':documents:1:' || output_hash), 1, 16) AS artifact_id, '' AS parent_id, '' AS parent_hash, output_hash FROM h"""

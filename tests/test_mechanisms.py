@@ -198,3 +198,14 @@ def test_large_clusters(spark, keep):
     small = df.where("job_id in (2, 3, 4) and idx < 60")
     fold = {(r["job_id"], r["idx"]): r["cluster"] for r in dedup.overlap_clusters(small).collect()}
     assert {(r["job_id"], r["idx"]): r["cluster"] for r in dedup.overlap_clusters_large(small, keep).collect()} == fold
+
+
+def test_work_is_cleared(spark):
+    df = tables.materialize(spark.range(5).toDF("a"))
+    other = tables.work_path(spark, "x")
+    assert df.count() == 5 and other != tables.work_path(spark, "x")
+    tables.clear_work(spark)
+    spark.catalog.clearCache()
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        df.count()
+    assert tables.materialize(spark.range(3).toDF("a")).count() == 3

@@ -93,7 +93,6 @@ def test_greedy_dedup(sets, threshold):
 def test_overlap_clusters(sets):
     b = sets.select((F.col("ord") % 40).alias("job_id"), F.col("ord").alias("idx"), F.col("event_ids").alias("segments"))
     got = {(r["job_id"], r["idx"]): r["cluster"] for r in dedup.overlap_clusters(b, 0.4).collect()}
-    share = lambda x, y: len(set(x) & set(y)) / max(min(len(x), len(y)), 1)
     for job, rows in by_job(b, "idx").items():
         cluster = {}
         for i, r in enumerate(rows):
@@ -101,7 +100,7 @@ def test_overlap_clusters(sets):
                 continue
             cluster[r["idx"]], members = i, [r["segments"]]
             for x in rows[i + 1 :]:
-                if x["idx"] not in cluster and any(round(share(m, x["segments"]), 9) > 0.4 for m in members):
+                if x["idx"] not in cluster and any(round(jaccard(m, x["segments"]), 9) >= 0.4 for m in members):
                     cluster[x["idx"]] = i
                     members.append(x["segments"])
         assert {r["idx"]: got[job, r["idx"]] for r in rows} == cluster

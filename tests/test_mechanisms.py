@@ -181,7 +181,7 @@ def clusters(rows):
             continue
         out[idx], members = i, [s]
         for other, t in rows[i + 1 :]:
-            if other not in out and any(round(len(set(m) & set(t)) / max(min(len(m), len(t)), 1), 9) > 0.4 for m in members):
+            if other not in out and any(round(len(set(m) & set(t)) / max(len(set(m) | set(t)), 1), 9) >= 0.4 for m in members):
                 out[other] = i
                 members.append(t)
     return out
@@ -190,7 +190,7 @@ def clusters(rows):
 def test_large_clusters(spark, keep):
     """One job of 3,000 boundaries, long chains among them, a job whose boundaries share one segment, and odd rows."""
     rng = random.Random(8)
-    chain = [(i * 2, [f"c{i}", f"c{i + 1}"]) for i in range(300)]
+    chain = [(i * 2, [f"c{i}", f"c{i + 1}", f"c{i + 2}", f"c{i + 3}"]) for i in range(300)]
     jobs = {1: [(i, [f"s{rng.randint(0, 2500)}" for _ in range(rng.randint(1, 5))]) for i in range(3000)], 2: chain, 3: [(i, ["hot", f"a{i}", f"b{i}", f"c{i}"]) for i in range(150)], 4: [(0, []), (1, ["x", "x"]), (2, ["x"])]}
     df = spark.createDataFrame([(j, i, s) for j, rows in jobs.items() for i, s in rows], "job_id int, idx int, segments array<string>").repartition(4)
     got = {(r["job_id"], r["idx"]): r["cluster"] for r in dedup.overlap_clusters_large(df, keep).collect()}

@@ -191,8 +191,9 @@ def tie_break(c: DataFrame, exact: bool = False) -> DataFrame:
     return c.join(small.where("_n = 1").select("job_id", "id", F.col("_at").alias("position")).unionByName(moved), ["job_id", "id"])
 
 
-def mmr_top_k(c: DataFrame, k: int = 20, quality: float = 0.7, diversity: float = 0.3, similarity=T.bucket_cosine, score: str = "final_score", order: str = "position", vector: str = "v") -> DataFrame:
-    """The k rows of each job by maximal marginal relevance, ranked by score; jobs of k rows or fewer stay as they are.
+def mmr_top_k(c: DataFrame, k: int = 20, quality: float = 0.7, diversity: float = 0.3, similarity=T.bucket_cosine, score: str = "final_score", order: str = "position", vector: str = "v", by_score: bool = False) -> DataFrame:
+    """The k rows of each job by maximal marginal relevance, ranked by score and then in the order they were taken; jobs
+    of k rows or fewer stay as they are, and are ranked by `order`. With by_score all are ranked by score and `order`.
 
     One fold over a job's (place, score, vector) rows: each of k rounds takes the first row with the largest
     quality * score - diversity * largest similarity to those taken, and folds the new similarity into the rest.
@@ -217,27 +218,30 @@ def mmr_top_k(c: DataFrame, k: int = 20, quality: float = 0.7, diversity: float
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.col("a").alias("left"))
     chosen = F.aggregate(F.sequence(F.lit(1), F.lit(k)), zero, pick, lambda acc: acc["out"])
     ids = F.when(F.size("a") <= k, F.transform("a", lambda x: x["id"])).otherwise(chosen)
-    kept = jobs.select("job_id", F.explode(ids).alias("id"))
-    rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc(score), order))
-    return c.join(kept, ["job_id", "id"]).withColumn("final_rank", rank)
+    kept = jobs.select("job_id", (F.size("a") <= k).alias("_few"), F.posexplode(ids).alias("_pick", "id"))
+    return _ranked(c.join(kept, ["job_id", "id"]), score, order, by_score)
 
 
-def mmr_top_k_large(c: DataFrame, keep: Callable[[DataFrame], DataFrame], k: int = 20, quality: float = 0.7, diversity: float = 0.3, similarity=T.bucket_cosine, score: str = "final_score", order: str = "position", vector: str = "v") -> DataFrame:
+def _ranked(taken: DataFrame, score: str, order: str, by_score: bool) -> DataFrame:
+    places = [F.desc(score), order] if by_score else [F.desc(F.when(~F.col("_few"), F.col(score))), F.when(F.col("_few"), F.col(order)).otherwise(F.col("_pick"))]
+    return taken.withColumn("final_rank", F.row_number().over(Window.partitionBy("job_id").orderBy(*places))).drop("_few", "_pick")
+
+
+def mmr_top_k_large(c: DataFrame, keep: Callable[[DataFrame], DataFrame], k: int = 20, quality: float = 0.7, diversity: float = 0.3, similarity=T.bucket_cosine, score: str = "final_score", order: str = "position", vector: str = "v", by_score: bool = False) -> DataFrame:
     """mmr_top_k for jobs too large for one row: a round is one max_by per job, pre-aggregated, joined back to its rows.
 
     `keep` cuts lineage after a round, by a written table for instance.
     """
     sizes = c.groupBy("job_id").agg((F.count("*") > k).alias("_big"))
     rows = c.select("job_id", "id", F.col(order).alias("o"), F.col(score).alias("s"), F.col(vector).alias("v")).join(sizes, "job_id")
-    chosen = rows.where(~F.col("_big")).select("job_id", "id")
+    chosen = rows.where(~F.col("_big")).select("job_id", "id", F.lit(True).alias("_few"), F.lit(0).alias("_pick"))
     left = keep(rows.where("_big").drop("_big").withColumn("m", F.lit(0.0)))
-    for _ in range(k):
+    for i in range(k):
         value = F.round(quality * F.col("s") - diversity * F.col("m"), 9)
         best = keep(left.groupBy("job_id").agg(F.max_by(F.struct("id", "v"), F.struct(value.alias("value"), (-F.col("o")).alias("o"))).alias("b")))
-        chosen = chosen.unionByName(best.select("job_id", "b.id"))
+        chosen = chosen.unionByName(best.select("job_id", "b.id", F.lit(False).alias("_few"), F.lit(i).alias("_pick")))
         left = keep(left.join(best, "job_id").where(F.col("id") != F.col("b.id")).withColumn("m", F.greatest("m", F.round(similarity(F.col("v"), F.col("b.v")), 9))).drop("b"))
-    rank_ = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc(score), order))
-    return c.join(chosen, ["job_id", "id"], "left_semi").withColumn("final_rank", rank_)
+    return _ranked(c.join(chosen, ["job_id", "id"]), score, order, by_score)
 
 
 def explain(ranked: DataFrame) -> DataFrame:
@@ -286,7 +290,7 @@ def portfolio_select(scored: DataFrame, top_k: int = 20, policy: str = "balanced
     from ..config import PORTFOLIO_POLICIES
 
     q, d = PORTFOLIO_POLICIES[policy]
-    return mmr_top_k(scored, top_k, q, d, similarity, score="score", order="narrative_pos", vector="event_ids")
+    return mmr_top_k(scored, top_k, q, d, similarity, score="score", order="narrative_pos", vector="event_ids", by_score=True)
 
 
 def portfolio_summary(selected: DataFrame, scored: DataFrame) -> DataFrame:

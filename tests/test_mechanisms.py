@@ -106,6 +106,8 @@ def test_large_mmr_equals_fold(spark, keep):
     rows = lambda d: sorted((r["job_id"], r["id"], r["final_rank"]) for r in d.collect())
     for k in (1, 4):
         assert rows(ranking.mmr_top_k_large(c, keep, k)) == rows(ranking.mmr_top_k(c, k))
+    ties = c.withColumn("final_score", F.round("final_score", 1))
+    assert rows(ranking.mmr_top_k_large(ties, keep, 3)) == rows(ranking.mmr_top_k(ties, 3))
 
 
 @pytest.mark.parametrize("sketch", [20, 20_000])

@@ -47,7 +47,7 @@ def clip_triples(pruned: DataFrame, max_gap: float = 30.0) -> DataFrame:
 
 
 def flow_score(gap1: Column, gap2: Column) -> Column:
-    return F.round(F.greatest(F.lit(0.1), 0.95 - F.least(F.lit(0.6), (F.greatest(gap1, F.lit(0.0)) + F.greatest(gap2, F.lit(0.0))) / 300)), 4)
+    return T.rounded(F.greatest(F.lit(0.1), 0.95 - F.least(F.lit(0.6), (F.greatest(gap1, F.lit(0.0)) + F.greatest(gap2, F.lit(0.0))) / 300)), 4)
 
 
 def duration_penalty(score: Column, duration: Column) -> Column:
@@ -68,7 +68,7 @@ def generate_candidates(segments: DataFrame, features: DataFrame, top_k: int = 2
     names = [F.col(f"{p}_{c}").alias(f"{k}_{n}") for k, p in SPANS.items() for c, n in (("start_s", "start"), ("end_s", "end"), ("score", "score"), ("text", "text"))]
     return t.select(
         "job_id", F.concat_ws("_", F.lit("clip"), "h_segment_id", "b_segment_id", "e_segment_id").alias("id"), F.lit("Hook / Body / Ending").alias("title"),
-        *names, F.round("duration", 3).alias("duration"), "flow_score", "total_score", T.snippet([F.col("h_text"), F.col("b_text"), F.col("e_text")], 24).alias("snippet"), "rank",
+        *names, T.rounded(F.col("duration"), 3).alias("duration"), "flow_score", "total_score", T.snippet([F.col("h_text"), F.col("b_text"), F.col("e_text")], 24).alias("snippet"), "rank",
     )
 
 

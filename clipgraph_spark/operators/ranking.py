@@ -57,7 +57,8 @@ def narrative(c: DataFrame) -> DataFrame:
 
 
 def context(c: DataFrame) -> DataFrame:
-    gap = (_gap1() + _gap2()) / 2
+    # added from left to right, as the SQL adds: sums that end at a threshold depend on it
+    gap = (F.col("body_start") - F.col("hook_end") + F.col("ending_start") - F.col("body_end")) / 2
     hp, bp = T.pronouns(F.col("hook_text"), PRONOUNS), T.pronouns(F.col("body_text"), PRONOUNS)
     lost = (F.size(hp) > 0) & (F.size(bp) > 0) & ~F.arrays_overlap(hp, bp)
     shared = F.size(F.array_intersect(T.content_words(F.col("hook_text"), STOP_WORDS), T.content_words(F.col("body_text"), STOP_WORDS))) > 0

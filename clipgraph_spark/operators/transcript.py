@@ -72,7 +72,7 @@ def atomic_segments(chunks: DataFrame, lex: Lexicon = ENGLISH) -> DataFrame:
     order = Window.partitionBy("job_id").orderBy("chunk_idx", "sent_idx")
     return s.select(
         "job_id", F.concat(F.lit("seg_"), F.col("chunk_id"), F.lit("_"), F.col("sent_idx")).alias("segment_id"),
-        F.round(begin, 3).alias("start_s"), F.round(F.least(F.col("end_s"), begin + step), 3).alias("end_s"), F.col("sentence").alias("text"),
+        T.rounded(begin, 3).alias("start_s"), T.rounded(F.least(F.col("end_s"), begin + step), 3).alias("end_s"), F.col("sentence").alias("text"),
         classify_kind(F.col("sentence"), F.col("sent_idx"), F.col("n_sent"), lex).alias("kind"), (F.row_number().over(order) - 1).alias("ord"),
     )
 

@@ -7,6 +7,7 @@ import math
 import os
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -109,8 +110,12 @@ class DacArray:
 # -- tokens -----------------------------------------------------------------------------------
 
 _TOKENIZERS: dict[str, Words] = {}
-#: Words that a generation of the cache takes; two are kept.
-CACHE_WORDS = 500_000
+#: Words that a worker's cache takes.
+CACHE_WORDS = 600_000
+#: Words that the tokenizer is given at once: what it returns for one takes about 2 KB until its ids are taken.
+ENCODE_WORDS = 2_000
+#: Bytes of texts that are encoded at once.
+ENCODE_BYTES = 2 << 20
 #: Words of these characters have one lower case and one normal form, whatever stands beside them.
 SAFE = r"^[\x21-\x26\x28-\x7E\x{C0}-\x{12F}\x{131}-\x{17F}]+$"
 #: Fixed values, the format of tokenizers: lower case, white space dropped, punctuation apart from letters.
@@ -145,7 +150,8 @@ def _word_wise(tok) -> bool:
 
 
 class Words:
-    """Words with their ids, each encoded once by the tokenizer while it is in one of the two latest generations."""
+    """Words with their ids, as Arrow and numpy arrays: a word takes some 40 bytes. Beyond CACHE_WORDS those go that were not
+    asked for again since the last time."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -153,50 +159,56 @@ class Words:
 
         self.tok = Tokenizer.from_file(path)
         self.apart = _word_wise(self.tok)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in one array, and how many each has."""
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = []
-        for w in words:
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
-                else:
-                    missing.append(w)
-        for a in range(0, len(missing), 50_000):
-            part = missing[a : a + 50_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[w] = np.array(e.ids, "<u4").tobytes()
-        found = [new[w] for w in words]
-        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self._keep(pa.array([], pa.string()), np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def _keep(self, words: pa.Array, pool: np.ndarray, size: np.ndarray) -> None:
+        self.words, self.pool, self.size = words, pool, size
+        self.start, self.again = np.cumsum(size) - size, np.zeros(len(size), bool)
+
+    def _trim(self) -> None:
+        at = np.flatnonzero(self.again)[-(CACHE_WORDS // 2) :]
+        size, pool = self.size[at], np.empty(int(self.size[at].sum()), np.uint32)
+        _gather(self.pool, self.start[at], size, pool, np.cumsum(size) - size)
+        self._keep(self.words.take(pa.array(at)), pool, size)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where the distinct `words` stand in the cache; those that are new to it are encoded and added."""
+        if len(self.words) > CACHE_WORDS:
+            self._trim()
+        found = pc.index_in(words, value_set=self.words)
+        new = words.filter(found.is_null())
+        known = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        self.again[known[known >= 0]] = True
+        ids, sizes = [self.pool], []
+        for a in range(0, len(new), ENCODE_WORDS):
+            e = [x.ids for x in self.tok.encode_batch_fast(new[a : a + ENCODE_WORDS].to_pylist(), add_special_tokens=False)]
+            sizes += map(len, e)
+            ids.append(np.fromiter(chain.from_iterable(e), np.uint32))
+        known[known < 0] = len(self.words) + np.arange(len(new))
+        size, again = np.concatenate([self.size, np.array(sizes, np.int64)]), np.concatenate([self.again, np.zeros(len(new), bool)])
+        self._keep(pa.concat_arrays([self.words, new]), np.concatenate(ids), size)
+        self.again = again
+        return known
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """As ids(), for distinct words. Letters with punctuation after them are two words to the tokenizer, so they
-        are looked up in lower case and apart."""
+        """The ids of distinct words in one array, and how many each has. Letters with punctuation after them are two
+        words to the tokenizer, so they are looked up in lower case and apart."""
         safe = pc.match_substring_regex(words, SAFE)
         low = pc.if_else(safe, pc.utf8_lower(words), words)
         core = pc.ascii_rtrim(low, PUNCTUATION)
         plain = pc.and_(safe, pc.match_substring_regex(core, r"^\p{L}+$"))
-        head = pc.if_else(plain, core, words).dictionary_encode()
         both = pc.and_(plain, pc.less(pc.binary_length(core), pc.binary_length(low)))
-        tail = pc.replace_substring_regex(low.filter(both), r"^\p{L}+", "").dictionary_encode()
-        pool, size = np.empty(0, np.uint32), np.zeros(len(words), np.int64)
-        parts = []
-        for coded, where in ((head, np.arange(len(words))), (tail, np.flatnonzero(both.to_numpy(zero_copy_only=False)))):
-            ids, n = self.ids(coded.dictionary.to_pylist())
-            at = coded.indices.to_numpy()
-            parts.append((where, len(pool) + (np.cumsum(n) - n)[at], n[at]))
-            pool = np.concatenate([pool, ids])
-            size[where] += n[at]
+        tail = pc.replace_substring_regex(low.filter(both), r"^\p{L}+", "")
+        coded = pa.concat_arrays([pc.if_else(plain, core, words), tail]).cast(pa.string()).dictionary_encode()
+        at = self.places(coded.dictionary)[coded.indices.to_numpy()]
+        start, n = self.start[at], self.size[at]
+        size = n[: len(words)].copy()
+        second = np.flatnonzero(both.to_numpy(zero_copy_only=False))
+        size[second] += n[len(words) :]
         out, begin = np.empty(int(size.sum()), np.uint32), np.cumsum(size) - size
-        for where, start, n in parts:
-            _gather(pool, start, n, out, begin[where])
-            begin[where] += n
+        for part, where in ((slice(0, len(words)), np.arange(len(words))), (slice(len(words), None), second)):
+            _gather(self.pool, start[part], n[part], out, begin[where])
+            begin[where] += n[part]
         return out, size
 
 
@@ -268,7 +280,7 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         waiting = 0
-        for b in slices(batches):
+        for b in slices(batches, ENCODE_BYTES):
             ids, n = encode_texts(b["text"], path, end_id)
             ends, done = np.cumsum(n), 0
             while done < len(n):

@@ -3,11 +3,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from clipgraph_spark.llm import token_files
 from clipgraph_spark.llm.token_files import DacArray, default_tokenizer, read_token_files, write_token_files
 
 
@@ -52,3 +54,25 @@ def test_other_tokenizers(spark):
     rows += [(900, None), (901, "  Two  spaces,\tTABS\n\nand Capitals ΣΣ"), (902, "word, " * 300_000), (903, "")]
     got = [tuple(r) for r in read_token_files(write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, shard_tokens=3000)).collect()]
     assert sorted(got, key=lambda r: r[1]) == plain(rows, path)
+
+
+def test_cache_and_batches_are_bounded(monkeypatch):
+    """A worker's cache took up to a million words of 200 bytes, and 50,000 words went to the tokenizer at once (90 MB)."""
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 50_000)
+    path = token_files.default_tokenizer()
+    words = token_files.Words(path)
+    given, real = [], words.tok
+
+    class Tok:
+        def encode_batch_fast(self, part, add_special_tokens):
+            given.append(len(part))
+            return real.encode_batch_fast(part, add_special_tokens=add_special_tokens)
+
+    words.tok = Tok()
+    monkeypatch.setitem(token_files._TOKENIZERS, path, words)
+    for i in range(30):
+        texts = [" ".join(f"x{i}y{j}z{k}" for k in range(100)) for j in range(200)]
+        ids, n = token_files.encode_texts(pa.array(texts), path)
+        want = [[*e.ids, token_files.END_ID] for e in real.encode_batch_fast(texts[:3], add_special_tokens=False)]
+        assert n[:3].tolist() == list(map(len, want)) and ids[: n[:3].sum()].tolist() == sum(want, [])
+    assert max(given) <= 5_000 and len(words.words) <= 50_000 + 200 * 100 and words.pool.nbytes + words.words.nbytes < 70_000 * 100

@@ -127,16 +127,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return fps.join(classes(fps), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def likely_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) from (node, fp): each node with the least one of its fingerprint, and the least ones of linked fingerprints."""
+    least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("a")), "least")
+    same = nodes.select("fp", F.col("node").alias("b")).join(least, "fp").where("a != b").select("a", "b").distinct()
+    links = near_pairs(least.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
+    x, y = least.select(F.col("fp").alias("x"), "a"), least.select(F.col("fp").alias("y"), F.col("a").alias("b"))
+    return same.unionByName(links.join(x, "x").join(y, "y").select("a", "b"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class of documents that five-word similarity links (see near_text).
 
+    SimHash fingerprints of the five-word shingles meet in the byte-position index, where shared bytes are counted, and
+    the pairs that it links are verified on the whole sets; near_text then finds the similar pairs that lie further apart.
+
     It is the row with the least doc_id, a null one only if there is no other, and of those with the same doc_id the
     one with the least hash. Rows equal in doc_id and text stay one; no row goes for its doc_id alone.
     """
     key = ("_k1", "_k2")
     hashes = dict(zip(key, _row_hashes(), strict=True))
     rows = docs.select("doc_id", "text").withColumns(hashes)
-    placed = near_text.components_of(materialize(near_text.prefixes(rows, ("doc_id", *key)), "prefixes"), rows, key)
+    prefixes = materialize(near_text.prefixes(rows, ("doc_id", *key)), "prefixes")
+    placed = near_text.components_of(prefixes, rows, key, likely_pairs(prefixes.select("node", "fp")))
     row = F.struct(F.col("doc_id").isNull(), "doc_id", *key)
     least = placed.groupBy("component").agg(F.min(row).alias("r")).select("r.*").select(*key)
     copies = placed.groupBy(*key).agg((F.count("*") > 1).alias("copies"))

@@ -84,14 +84,22 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingle hashes, as a signed long: bits that are set in over half of them; 0 for none."""
+    if not len(s):
+        return 0
+    high = np.unpackbits(s.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) * 2 > len(s)
+    return int(np.packbits(high).view(">i8")[0])
+
+
 def _least(n):
     """The fewest shingles that a set of n shares with a linked one: ceil(n * PART / WHOLE)."""
     return (n * PART + WHOLE - 1) // WHOLE
 
 
 def prefixes(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, node, n, bits and prefix: the text's set, its size and bitmap, and its rarest shingles, rarest first, as many
-    as the index needs.
+    """`keep`, node, n, fp, bits and prefix: the text's set, its size, SimHash and bitmap, and its rarest shingles, rarest
+    first, as many as the index needs.
 
     Two linked sets share at least one shingle of both prefixes, whatever the order, as it is the same for all.
     """
@@ -106,9 +114,9 @@ def prefixes(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
                 first = [s[np.lexsort((s, shared.value[_slots(s)]))[: len(s) - _least(len(s)) + 1]].view(np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first)))
-                yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.list_(pa.int64())), lists], names=[*keep, "node", "n", "bits", "prefix"])
+                yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.list_(pa.int64())), lists], names=[*keep, "node", "n", "fp", "bits", "prefix"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", node long, n long, bits array<long>, prefix array<long>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", node long, n long, fp long, bits array<long>, prefix array<long>"
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
@@ -227,11 +235,12 @@ def _led(members: DataFrame, turn: int) -> DataFrame:
     return met.where("m is not null").groupBy("a").agg(F.max("m").alias("m")).select("a", F.col("m.b").alias("b"))
 
 
-def links(rows: DataFrame, docs: DataFrame, key: tuple[str, ...], posting: int = POSTING) -> DataFrame:
+def links(rows: DataFrame, docs: DataFrame, key: tuple[str, ...], posting: int = POSTING, likely: DataFrame | None = None) -> DataFrame:
     """(a, b): links that connect the same nodes as all pairs of nodes that are similar enough.
 
-    `rows` are the prefixes of `docs`, told apart by `key`. Pairs that meet on short posting lists, at places that leave
-    enough to share, are verified. On long lists a round verifies one pair for each node that meets another component
+    `rows` are the prefixes of `docs`, told apart by `key`. The pairs (a, b) of `likely`, those of near fingerprints, are
+    verified first; what follows finds the links that fingerprints miss. Pairs that meet on short posting lists, at
+    places that leave enough to share, are verified. On long lists a round verifies one pair for each node that meets another component
     there; members of one component need no more comparing, and rounds end when they find little. Then the pairs of
     members of different components are verified where places and bitmaps let them be similar, so that none is missed.
     Lists of many texts that stay unlike each other still cost the square of their length in comparisons of bitmaps.
@@ -241,11 +250,18 @@ def links(rows: DataFrame, docs: DataFrame, key: tuple[str, ...], posting: int =
     sizes = entries.groupBy("x").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialize(entries.join(sizes, "x"), "shared")
     long_ = shared.where(F.col("size") > posting).drop("size")
-    pairs = materialize(_meetings(shared.where(F.col("size") <= posting).drop("size")), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(long_.select("node")).distinct()
+    pairs = _meetings(shared.where(F.col("size") <= posting).drop("size"))
+    if likely is not None:
+        likely = materialize(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely")
+        pairs = pairs.join(likely, ["a", "b"], "left_anti")
+    pairs = materialize(pairs, "pairs")
+    both = pairs if likely is None else pairs.unionByName(likely)
+    wanted = both.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long_.select("node")).distinct()
     firsts = rows.join(materialize(wanted, "wanted"), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
     sets = materialize(node_sets(docs.join(materialize(firsts, "firsts"), list(key), "left_semi")).dropDuplicates(["node"]), "sets")
     edges = materialize(verified(pairs, sets), "links")
+    if likely is not None:
+        edges = edges.unionByName(materialize(verified(likely, sets, dealt=("a", "b")), "links"))
     if long_.isEmpty():
         return edges
     long_ = materialize(long_.join(nodes.select("node", "bits"), "node"), "long")
@@ -262,7 +278,7 @@ def links(rows: DataFrame, docs: DataFrame, key: tuple[str, ...], posting: int =
     return edges.unionByName(materialize(verified(materialize(_meetings(members, roots=True), "pairs"), sets, dealt=("a", "b")), "links"))
 
 
-def components_of(rows: DataFrame, docs: DataFrame, key: tuple[str, ...]) -> DataFrame:
+def components_of(rows: DataFrame, docs: DataFrame, key: tuple[str, ...], likely: DataFrame) -> DataFrame:
     """`rows` without prefix, with component: the least node that links reach."""
-    roots = materialize(components(links(rows, docs, key)), "roots").withColumnRenamed("node", "_n")
-    return rows.drop("prefix", "bits").join(roots, F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("root", "node")).drop("_n", "root")
+    roots = materialize(components(links(rows, docs, key, likely=likely)), "roots").withColumnRenamed("node", "_n")
+    return rows.drop("prefix", "bits", "fp").join(roots, F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("root", "node")).drop("_n", "root")

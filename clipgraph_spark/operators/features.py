@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -52,10 +52,16 @@ def block_priority(segments: DataFrame) -> DataFrame:
     return b.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(level, "block_idx"))).select("job_id", "block_idx", "score", "priority", "rank")
 
 
+def _place(order: Column, pos: Column) -> Column:
+    """order and pos, both below 2^31, as one long of the same order."""
+    return F.shiftleft(order.cast("long"), 32) + pos
+
+
 def frequent_terms(segments: DataFrame, k: int = 5, keys: tuple[str, ...] = ("job_id",), min_len: int = 3) -> DataFrame:
-    """The k most frequent lower-cased tokens longer than min_len, by count and then first appearance."""
+    """The k most frequent lower-cased tokens longer than min_len, by count and then first appearance (ord and the place
+    in the text as one long, which a hash aggregate can hold)."""
     t = segments.select(*keys, "ord", F.posexplode(T.lower_tokens(F.col("text"))).alias("pos", "term")).where(F.length("term") > min_len)
-    n = t.groupBy(*keys, "term").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("first"))
+    n = t.groupBy(*keys, "term").agg(F.count("*").alias("n"), F.min(_place(F.col("ord"), F.col("pos"))).alias("first"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "first"))
     return n.withColumn("rank", rank).where(F.col("rank") <= k).select(*keys, "rank", "term", "n")
 
@@ -67,13 +73,26 @@ def named_entities(segments: DataFrame, k: int = 3, keys: tuple[str, ...] = ("jo
     return t.withColumn("rank", rank).where(F.col("rank") <= k).select(*keys, "rank", "entity")
 
 
-def synopsis(segments: DataFrame, keys: tuple[str, ...] = ("job_id",)) -> DataFrame:
-    """A line about each group: seconds, segments, how it begins and ends, frequent terms and entities."""
-    base = segments.groupBy(*keys).agg((F.max("end_s") - F.min("start_s")).alias("seconds"), F.count("*").alias("n"), F.substring(F.min_by("text", "ord"), 1, 100).alias("first"), F.substring(F.max_by("text", "ord"), 1, 100).alias("last"))
-    listed = lambda df, c: df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x[c]), ", ").alias(c))
-    s = base.join(listed(frequent_terms(segments, keys=keys), "term"), list(keys), "left").join(listed(named_entities(segments, keys=keys), "entity"), list(keys), "left")
-    line = F.format_string("Duration: %.1fs, Segments: %d. Starts: %s Ends: %s Terms: %s Entities: %s", "seconds", "n", "first", "last", F.coalesce("term", F.lit("")), F.coalesce("entity", F.lit("")))
-    return s.select(*keys, line.alias("synopsis"))
+def synopsis(segments: DataFrame, keys: tuple[str, ...] = ("job_id",), terms: int = 5, names: int = 3, min_len: int = 3) -> DataFrame:
+    """A line about each group: seconds, segments, how it begins and ends, and what frequent_terms() and named_entities()
+    give.
+
+    Segments are read once: beginnings, lower-cased tokens and capitalised ones are values of three kinds that are counted
+    together, and a group's distinct values are put in order in one row.
+    """
+    none = "array<struct<kind:int,value:string,at:long>>"
+    values = lambda kind, c, keep: F.coalesce(F.filter(F.transform(c, lambda t, i: F.struct(F.lit(kind).alias("kind"), t.alias("value"), _place(F.col("ord"), i).alias("at"))), lambda x: keep(x["value"])), F.array().cast(none))
+    head = F.array(F.struct(F.lit(0).alias("kind"), F.substring("text", 1, 100).alias("value"), _place(F.col("ord"), F.lit(0)).alias("at")))
+    low, title = values(1, T.lower_tokens(F.col("text")), lambda t: F.length(t) > min_len), values(2, T.title_tokens(F.col("text")), lambda t: t.isNotNull())
+    v = segments.select(*keys, "start_s", "end_s", F.inline(F.concat(head, low, title)))
+    v = v.groupBy(*keys, "kind", "value").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
+    is_ = lambda kind, c: F.when(F.col("kind") == kind, c)
+    listed = lambda c, k, value: F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(c)), 1, k), value), ", ")
+    g = v.groupBy(*keys).agg(
+        (F.max("end_s") - F.min("start_s")).alias("seconds"), F.sum(is_(0, F.col("n"))).alias("n"), F.min_by("value", is_(0, F.col("first"))).alias("head"), F.max_by("value", is_(0, F.col("last"))).alias("tail"),
+        listed(is_(1, F.struct((-F.col("n")).alias("n"), "first", "value")), terms, lambda x: x["value"]).alias("terms"), listed(is_(2, F.col("value")), names, lambda x: x).alias("names"),
+    )
+    return g.select(*keys, F.format_string("Duration: %.1fs, Segments: %d. Starts: %s Ends: %s Terms: %s Entities: %s", "seconds", "n", "head", "tail", "terms", "names").alias("synopsis"))
 
 
 def representative_excerpt(vectors: DataFrame, keys: tuple[str, ...] = ("job_id",), margin: float = 0.02) -> DataFrame:

@@ -19,18 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents: a job each; every line with words is a chunk, and time goes by at PACE words a second."""
+def chunks(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """documents: a job each; every line with words is a chunk, and time goes by at PACE words a second.
+
+    spread: jobs are dealt to all spark.sql.shuffle.partitions, which adaptive execution leaves apart, for steps that
+    need many times the memory of the text that a task reads.
+    """
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     d = d.withColumn("text", T.normalize_text(F.col("raw"))).where(F.col("text") != "")
+    if spread:
+        d = d.select("job_id", "line", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "job_id")
     w = Window.partitionBy("job_id").orderBy("line")
     words = F.size(F.split("text", " "))
     d = d.withColumn("_n", words).withColumn("_u", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("chunk_idx", F.row_number().over(w) - 1)
     return d.select("job_id", "chunk_idx", F.concat(F.lit("c"), "chunk_idx").alias("chunk_id"), ((F.col("_u") - F.col("_n")) / PACE).alias("start_s"), (F.col("_u") / PACE).alias("end_s"), "text")
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TR.atomic_segments(chunks(spark, sf_dir), INVENTED)
+def segments(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    return TR.atomic_segments(chunks(spark, sf_dir, spread), INVENTED)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

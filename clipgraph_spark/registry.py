@@ -156,8 +156,8 @@ def _ranking(spark, d) -> DataFrame:
     return S.materialize(B.ranking_candidates(spark, d), "candidates")
 
 
-def _blocks(spark, d) -> DataFrame:
-    return B.segments(spark, d).withColumn("block_idx", F.floor(F.col("ord") / 25).cast("int"))
+def _blocks(spark, d, spread: bool = False) -> DataFrame:
+    return B.segments(spark, d, spread).withColumn("block_idx", F.floor(F.col("ord") / 25).cast("int"))
 
 
 @query("c13_annotation_batches", sql.C_BATCHES)
@@ -225,7 +225,7 @@ def _(spark, d):
 
 @query("d4_frequent_terms", sql.D_TERMS)
 def _(spark, d):
-    return FE.frequent_terms(B.segments(spark, d))
+    return FE.frequent_terms(B.segments(spark, d, spread=True))
 
 
 @query("d5_named_entities", sql.D_ENTITIES)
@@ -235,7 +235,7 @@ def _(spark, d):
 
 @query("d6_synopsis", sql.D_SYNOPSIS)
 def _(spark, d):
-    return FE.synopsis(_blocks(spark, d), ("job_id", "block_idx"))
+    return FE.synopsis(_blocks(spark, d, spread=True), ("job_id", "block_idx"))
 
 
 @query("d7_representative_excerpt", sql.D_EXCERPT)

@@ -111,7 +111,7 @@ def near_pairs(fps: DataFrame, bits: int = 2, posting: int = POSTING) -> DataFra
 def classes(fps: DataFrame) -> DataFrame:
     """(fp, component_id) from (doc_id, fp): the least doc_id that links reach. Equal fingerprints are linked."""
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    roots = materialize(components(near_pairs(distinct.select("fp"))), "roots")
+    roots = components(near_pairs(distinct.select("fp")))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(ids, "root").select("fp", "component_id")

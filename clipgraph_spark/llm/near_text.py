@@ -204,10 +204,9 @@ def _meetings(entries: DataFrame, roots: bool = False) -> DataFrame:
     return _ordered(_side(first, "a").join(_side(entries, "b"), "x").where(ok))
 
 
-def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
+def _rooted(members: DataFrame, forest: DataFrame) -> DataFrame:
     """The members of posting lists that hold several components as yet, with their root."""
-    roots = components(edges).withColumnRenamed("node", "_n")
-    r = members.join(roots, F.col("node") == F.col("_n"), "left").select(*members.columns, F.coalesce("root", "node").alias("root"))
+    r = members.join(forest.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(*members.columns, F.coalesce("root", "node").alias("root"))
     open_ = r.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("x")
     return materialize(r.join(open_, "x", "left_semi"), "open")
 
@@ -266,19 +265,22 @@ def links(rows: DataFrame, docs: DataFrame, key: tuple[str, ...], posting: int =
         return edges
     long_ = materialize(long_.join(nodes.select("node", "bits"), "node"), "long")
     nodes_in_long = long_.select("node").distinct().count()
+    forest = components(edges)
+    as_edges = lambda: forest.select(F.col("node").alias("a"), F.col("root").alias("b"))
     for turn in range(ROUNDS):
-        members = _rooted(long_, edges)
+        members = _rooted(long_, forest)
         led = materialize(_led(members, turn), "led")
         found = materialize(verified(led, sets, dealt=("b",)), "links")
-        edges = edges.unionByName(found)
         n = found.count()
+        if n:
+            forest = components(as_edges().unionByName(found))
         if n * FEW < nodes_in_long or 4 * n < led.count():
             break
-    members = _rooted(long_, edges)
-    return edges.unionByName(materialize(verified(materialize(_meetings(members, roots=True), "pairs"), sets, dealt=("a", "b")), "links"))
+    members = _rooted(long_, forest)
+    return as_edges().unionByName(materialize(verified(materialize(_meetings(members, roots=True), "pairs"), sets, dealt=("a", "b")), "links"))
 
 
 def components_of(rows: DataFrame, docs: DataFrame, key: tuple[str, ...], likely: DataFrame) -> DataFrame:
     """`rows` without prefix, with component: the least node that links reach."""
-    roots = materialize(components(links(rows, docs, key, likely=likely)), "roots").withColumnRenamed("node", "_n")
+    roots = components(links(rows, docs, key, likely=likely)).withColumnRenamed("node", "_n")
     return rows.drop("prefix", "bits", "fp").join(roots, F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("root", "node")).drop("_n", "root")

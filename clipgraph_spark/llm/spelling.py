@@ -79,6 +79,12 @@ def _one_letter_out(words: DataFrame) -> DataFrame:
     return words.where(F.length("word") > 0).select("word", "n", places.alias("at")).withColumn("rest", rest)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows as a side of a join that is dealt by its keys, never broadcast: Spark takes exploded rows for as few as
+    the words they come from, and all of them would go through the driver."""
+    return rows.hint("merge")
+
+
 def crowd_links(words: DataFrame) -> DataFrame:
     """(x, x_n, y, y_n) of all words one edit apart, for words that share crowded chunks.
 
@@ -88,9 +94,9 @@ def crowd_links(words: DataFrame) -> DataFrame:
     """
     out = _one_letter_out(words)
     a, b = (out.select("at", "rest", F.col("word").alias(w), F.col("n").alias(f"{w}_n")) for w in "xy")
-    replaced = a.join(b, ["at", "rest"]).where("x < y").select("x", "x_n", "y", "y_n")
+    replaced = a.join(_dealt(b), ["at", "rest"]).where("x < y").select("x", "x_n", "y", "y_n")
     shorter = words.select(F.col("word").alias("x"), F.col("n").alias("x_n"))
-    inserted = shorter.join(out.select(F.col("rest").alias("x"), F.col("word").alias("y"), F.col("n").alias("y_n")), "x")
+    inserted = shorter.join(_dealt(out.select(F.col("rest").alias("x"), F.col("word").alias("y"), F.col("n").alias("y_n"))), "x")
     return replaced.unionByName(inserted.select("x", "x_n", "y", "y_n"))
 
 
@@ -102,8 +108,8 @@ def links(words: DataFrame, crowd: int = CROWD) -> DataFrame:
     their words go by crowd_links, which finds all their links.
     """
     c, g = chunks(words), grams(words)
-    hot = materialize(crowded(c, g, crowd), "crowded")
-    meet = c.join(hot, KEY, "left_anti").join(g, KEY).where((F.length("y") > F.col("length")) | (F.col("x") < F.col("y")))
+    hot = _dealt(materialize(crowded(c, g, crowd), "crowded"))
+    meet = c.join(hot, KEY, "left_anti").join(_dealt(g), KEY).where((F.length("y") > F.col("length")) | (F.col("x") < F.col("y")))
     found = meet.where(F.levenshtein("x", "y", 1) == 1).select("x", "x_n", "y", "y_n")
     if not hot.isEmpty():
         members = c.join(hot, KEY, "left_semi").select(F.col("x").alias("word"), F.col("x_n").alias("n")).unionByName(g.join(hot, KEY, "left_semi").select(F.col("y").alias("word"), F.col("y_n").alias("n")))
@@ -119,7 +125,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = materialize(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        after = materialize(now.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        after = materialize(now.join(_dealt(ahead), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         now = after.select("word", "root")
         if after.where("moved").isEmpty():
             return now
@@ -139,9 +145,9 @@ def variants(words: DataFrame, factor: int = FACTOR, crowd: int = CROWD) -> Data
     both = pairs.select(F.col("x").alias("word"), F.col("y").alias("other"), F.col("y_n").alias("m")).unionByName(pairs.select(F.col("y").alias("word"), F.col("x").alias("other"), F.col("x_n").alias("m")))
     near = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), F.col("other").alias("other"))).alias("best"))
     has = -F.col("best.m") >= factor * F.col("n")
-    out = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, F.col("best.other")).alias("form"), F.when(has, -F.col("best.m")).alias("form_n"))
+    out = words.join(_dealt(near), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, F.col("best.other")).alias("form"), F.when(has, -F.col("best.m")).alias("form_n"))
     out = materialize(out, "forms")
-    return out.join(roots(out.where("form is not null")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), F.col("n").cast("long").alias("n"), "n_near", F.col("form_n").cast("long").alias("form_n"))
+    return out.join(_dealt(roots(out.where("form is not null"))), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), F.col("n").cast("long").alias("n"), "n_near", F.col("form_n").cast("long").alias("form_n"))
 
 
 def op13_spelling(spark, sf_dir: str) -> DataFrame:
